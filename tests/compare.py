@@ -1,0 +1,80 @@
+"""Run queries next to their DuckDB twins: ``python tests/compare.py [sf_dir] [names...]``."""
+
+from __future__ import annotations
+
+import math
+import pathlib
+import sys
+import time
+
+import duckdb
+
+TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+          "conversations").split()
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
+    return con
+
+
+def _plain(v):
+    if v is None or (isinstance(v, float) and math.isnan(v)):
+        return (0, "")
+    if isinstance(v, bool):
+        return (1, str(v))
+    if hasattr(v, "is_integer") or type(v).__name__ in ("Decimal", "int"):
+        return (1, float(v) + 0.0)
+    return (1, str(v))
+
+
+def _rows(names, rows):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return [names[i] for i in order], sorted([tuple(_plain(r[i]) for i in order) for r in rows])
+
+
+def spark_rows(df):
+    return _rows(df.columns, [tuple(r) for r in df.collect()])
+
+
+def duck_rows(con, sql):
+    cur = con.execute(sql)
+    return _rows([d[0] for d in cur.description], cur.fetchall())
+
+
+def main(argv):
+    root = pathlib.Path(__file__).resolve().parent.parent
+    sys.path[:0] = [str(root), str(root / "tests")]
+    import __spark_entry__ as e
+    from conftest import session
+    sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
+    spark, con = session(), duck(sf_dir)
+    oracles, bad = e.oracle_sql(), []
+    for name, query in e.queries().items():
+        if argv[1:] and name not in argv[1:]:
+            continue
+        t = time.time()
+        try:
+            got = spark_rows(query(spark, sf_dir))
+            t1 = time.time()
+            want = duck_rows(con, oracles[name]) if name in oracles else got
+        except Exception as exc:  # report and go on with the other queries
+            print(f"{name:45s} ERROR {str(exc)[:700]}")
+            bad.append(name)
+            continue
+        same = got == want
+        print(f"{name:45s} {'ok' if same else 'DIFF'} rows={len(got[1])}/{len(want[1])} "
+              f"spark={t1 - t:.2f}s duck={time.time() - t1:.2f}s", flush=True)
+        if not same:
+            bad.append(name)
+            print("   columns", got[0], want[0])
+            diff = [(g, w) for g, w in zip(got[1], want[1]) if g != w][:3]
+            for g, w in diff:
+                print("   spark", g, "\n   duck ", w)
+    print("bad:", bad)
+
+
+if __name__ == "__main__":
+    main(sys.argv[1:])
