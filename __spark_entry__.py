@@ -50,6 +50,10 @@ def _underwater(spark: SparkSession, sf: str) -> DataFrame:
     return tm.underwater(_equity(spark, sf))
 
 
+def _rounded_episodes(episodes: DataFrame) -> DataFrame:
+    return _rounded(_rounded(episodes, "equity_high", places=2), "pct", places=6)
+
+
 def _episodes(spark: SparkSession, sf: str, merge: bool = False) -> DataFrame:
     return tm.resampled_episodes(fx.backtest(spark, sf), RUNS, SEED, merge)
 
@@ -203,23 +207,23 @@ def backtest_systems(spark, sf):
 
 
 def permutation_resample(spark, sf):
-    return tm.permutation_resample(fx.backtest(spark, sf), RUNS, SEED)
+    return _rounded(tm.permutation_resample(fx.backtest(spark, sf), RUNS, SEED), "equity", places=2)
 
 
 def drawdown_episodes(spark, sf):
-    return _rounded(_episodes(spark, sf), "pct")
+    return _rounded_episodes(_episodes(spark, sf))
 
 
 def drawdown_episodes_merged(spark, sf):
-    return _rounded(_episodes(spark, sf, merge=True), "pct")
+    return _rounded_episodes(_episodes(spark, sf, merge=True))
 
 
 def drawdown_episodes_by_depth(spark, sf):
-    return _rounded(tm.sorted_episodes(_episodes(spark, sf), "pct"), "pct")
+    return _rounded_episodes(tm.sorted_episodes(_episodes(spark, sf), "pct"))
 
 
 def worst_drawdowns_pct(spark, sf):
-    return _rounded(tm.worst_drawdowns(_episodes(spark, sf), "pct", WORST), "worst_1", "worst_n")
+    return _rounded(tm.worst_drawdowns(_episodes(spark, sf), "pct", WORST), "worst_1", "worst_n", places=6)
 
 
 def worst_drawdowns_days(spark, sf):
@@ -229,7 +233,7 @@ def worst_drawdowns_days(spark, sf):
 def _distribution(spark, sf, metric):
     worst = tm.worst_drawdowns(_episodes(spark, sf), metric, WORST)
     out = tm.drawdown_vs_resample(tm.current_drawdown(_underwater(spark, sf)), worst, metric)
-    return _rounded(out, "current", "worst_n", "worst_1")
+    return _rounded(out, "current", "worst_n", "worst_1", places=6)
 
 
 def drawdown_vs_resample(spark, sf):

@@ -123,10 +123,11 @@ def write_open_pl_wide(rows: DataFrame, path: str, files_per_month: int) -> None
     months = rows.select(F.trunc("date", "month").alias("date")).distinct()
     heads = months.select(
         month_key(F.col("date")).alias("month"), F.explode(F.sequence(F.lit(0), F.lit(files_per_month - 1))).alias("part"),
-        F.array(numbers, repeated, names).alias("heads")).select(
-        "month", "part", F.posexplode("heads").alias("line_no", "cells")).select(
+        "date").select(
+        "month", "part", F.posexplode(F.array(numbers, repeated, names)).alias("line_no", "cells")).select(
         "month", "part", "line_no", F.concat_ws(",", "cells").alias("value"))
-    (lines.unionByName(heads).repartition("month", "part").sortWithinPartitions("month", "part", "line_no")
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (lines.unionByName(heads).repartition(partitions, "month", "part").sortWithinPartitions("month", "part", "line_no")
      .drop("line_no").write.partitionBy("month", "part").text(path))
 
 

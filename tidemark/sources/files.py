@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from .. import schemas
 from ..functions.dates import parse_day_first
 from ..functions.text import clean_name
+from .shared import spool
 
 # Field names of the input files, trimmed and upper-cased -> column.
 _TRADE_FIELDS = {
@@ -31,11 +32,10 @@ def _typed(text: Column, wanted: T.DataType) -> Column:
     if isinstance(wanted, T.DateType):
         return parse_day_first(text)
     if isinstance(wanted, T.LongType):
-        number = F.trim(text)
-        return F.coalesce(number.try_cast("bigint"), number.try_cast("double").try_cast("bigint"))
+        return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
     if isinstance(wanted, T.StringType):
         return text
-    return F.trim(text).try_cast(wanted)
+    return text.try_cast(wanted)
 
 
 def load_bars(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
@@ -81,62 +81,64 @@ def backtest_systems(backtest: DataFrame) -> DataFrame:
 
 
 def _cells(line: Column) -> Column:
-    """Cells of one CSV line as an array; quoted cells may hold commas and doubled quotes."""
-    parts = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(r'(\s*"(?:[^"]|"")*+"\s*|[^,]*+),'), F.lit(1))
+    """Cells of one CSV line as an array; only lines with quotes need the pattern."""
+    pattern = r'\s*("(?:[^"]|"")*+"|[^,]*+)\s*,'
 
-    def plain(cell: Column) -> Column:
-        cell = F.trim(cell)
-        return F.when(cell.startswith('"'), F.replace(F.regexp_replace(cell, r'^"|"$', ""), F.lit('""'), F.lit('"'))
-                      ).otherwise(cell)
+    def unquoted(cell: Column) -> Column:
+        inner = F.replace(F.regexp_replace(cell, r'^"|"$', ""), F.lit('""'), F.lit('"'))
+        return F.when(F.startswith(cell, F.lit('"')), inner).otherwise(cell)
 
-    return F.transform(parts, plain)
+    quoted = F.transform(F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(pattern), F.lit(1)), unquoted)
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
 
 
-def _blocks(lines: DataFrame) -> DataFrame:
-    """Header lines of each file, and per date block the cell number of each field.
+def _heads(lines: DataFrame) -> DataFrame:
+    """The three header lines of each file: file, head_1, head_2, head_3."""
+    order = W.partitionBy("file").orderBy("place")
+    return (lines.where("block_start = 0").withColumn("place", F.monotonically_increasing_id())
+            .withColumn("line_no", F.row_number().over(order)).where("line_no <= 3")
+            .groupBy("file").agg(*[F.max(F.when(F.col("line_no") == n, F.col("value"))).alias(f"head_{n}")
+                                   for n in (1, 2, 3)]))
+
+
+def _blocks(heads: DataFrame) -> DataFrame:
+    """Per file and date: MD5 of the header lines, and the cell number of each field (``at_<name>``).
 
     Line 1 is a plain header, line 2 holds the date of every column, line 3 its field. A date may
     occur twice; the first cell of each (date, field) counts.
     """
-    order = W.partitionBy("file").orderBy("place")
-    heads = (lines.where("block_start = 0").withColumn("place", F.monotonically_increasing_id())
-             .withColumn("line_no", F.row_number().over(order)).where("line_no <= 3")
-             .groupBy("file").agg(*[F.max(F.when(F.col("line_no") == n, F.col("value"))).alias(f"head_{n}")
-                                    for n in (1, 2, 3)]))
+    names = ["md5_1", "md5_2", "md5_3"]
     columns = heads.select(
-        "file", F.posexplode(F.arrays_zip(_cells(F.col("head_2")).alias("day"), _cells(F.col("head_3")).alias("field")))
-        .alias("cell", "head"))
-    day = parse_day_first(F.col("head.day"))
-    field = F.upper(F.trim("head.field"))
-    per_date = (columns.where(day.isNotNull()).groupBy("file", day.alias("date"))
-                .agg(*[F.min(F.when(field == f, F.col("cell"))).alias(n) for f, n in _OPEN_FIELDS.items()]))
-    blocks = per_date.groupBy("file").agg(
-        F.collect_list(F.struct("date", *_OPEN_FIELDS.values())).alias("blocks"))
-    return heads.join(blocks, "file")
+        "file", *[F.md5(f"head_{n}").alias(f"md5_{n}") for n in (1, 2, 3)], F.posexplode(F.arrays_zip(
+            _cells(F.col("head_2")).alias("day"), _cells(F.col("head_3")).alias("field"))).alias("cell", "head"))
+    titled = columns.select("file", *names, "cell", parse_day_first(F.col("head.day")).alias("date"),
+                            F.upper(F.trim("head.field")).alias("field"))
+    return (titled.where("date is not null").groupBy("file", *names, "date")
+            .agg(*[F.min(F.when(F.col("field") == f, F.col("cell"))).alias(f"at_{n}")
+                   for f, n in _OPEN_FIELDS.items()]))
 
 
 def load_open_pl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Daily open positions from wide files, one row per position and date.
 
     Works on any number of files, each with its own three header lines and date blocks; a file's
-    header is met by its lines through a join on the file name. Rows blank throughout a block are
-    dropped. Blank numbers become 0 and a blank action becomes long; blank text stays NULL.
+    blocks meet its lines through a join on the file name, which takes the place of a loop over
+    files and dates. The blocks are stored first, so that the join knows their size: small ones are
+    sent to the lines, which then need no shuffle. Rows blank throughout a block are dropped. Blank numbers become 0 and a blank
+    action becomes long; blank text stays NULL.
     """
+    names = list(_OPEN_FIELDS.values())
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
                                          F.col("_metadata.file_block_start").alias("block_start"))
-    data = (lines.select("value", "file").join(_blocks(lines), "file")
-            .where(~F.col("value").isin(F.col("head_1"), F.col("head_2"), F.col("head_3")))
-            .select("blocks", _cells(F.col("value")).alias("cells")))
-
-    def record(block: Column) -> Column:
-        return F.struct(block["date"].alias("date"), *[
-            F.nullif(F.get("cells", block[n]), F.lit("")).alias(n) for n in _OPEN_FIELDS.values()])
-
-    rows = (data.select(F.explode(F.transform("blocks", record)).alias("r")).select("r.*")
-            .dropna("all", subset=list(_OPEN_FIELDS.values())))
-    typed = rows.select("date", *[_typed(F.col(f.name), f.dataType).alias(f.name)
-                                  for f in schemas.OPEN_PL if f.name != "date"])
-    return (typed.fillna(0, subset=["entry_price", "qty", "closing_price"])
-            .withColumn("pl", F.coalesce("pl", F.lit(0).cast(schemas.MONEY)))
-            .withColumn("action", F.coalesce("action", F.lit(_DEFAULT_ACTION)))
-            .select(*schemas.OPEN_PL.names))
+    parsed = lines.select("file", F.md5("value").alias("md5"), _cells(F.col("value")).alias("cells"))
+    is_head = F.col("md5").isin(F.col("md5_1"), F.col("md5_2"), F.col("md5_3"))
+    blocks = spool(_blocks(_heads(lines)), "open-pl-blocks")
+    raw = (parsed.join(blocks, "file").where(~is_head)
+           .select("date", *[F.trim(F.get("cells", F.col(f"at_{n}"))).alias(n) for n in names]))
+    text = {n: F.nullif(F.col(n), F.lit("")) for n in ("system", "action", "ticker")}
+    filled = raw.where(F.concat_ws("", *names) != "").select("date", *[text.get(n, F.col(n)).alias(n) for n in names])
+    defaults = {"action": F.lit(_DEFAULT_ACTION), "entry_price": F.lit(0.0), "qty": F.lit(0),
+                "closing_price": F.lit(0.0), "pl": F.lit(0).cast(schemas.MONEY)}
+    typed = {f.name: _typed(F.col(f.name), f.dataType) for f in schemas.OPEN_PL if f.name != "date"}
+    return filled.select("date", *[(F.coalesce(c, defaults[n]) if n in defaults else c).alias(n)
+                                   for n, c in typed.items()])
