@@ -157,6 +157,7 @@ combined as (
 select date, round(v, 4) as combined_corr from combined where n > 60"""
 
 
+# Products are taken strictly from left to right: a windowed product may associate otherwise.
 _CURVES = """numbered as (
   select system, date, equity, row_number() over w - 1 as step, first_value(equity) over w as base,
          coalesce(equity / lag(equity) over w - 1, 0) as change
@@ -167,11 +168,12 @@ placed as (
               else row_number() over (partition by system, run
                                       order by md5(concat('42|', run, '|', system, '|', step)), step) - 1 end as place
   from numbered, range(21) as r(run)),
+factors as (
+  select system, run, any_value(base) as base, list([1 + change] order by place) as fs from placed group by 1, 2),
+products as (
+  select system, run, base, list_reduce(fs, lambda a, b: list_append(a, a[-1] * b[1])) as ps from factors),
 curves as (
-  select system, run, place as step,
-         round(base * product(1 + change) over (partition by system, run order by place rows unbounded preceding), 4)
-         as equity
-  from placed)"""
+  select system, run, unnest(range(len(ps))) as step, round(base * unnest(ps), 4) as equity from products)"""
 
 _EPISODES = """peaks as (
   select *, max(equity) over (partition by system, run order by step rows unbounded preceding) as equity_high
@@ -188,13 +190,13 @@ def _worst(metric: str) -> str:
   select system, cast({metric} as double) as v, row_number() over (partition by system order by {metric} desc) as n
   from episodes),
 worst as (
-  select system, '{metric}' as metric, round(max(v), 6) as worst_1, round(min(v), 6) as worst_n
+  select system, '{metric}' as metric, round(max(v), 8) as worst_1, round(min(v), 8) as worst_n
   from ranked where n <= 10 group by system)"""
 
 
 def _distribution(metric: str) -> str:
     return (_with(*_SYSTEMS, _DD, _CURRENT, _BACKTEST, _CURVES, _EPISODES, _worst(metric))
-            + f"""select worst.system, metric, round(cast(dd_{metric} as double), 6) as current, worst_n, worst_1
+            + f"""select worst.system, metric, round(cast(dd_{metric} as double), 8) as current, worst_n, worst_1
 from worst left join current using (system)""")
 
 
@@ -307,17 +309,17 @@ from current""",
 
     "backtest_systems": _with(_TRADES, _BACKTEST) + "select distinct upper(system) as system from backtest",
 
-    "permutation_resample": _with(*_RESAMPLED) + "select system, run, step, round(equity, 2) as equity from curves",
+    "permutation_resample": _with(*_RESAMPLED) + "select system, run, step, equity from curves",
 
     "drawdown_episodes": _with(*_RESAMPLED, _EPISODES)
-    + "select system, run, round(equity_high, 2) as equity_high, round(pct, 6) as pct, days from episodes",
+    + "select system, run, equity_high, round(pct, 8) as pct, days from episodes",
 
     "drawdown_episodes_merged": _with(*_RESAMPLED, _EPISODES) + """
-select system, arg_max(run, (pct, -run)) as run, round(equity_high, 2) as equity_high, round(max(pct), 6) as pct, sum(days) as days
+select system, arg_max(run, (pct, -run)) as run, equity_high, round(max(pct), 8) as pct, sum(days) as days
 from episodes group by system, equity_high""",
 
     "drawdown_episodes_by_depth": _with(*_RESAMPLED, _EPISODES)
-    + "select system, run, round(equity_high, 2) as equity_high, round(pct, 6) as pct, days from episodes order by pct desc",
+    + "select system, run, equity_high, round(pct, 8) as pct, days from episodes order by pct desc",
 
     "worst_drawdowns_pct": _with(*_RESAMPLED, _EPISODES, _worst("pct")) + "select * from worst",
 

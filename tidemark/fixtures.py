@@ -7,7 +7,10 @@ multiplied, so that sums are exact.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from . import schemas
 from .functions.dates import month_key
@@ -18,8 +21,15 @@ START_CAPITAL = 1_000_000
 SYSTEMS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
+@functools.cache
+def _schema(path: str) -> StructType:
+    """Schema of a file, looked up once per process instead of once per scan."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(path)).parquet(path)
 
 
 def _positions(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:

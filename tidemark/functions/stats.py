@@ -49,6 +49,10 @@ def safe_corr(x: Column, y: Column) -> Column:
 
 
 def round_to(value: Column, places: int) -> Column:
-    """Round a double to ``places`` decimals without leaving primitive arithmetic."""
+    """Round a double half up to ``places`` decimals in primitive arithmetic.
+
+    Beyond 2**52 a scaled double is a whole number already.
+    """
     scale = float(10 ** places)
-    return F.rint(value * scale) / scale
+    scaled = value * scale
+    return F.when(F.abs(scaled) < float(2 ** 52), F.floor(scaled + 0.5).cast("double")).otherwise(scaled) / scale

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..sources.shared import spool
+
 SYSTEMS_PER_BLOCK = 256
 
 
@@ -60,12 +63,14 @@ def system_correlation(equity_abs: DataFrame, value: str = "equity") -> DataFram
 
     Systems are hashed into blocks of about ``SYSTEMS_PER_BLOCK``; each pair of blocks is one
     group whose size is bounded by block size x dates, and one matrix product computes it. The
-    only pairs that are ever produced are the result rows.
+    only pairs that are ever produced are the result rows. The standardised curves are stored
+    first: their number sets the number of blocks, and they are needed once per block.
     """
-    blocks = (equity_abs.agg(F.ceil(F.approx_count_distinct("system") / SYSTEMS_PER_BLOCK).alias("n"))
-              .select(F.greatest("n", F.lit(1)).cast("int").alias("n")).scalar())
-    vectors = _standard_vectors(equity_abs, value).withColumn("block", F.pmod(F.xxhash64("system"), blocks).cast("int"))
-    paired = vectors.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")).select(
+    vectors = spool(_standard_vectors(equity_abs, value), "standard-curves")
+    blocks = max(1, math.ceil(vectors.count() / SYSTEMS_PER_BLOCK))
+    block = F.pmod(F.xxhash64("system"), F.lit(blocks)).cast("int").alias("block")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    paired = vectors.select("*", block).select("*", other).select(
         "system", "z", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     out = paired.groupBy("low", "high").applyInPandas(
         _correlate_blocks, "system_a string, system_b string, corr double")
@@ -97,12 +102,13 @@ def rolling_dd_correlation(dd: DataFrame, lookback: int = 60, inactive: Iterable
         (F.max(x).over(window) > F.min(x).over(window)).alias("varies"))
     usable = F.col("varies") & (F.size("xs") == lookback)
     standard = F.when(usable, F.transform("xs", lambda v: F.try_divide(v - F.col("mean"), F.col("sd"))))
-    slots = [F.sum(F.col("zs")[k]).alias(f"s{k}") for k in range(lookback)]
-    per_date = (windows.select("date", standard.alias("zs"))
-                .groupBy("date").agg(F.count(F.lit(1)).alias("n"), *slots))
-    squares = F.aggregate(F.array(*[F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(lookback)]),
-                          F.lit(0.0), lambda acc, s: acc + s * s)
+    # The outer form keeps one row, without a slot, for a system that is not usable on a date.
+    slots = (windows.select("date", F.posexplode_outer(standard).alias("slot", "z"))
+             .groupBy("date", "slot").agg(F.sum("z").alias("z"), F.count(F.lit(1)).alias("systems")))
+    per_date = slots.groupBy("date").agg(
+        F.coalesce(F.sum(F.col("z") * F.col("z")), F.lit(0.0)).alias("squares"),
+        F.sum(F.when(F.coalesce("slot", F.lit(0)) == 0, F.col("systems"))).alias("n"))
     n = F.col("n")
-    return (per_date.select("date", ((squares / lookback - n) / (2 * n)).alias("combined_corr"),
+    return (per_date.select("date", ((F.col("squares") / lookback - n) / (2 * n)).alias("combined_corr"),
                             F.row_number().over(W.orderBy("date")).alias("row_no"))
             .where(F.col("row_no") > lookback).drop("row_no"))

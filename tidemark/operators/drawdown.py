@@ -32,13 +32,17 @@ def current_drawdown(dd: DataFrame) -> DataFrame:
 
 
 def episodes_over(curves: DataFrame, curve_keys: list[str], order: list[Column]) -> DataFrame:
-    """Episodes of curves identified by ``curve_keys`` and laid out by ``order``."""
+    """Episodes of curves identified by ``curve_keys`` and laid out by ``order``.
+
+    The episodes are grouped by the same keys as the window, so they stay where the curves are.
+    """
     so_far = running(W.partitionBy(*curve_keys).orderBy(*order))
     depth = F.abs(rate_of(F.col("equity"), F.col("equity_high")))
     return (curves.withColumn("equity_high", F.max("equity").over(so_far))
             .where("equity < equity_high")
-            .groupBy("system", "run", "equity_high")
-            .agg(F.max(depth).alias("pct"), F.count(F.lit(1)).alias("days")))
+            .groupBy(*curve_keys, "equity_high")
+            .agg(F.max(depth).alias("pct"), F.count(F.lit(1)).alias("days"))
+            .select("system", "run", "equity_high", "pct", "days"))
 
 
 def merge_equal_peaks(episodes: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def _daily_returns(backtest: DataFrame) -> DataFrame:
 
 
 def _laid_out(backtest: DataFrame, runs: int, seed: int) -> DataFrame:
-    """Every run of every system: system, run_block, run, source step and its place in the run.
+    """Every run of every system: system, run_block, run, original step and its place in the run.
 
     Only one copy per block of runs goes through the shuffle; the runs of a block are unfolded on
     the receiving side, next to the windows that use them. With few systems the blocks give the
@@ -50,7 +50,7 @@ def _curves(backtest: DataFrame, runs: int, seed: int) -> DataFrame:
     by_place = W.partitionBy(*_CURVE).orderBy("place", "step")
     grown = compound_from(F.col("base"), F.col("change"), by_place)
     return _laid_out(backtest, runs, seed).select(
-        *_CURVE, "place", F.col("step").alias("source_step"),
+        *_CURVE, "place", "step",
         (F.row_number().over(by_place) - 1).alias("new_step"), grown.alias("grown"),
     ).withColumn("equity", round_to(F.col("grown"), EQUITY_PLACES)).drop("grown")
 
@@ -67,5 +67,5 @@ def permutation_resample(backtest: DataFrame, runs: int = 100, seed: int = 42) -
 
 def resampled_episodes(backtest: DataFrame, runs: int = 100, seed: int = 42, merge_peaks: bool = False) -> DataFrame:
     """``drawdown_episodes(permutation_resample(...))`` without a second shuffle or sort of the curves."""
-    episodes = episodes_over(_curves(backtest, runs, seed), _CURVE, [F.col("place"), F.col("source_step")])
+    episodes = episodes_over(_curves(backtest, runs, seed), _CURVE, [F.col("place"), F.col("step")])
     return merge_equal_peaks(episodes) if merge_peaks else episodes

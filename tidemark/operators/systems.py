@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Iterable, Mapping
 from decimal import Decimal
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .. import schemas
@@ -20,7 +21,8 @@ def system_list(rows: DataFrame) -> DataFrame:
 
 def allocations(spark: SparkSession, shares: Mapping[str, float]) -> DataFrame:
     """The allocation map as a small table: system, alloc. Shares need not add up to 1."""
-    return spark.createDataFrame([(s, float(a)) for s, a in shares.items()], schemas.ALLOCATIONS)
+    table = pa.table({"system": list(shares), "alloc": [float(a) for a in shares.values()]})
+    return spark.createDataFrame(table, schemas.ALLOCATIONS)
 
 
 def system_daily_pl(trades: DataFrame, open_pl: DataFrame, date_from: dt.date, date_to: dt.date,
