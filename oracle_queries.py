@@ -107,7 +107,7 @@ _MONTHLY = _with(*_PORTFOLIO, _days("1994-12-31"), _months("")) + f"select ym, {
 
 def _system_pl(chosen: str) -> str:
     return f"""pl as (
-  select date, system, sum(c) as pl_closed, sum(o) as pl_open
+  select date, system, cast(sum(c) as decimal(28,4)) as pl_closed, cast(sum(o) as decimal(28,4)) as pl_open
   from (select exit_date as date, system, pl as c, 0 as o from trades
         union all select date, system, 0, pl from open_pl)
   where date > date '1994-12-31' and date <= date '2000-12-31' and system in ({chosen})
@@ -167,13 +167,13 @@ placed as (
          case when run = 0 then step
               else row_number() over (partition by system, run
                                       order by md5(concat('42|', run, '|', system, '|', step)), step) - 1 end as place
-  from numbered, range(21) as r(run)),
+  from numbered, (select cast(range as integer) as run from range(21))),
 factors as (
   select system, run, any_value(base) as base, list([1 + change] order by place) as fs from placed group by 1, 2),
 products as (
   select system, run, base, list_reduce(fs, lambda a, b: list_append(a, a[-1] * b[1])) as ps from factors),
 curves as (
-  select system, run, unnest(range(len(ps))) as step, round(base * unnest(ps), 4) as equity from products)"""
+  select system, run, cast(unnest(range(len(ps))) as integer) as step, round(base * unnest(ps), 4) as equity from products)"""
 
 _EPISODES = """peaks as (
   select *, max(equity) over (partition by system, run order by step rows unbounded preceding) as equity_high
@@ -219,9 +219,10 @@ from calendar
 union all select 'ytd', cast(date_trunc('year', date) - interval 1 day as date), date from calendar
 union all select 'all', date '1994-12-31', date from calendar""",
 
-    "daily_closed_pl": _with(_TRADES) + "select exit_date as date, sum(pl) as pl_closed from trades group by 1",
+    "daily_closed_pl": _with(_TRADES) + "select exit_date as date, cast(sum(pl) as decimal(28,4)) as pl_closed from trades group by 1",
 
-    "daily_open_pl": _with(_OPEN) + "select date, sum(pl) as pl_open from open_pl group by 1",
+    "daily_open_pl": _with(_OPEN)
+    + "select date, cast(sum(pl) as decimal(28,4)) as pl_open from open_pl group by 1",
 
     "table_counts": _with(_TRADES, _OPEN, _BARS, _BACKTEST) + """
 select 'trades' as table_name, count(*) as row_count from trades
@@ -315,7 +316,7 @@ from current""",
     + "select system, run, equity_high, round(pct, 8) as pct, days from episodes",
 
     "drawdown_episodes_merged": _with(*_RESAMPLED, _EPISODES) + """
-select system, arg_max(run, (pct, -run)) as run, equity_high, round(max(pct), 8) as pct, sum(days) as days
+select system, arg_max(run, (pct, -run)) as run, equity_high, round(max(pct), 8) as pct, cast(sum(days) as bigint) as days
 from episodes group by system, equity_high""",
 
     "drawdown_episodes_by_depth": _with(*_RESAMPLED, _EPISODES)
@@ -350,6 +351,6 @@ select date, system, action, ticker, 0.0::double as entry_price, qty, 0.0::doubl
     "table_roundtrip": _with(_OPEN) + "select date, sum(pl) as pl_open from open_pl group by 1",
 
     "sql_with_parameters": _with(_TRADES) + """
-select system, exit_date, sum(pl) as pl from trades
+select system, exit_date, cast(sum(pl) as decimal(28,4)) as pl from trades
 where exit_date > date '1999-12-31' and exit_date <= date '2000-12-31' group by 1, 2""",
 }

@@ -1,0 +1,81 @@
+import datetime as dt
+
+import numpy as np
+import pandas as pd
+import pytest
+
+import tidemark as tm
+from helpers import as_map, plan_of
+from tidemark.operators import correlation
+
+
+def frame(spark, wide: pd.DataFrame, value: str):
+    rows = [(d, s, None if np.isnan(v) else float(v)) for s in wide.columns for d, v in wide[s].items()]
+    return spark.createDataFrame(rows, f"date date, system string, {value} double")
+
+
+def curves(n_systems: int, n_days: int, seed: int = 1) -> pd.DataFrame:
+    rng = np.random.default_rng(seed)
+    days = [dt.date(2022, 1, 1) + dt.timedelta(days=i) for i in range(n_days)]
+    return pd.DataFrame({f"S{i:02d}": 1000 + rng.normal(size=n_days).cumsum() for i in range(n_systems)}, index=days)
+
+
+@pytest.mark.parametrize("per_block", [3, 256])
+def test_matrix_in_blocks(spark, monkeypatch, per_block):
+    monkeypatch.setattr(correlation, "SYSTEMS_PER_BLOCK", per_block)
+    wide = curves(11, 40)
+    wide["FLAT"] = 0.1
+    got = as_map(tm.system_correlation(frame(spark, wide, "equity")), "system_a", "system_b")
+    assert len(got) == 12 * 12
+    for a in wide.columns:
+        for b in wide.columns:
+            want = np.corrcoef(wide[a], wide[b])[0, 1] if "FLAT" not in (a, b) else None
+            assert got[(a, b)] == (None if want is None else pytest.approx(want, abs=1e-12))
+            assert got[(a, b)] == got[(b, a)]
+    assert got[("S00", "S00")] == 1.0
+
+
+def test_no_correlation_of_nothing(spark):
+    empty = spark.createDataFrame([], "date date, system string, equity double")
+    assert tm.system_correlation(empty).count() == 0
+
+
+def brute_rolling(wide: pd.DataFrame, lookback: int) -> dict[str, float]:
+    """Every window and every pair, one by one."""
+    n, out = wide.shape[1], {}
+    for end in range(len(wide)):
+        total = 0.0
+        if end + 1 >= lookback:
+            part = wide.iloc[end + 1 - lookback:end + 1]
+            live = [part[c].to_numpy() for c in part if part[c].max() > part[c].min() and part[c].notna().all()]
+            total = sum(np.corrcoef(x, y)[0, 1] for x in live for y in live)
+        out[str(wide.index[end])] = (total - n) / 2 / n
+    return dict(list(out.items())[lookback:])
+
+
+@pytest.mark.parametrize("lookback", [5, 12])
+def test_rolling_equals_all_pairs(spark, lookback):
+    wide = curves(6, 45, seed=7)
+    wide = (wide / wide.cummax() - 1) * 100
+    wide.iloc[10:35, 0] = -3.0         # flat for longer than either window
+    wide.iloc[:, 1] = 0.0              # never under water: left out, not counted in n
+    wide.iloc[20:22, 2] = np.nan
+    used = wide.drop(columns=["S01", "S05"])
+    dd = frame(spark, wide, "dd_pct")
+    got = as_map(tm.rolling_dd_correlation(dd, lookback, inactive=["S05", "absent"]), "date")
+    want = brute_rolling(used, lookback)
+    assert got.keys() == want.keys()
+    for d in want:
+        assert got[d] == pytest.approx(want[d], abs=1e-9), d
+
+
+def test_all_flat_windows_give_minus_half(spark):
+    days = [dt.date(2022, 1, 1) + dt.timedelta(days=i) for i in range(10)]
+    wide = pd.DataFrame({"A": [-1.0] * 10, "B": [-2.0] * 10}, index=days)
+    got = as_map(tm.rolling_dd_correlation(frame(spark, wide, "dd_pct"), 4), "date")
+    assert len(got) == 6 and set(got.values()) == {-0.5}
+
+
+def test_no_pairs_in_the_rolling_plan(spark):
+    plan = plan_of(tm.rolling_dd_correlation(frame(spark, curves(3, 10), "dd_pct"), 4))
+    assert "Join" not in plan and "Cartesian" not in plan

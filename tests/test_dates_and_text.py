@@ -1,0 +1,56 @@
+from pyspark.sql import functions as F
+
+import tidemark as tm
+from helpers import as_map, bars, day
+from tidemark.functions import format_2dp, month_end, parse_day_first, period_start, round_to, safe_corr, trunc_2dp
+
+
+def one(spark, column):
+    return spark.range(1).select(column).first()[0]
+
+
+def test_month_end(spark):
+    d = F.lit(day("2022-12-31"))
+    got = [str(one(spark, month_end(d, m))) for m in (0, -1, -2, -12, 2)]
+    assert got == ["2022-12-31", "2022-11-30", "2022-10-31", "2021-12-31", "2023-02-28"]
+
+
+def test_periods(spark):
+    got = as_map(tm.period_bounds(spark, day("2022-12-31")).select("period", "date_from"), "period")
+    assert {k: str(v) for k, v in got.items()} == {
+        "current_month": "2022-11-30", "2_months": "2022-10-31", "3_months": "2022-09-30",
+        "ytd": "2021-12-31", "all": "2000-01-01"}
+    assert str(one(spark, period_start(F.lit(day("2022-03-15")), "ytd"))) == "2021-12-31"
+
+
+def test_calendar_floor_and_parts(spark):
+    b = bars(spark, ("2021-12-31", 1.0), ("2022-01-03", 1.0), ("2022-02-01", 1.0), ("2022-02-01", 2.0))
+    got = as_map(tm.business_calendar(b, day("2022-01-01")), "date")
+    assert got == {"2022-01-03": (1, 2022), "2022-02-01": (2, 2022)}
+
+
+def test_day_first(spark):
+    df = spark.createDataFrame([("1/2/2022",), ("31/12/2022 ",), ("2022-02-01",), ("2022-02-01 09:30:00-04:00",),
+                                ("",), ("n/a",), (None,)], "t string")
+    got = [r[0] and str(r[0]) for r in df.select(parse_day_first(F.col("t"))).collect()]
+    assert got == ["2022-02-01", "2022-12-31", "2022-02-01", "2022-02-01", None, None, None]
+
+
+def test_two_decimals(spark):
+    cases = {1.239: 1.23, -1.239: -1.23, 0.29: 0.29, 12.0: 12.0, 4.999999: 4.99, 0.0: 0.0}
+    df = spark.createDataFrame([(k,) for k in cases], "x double").select("x", trunc_2dp(F.col("x")).alias("y"))
+    assert {r.x: r.y for r in df.collect()} == cases
+    assert one(spark, format_2dp(F.lit(3.14159))) == "3.14"
+    assert one(spark, format_2dp(F.lit(-2.0))) == "-2.00"
+
+
+def test_round_to(spark):
+    assert one(spark, round_to(F.lit(1.00005), 4)) in (1.0, 1.0001)  # the double lies next to the tie
+    assert one(spark, round_to(F.lit(2.5), 0)) == 3.0
+    assert one(spark, round_to(F.lit(1e18), 4)) == 1e18
+
+
+def test_safe_corr(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.0, 5.0), (3.0, 5.0, 5.0)], "a double, b double, c double")
+    r = df.select(safe_corr(F.col("a"), F.col("b")), safe_corr(F.col("a"), F.col("c"))).first()
+    assert abs(r[0] - 0.9819805060619657) < 1e-12 and r[1] is None
