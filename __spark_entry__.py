@@ -179,6 +179,10 @@ def underwater(spark, sf):
     return _rounded(_underwater(spark, sf), "dd_pct")
 
 
+def underwater_selected(spark, sf):
+    return tm.of_systems(underwater(spark, sf), SELECTED)
+
+
 def current_drawdown(spark, sf):
     return _rounded(tm.current_drawdown(_underwater(spark, sf)), "dd_pct")
 
@@ -295,7 +299,7 @@ _QUERIES = (
     monthly_returns_all_periods, monthly_returns_vs_benchmark_all_periods, monthly_table,
     system_list, system_daily_pl, system_daily_pl_selected, system_equity_abs, system_equity_abs_selected,
     system_equity_pct, system_equity_wide, system_correlation, trade_blotter, trade_blotter_selected,
-    daily_pct_change, underwater, current_drawdown, risk_key_metrics, rolling_dd_correlation,
+    daily_pct_change, underwater, underwater_selected, current_drawdown, risk_key_metrics, rolling_dd_correlation,
     rolling_dd_correlation_active, backtest_systems, permutation_resample, drawdown_episodes,
     drawdown_episodes_merged, drawdown_episodes_by_depth, worst_drawdowns_pct, worst_drawdowns_days,
     drawdown_vs_resample, drawdown_vs_resample_days, load_trades, load_bars, backtest_unpivot,

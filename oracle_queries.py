@@ -297,6 +297,9 @@ from backtest""",
 
     "underwater": _with(*_SYSTEMS, _DD) + "select date, system, round(dd_pct, 8) as dd_pct from dd",
 
+    "underwater_selected": _with(*_SYSTEMS, _DD)
+    + f"select date, system, round(dd_pct, 8) as dd_pct from dd where system in ({_SELECTED})",
+
     "current_drawdown": _with(*_SYSTEMS, _DD, _CURRENT)
     + "select system, dd_days, round(dd_pct, 8) as dd_pct, is_underwater from current",
 

@@ -2,7 +2,7 @@
 
 from .calendar import business_calendar, period_bounds, period_bounds_of
 from .correlation import rolling_dd_correlation, system_correlation
-from .daily import closed_pl_by_date, daily_close, open_pl_by_date, table_counts
+from .daily import closed_pl_by_date, daily_close, of_systems, open_pl_by_date, table_counts
 from .drawdown import (current_drawdown, drawdown_episodes, drawdown_vs_resample, sorted_episodes, underwater,
                        worst_drawdowns)
 from .portfolio import (benchmark_base, daily_equity, daily_equity_all_periods, daily_equity_vs_benchmark,

@@ -107,6 +107,10 @@ def daily_pct_change(series: DataFrame, value: str = "equity") -> DataFrame:
 
 
 def trade_blotter(trades: DataFrame, entered_after: dt.date, systems: Iterable[str] | None = None) -> DataFrame:
-    """Trades entered after a date, newest id first. No upper bound; still open trades included."""
+    """Trades entered after a date, newest id first. No upper bound; still open trades included.
+
+    The other columns break ties, which also lets the range sort split an id that occurs very often.
+    """
+    ties = [c for c in trades.columns if c != "trade_id"]
     return (of_systems(trades, systems).where(F.col("entry_date") > F.lit(entered_after))
-            .orderBy(F.desc("trade_id")))
+            .orderBy(F.desc("trade_id"), *ties))
