@@ -266,7 +266,7 @@ def backtest_unpivot(spark, sf):
 
 def open_pl_from_wide(spark, sf):
     path = fresh_path(spark, "open-pl-wide")
-    fx.write_open_pl_wide(fx.open_positions_with_id(spark, sf), path, files_per_month=1)
+    fx.write_open_pl_wide(fx.open_positions_with_id(spark, sf), path)
     return tm.load_open_pl(spark, path)
 
 

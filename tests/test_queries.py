@@ -31,3 +31,11 @@ def test_same_rows(spark, con, name):
     want = duck_rows(con, entry.oracle_sql()[name])
     assert got[0] == want[0]
     assert got[1] == want[1]
+
+
+def test_wide_files_of_any_size(spark, con):
+    from tidemark import fixtures as fx, load_open_pl
+    from tidemark.sources import fresh_path
+    path = fresh_path(spark, "open-pl-wide")
+    fx.write_open_pl_wide(fx.open_positions_with_id(spark, SF_DIR), path, rows_per_file=20)
+    assert spark_rows(load_open_pl(spark, path)) == duck_rows(con, entry.oracle_sql()["open_pl_from_wide"])

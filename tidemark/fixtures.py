@@ -7,29 +7,27 @@ multiplied, so that sums are exact.
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import StructType
 
 from . import schemas
-from .functions.dates import month_key
 from .functions.stats import running
+from .sources.shared import spool
 
 START_CAPITAL = 1_000_000
 # The five order priorities.
 SYSTEMS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
-@functools.cache
-def _schema(path: str) -> StructType:
-    """Schema of a file, looked up once per process instead of once per scan."""
-    return SparkSession.active().read.parquet(path).schema
+# Schemas seen so far: looking one up is a job of its own, and a query scans a table several times.
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
-    return spark.read.schema(_schema(path)).parquet(path)
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _positions(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:
@@ -107,38 +105,38 @@ def write_bars_csv(rows: DataFrame, path: str) -> None:
                 ).write.option("header", True).csv(path)
 
 
-def write_open_pl_wide(rows: DataFrame, path: str, files_per_month: int) -> None:
+def write_open_pl_wide(rows: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
     """Wide open-position files: per month, three header lines and one block of cells per day.
 
-    A line fills the block of its own date and leaves the others blank. ``rows`` carries a unique
-    ``position_id``, by which a month is spread over several files however many copies of a row or
-    positions of a day there are.
+    A line fills the block of its own date and leaves the others blank. A month with many positions is
+    spread over as many files as its row count asks for, by the unique ``position_id``, so that neither a
+    busy day nor many copies of a row end up in one task.
     """
     # Field names of one block, in file order.
     fields = {"System": "system", "Ticker": "ticker", "Entry price": None, "Qty": "qty", "Exit price": None,
               "P/L": "pl", "Allocation": None, "L/S": "action"}
     width = len(fields)
-    part = F.pmod(F.xxhash64("position_id"), F.lit(files_per_month)).cast("int")
+    rows = rows.withColumn("month", F.trunc("date", "month"))
+    months = spool(rows.groupBy("month").agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("parts")), "months")
+
     cells = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
                                for c in fields.values()])
     before = F.repeat(F.lit(","), (F.dayofmonth("date") - 1) * width)
     after = F.repeat(F.lit(","), (F.dayofmonth(F.last_day("date")) - F.dayofmonth("date")) * width)
-    lines = rows.select(month_key(F.col("date")).alias("month"), part.alias("part"), F.lit(4).alias("line_no"),
-                        F.concat(before, cells, after).alias("value"))
+    lines = rows.join(months, "month").select(
+        "month", F.pmod(F.xxhash64("position_id"), "parts").alias("part"), F.lit(4).alias("line_no"),
+        F.concat(before, cells, after).alias("value"))
 
-    days = F.sequence(F.trunc("date", "month"), F.last_day("date"))
-    repeated = F.flatten(F.transform(days, lambda d: F.array_repeat(F.date_format(d, "dd/MM/yyyy"), width)))
-    names = F.flatten(F.array_repeat(F.array(*[F.lit(f) for f in fields]), F.size(days)))
+    days = F.sequence("month", F.last_day("month"))
     numbers = F.transform(F.sequence(F.lit(1), F.size(days) * width), lambda i: i.cast("string"))
-    months = rows.select(F.trunc("date", "month").alias("date")).distinct()
-    heads = months.select(
-        month_key(F.col("date")).alias("month"), F.explode(F.sequence(F.lit(0), F.lit(files_per_month - 1))).alias("part"),
-        "date").select(
-        "month", "part", F.posexplode(F.array(numbers, repeated, names)).alias("line_no", "cells")).select(
-        "month", "part", "line_no", F.concat_ws(",", "cells").alias("value"))
+    dates = F.flatten(F.transform(days, lambda d: F.array_repeat(F.date_format(d, "dd/MM/yyyy"), width)))
+    names = F.flatten(F.array_repeat(F.array(*[F.lit(f) for f in fields]), F.size(days)))
+    heads = (months.select("month", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+             .select("month", "part", F.posexplode(F.array(numbers, dates, names)).alias("line_no", "cells"))
+             .select("month", "part", "line_no", F.concat_ws(",", "cells").alias("value")))
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (lines.unionByName(heads).repartition(partitions, "month", "part").sortWithinPartitions("month", "part", "line_no")
-     .drop("line_no").write.partitionBy("month", "part").text(path))
+    (lines.unionByName(heads).repartition(partitions, "month", "part")
+     .sortWithinPartitions("month", "part", "line_no").drop("line_no").write.partitionBy("month", "part").text(path))
 
 
 def open_positions_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:

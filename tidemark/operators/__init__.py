@@ -12,4 +12,13 @@ from .resample import permutation_resample, resampled_episodes
 from .systems import (allocations, daily_pct_change, system_daily_pl, system_equity_abs, system_equity_pct,
                       system_equity_wide, system_list, trade_blotter)
 
-__all__ = [n for n in dir() if not n.startswith("_")]
+__all__ = [
+    "business_calendar", "period_bounds", "period_bounds_of", "rolling_dd_correlation", "system_correlation",
+    "closed_pl_by_date", "daily_close", "of_systems", "open_pl_by_date", "table_counts", "current_drawdown",
+    "drawdown_episodes", "drawdown_vs_resample", "sorted_episodes", "underwater", "worst_drawdowns",
+    "benchmark_base", "daily_equity", "daily_equity_all_periods", "daily_equity_vs_benchmark",
+    "daily_equity_vs_benchmark_all_periods", "monthly_returns", "monthly_returns_all_periods",
+    "monthly_returns_vs_benchmark", "monthly_returns_vs_benchmark_all_periods", "permutation_resample",
+    "resampled_episodes", "allocations", "daily_pct_change", "system_daily_pl", "system_equity_abs",
+    "system_equity_pct", "system_equity_wide", "system_list", "trade_blotter",
+]
