@@ -7,10 +7,12 @@ shingle pivots: with all shingles in one fixed order, common ones last, two docu
 shingle among the first quarter of each (n - ceil(3n/4) + 1 of n), so the documents that have a shingle
 there form a region, and every link lies inside a region. Each region is joined recursively:
 
-* a region of at most ``LEAF`` documents compares those not connected yet;
-* in a larger one, a pivot document is compared with all; the documents within r of it are its Voronoi
-  cell and connected through it; of them only those go on, next to the rest, that lie in the
-  triangle-inequality window of a document outside; the next pivot is the document farthest away;
+* a region of few documents compares those that are not connected yet;
+* a larger one gets a centre, and the distance of all to it. In each round some pivots of its largest connected part and
+  some outside it are compared with the documents of the other parts, except where the
+  triangle inequality over the centre rules a link out. The documents within r of a pivot are its Voronoi cell and connected
+  through it. The pivots are then settled; of the others only those go on that lie in the
+  triangle-inequality window of a document of another part;
 * a region ends as soon as its documents are connected.
 
 No link between different texts is lost and no group is expanded into all pairs. Equal sets are one
@@ -35,8 +37,12 @@ from tidemark.llm.common import (arrow_type, bloom_filter, bloom_has, connected_
 
 #: Shingles known to be common, put last in the order (1.5 MB). Any order is right; a good one is fast.
 COMMON = 1 << 17
-#: Documents of a region that are compared directly, and hash buckets of the shingle index.
-LEAF, BUCKETS = 16, 1024
+#: Documents of a region that are compared directly: at first, and at most after some rounds.
+LEAF, LAST_LEAF = 16, 128
+#: Pivots of a larger region in a round: outside its largest connected part, and inside it.
+OUTER_PIVOTS, INNER_PIVOTS = 8, 4
+#: Hash buckets of the shingle index.
+BUCKETS = 1024
 #: Shingles a task counts at a time, and common ones it reports of them.
 COUNTED, REPORTED = 4_000_000, 1 << 15
 
@@ -219,37 +225,58 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
     def pair(x: str, nx: str, y: str, ny: str):
         return (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.least(nx, ny).alias("lo"), F.greatest(nx, ny).alias("hi"))
 
-    # at first each class meets the pivot of its largest region only, which connects most groups
+    def grouped(region: DataFrame) -> DataFrame:
+        """Regions that are not connected yet, with their documents' components and the largest one of each."""
+        region = (region.drop("comp").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
+                  .withColumn("comp", F.coalesce("comp", "cls")))
+        parts = region.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(
+            F.sum("m").alias("size"), F.count("*").alias("parts"), F.max(F.struct("m", "comp"))["comp"].alias("main"))
+        return spool(region.join(parts.where("parts > 1").drop("parts"), "h"), "regions")
+
+    def leaf_pairs(leaf: DataFrame) -> DataFrame:
+        other = leaf.select("h", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "comp", "far")))
+        return (leaf.join(other, "h").where("cls < cls2 and comp <> comp2").where(F.abs(F.col("far") - F.col("far2")) <= r + eps)
+                .select(*pair("cls", "n", "cls2", "n2")).where("100 * lo >= 75 * hi"))
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        return spool(known.union(verify(pairs.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))), "distances")
+
+    # at first each class meets one document of its largest region only, which connects most groups
     own = region.groupBy("cls").agg(F.max(F.struct("size", "h", F.col("hi").alias("pivot"))).alias("m"), F.first("n").alias("n"))
     own = own.select("cls", "n", "m.pivot").where("cls <> pivot").join(classes.select(F.col("cls").alias("pivot"), F.col("n").alias("np")), "pivot")
-    first = own.select(*pair("cls", "n", "pivot", "np")).where("100 * lo >= 75 * hi").select("a", "b").distinct()
-    known = spool(verify(first), "distances")
-    region = region.drop("hi", "size")
+    known = spool(verify(own.select(*pair("cls", "n", "pivot", "np")).where("100 * lo >= 75 * hi").select("a", "b").distinct()), "distances")
+    comps = connected_components(known.where(F.col("d") <= r), "joined")
+
+    # small regions are compared; the others get a centre, from which the distance of all is taken
+    region = grouped(region.drop("hi", "size"))
+    leaf, big = region.where(F.col("size") <= LEAF), region.where(F.col("size") > LEAF).drop("far")
+    centre = big.groupBy("h").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls")).alias("c")).select("h", F.col("c.cls").alias("centre"), F.col("c.n").alias("nc"))
+    big = big.join(centre, "h").where("cls <> centre")
+    known = measure(leaf_pairs(leaf).union(big.select(*pair("cls", "n", "centre", "nc")).where("2 * lo >= hi")))  # else farther than 1/2
+    away = known.select("a", "b", F.col("d").alias("far"))
+    region = (big.withColumns({"a": F.least("cls", "centre"), "b": F.greatest("cls", "centre")}).join(away, ["a", "b"], "left")
+              .select("h", "cls", "n", F.coalesce("far", F.lit(1.0)).alias("far"), F.lit(0).cast("long").alias("comp")))
+    comps, most = connected_components(known.where(F.col("d") <= r), "joined"), LEAF
     while True:
-        comps = connected_components(known.where(F.col("d") <= r), "joined")
-        region = (region.drop("comp").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
-                  .withColumn("comp", F.coalesce("comp", "cls")))
-        sizes = region.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size"),
-                                        F.max(F.struct("far", "cls", "n", "comp")).alias("p"))
-        sizes = sizes.where("c0 <> c1").select("h", "size", F.col("p.cls").alias("pivot"), F.col("p.n").alias("np"), F.col("p.comp").alias("pc"))
-        region = spool(region.join(sizes, "h"), "regions")
+        region, most = grouped(region), min(2 * most, LAST_LEAF)
+        # a document goes on if the triangle inequality lets it link with one of another part of its region
+        outside = F.when(F.col("comp") != F.col("main"), F.col("far"))
+        window = region.groupBy("h").agg(F.min(outside).alias("lo"), F.max(outside).alias("hi"))
+        region = region.join(window, "h").where((F.col("far") >= F.col("lo") - r - eps) & (F.col("far") <= F.col("hi") + r + eps)).drop("lo", "hi")
+        region = spool(region, "regions")
         if region.isEmpty():
             break
-        leaf, big = region.where(F.col("size") <= LEAF), region.where(F.col("size") > LEAF)
-        other = leaf.select("h", F.col("cls").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-        near = leaf.join(other, "h").where("cls < y and comp <> cy").select(*pair("cls", "n", "y", "ny")).where("100 * lo >= 75 * hi")
-        star = big.where("cls <> pivot").select(*pair("cls", "n", "pivot", "np")).where("2 * lo >= hi")  # else farther than 1/2
-        fresh = near.union(star).select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
-        known = spool(known.union(verify(fresh)), "distances")
-        # triangle-inequality windows around the pivot's cell
-        seen = known.select("a", "b", F.col("d").alias("dp"))
-        big = (big.where("cls <> pivot").withColumns({"a": F.least("cls", "pivot"), "b": F.greatest("cls", "pivot")})
-               .join(seen, ["a", "b"], "left").withColumn("far", F.coalesce("dp", F.lit(1.0))))
-        inside = (F.col("comp") == F.col("pc")) | (F.col("far") <= r)
-        bounds = big.groupBy("h").agg(F.min(F.when(~inside, F.col("far"))).alias("lo"), F.max(F.when(~inside, F.col("far"))).alias("hi"))
-        region = spool(big.join(bounds.where("lo is not null"), "h")
-                       .where(~inside | ((F.col("far") >= F.col("lo") - r - eps) & (F.col("far") <= F.col("hi") + r + eps)))
-                       .select("h", "cls", "n", "comp", "far"), "regions")
+        leaf, big = region.where(F.col("size") <= most), region.where(F.col("size") > most)
+        known_by = F.struct("cls", "n", "comp", "far")
+        drawn = [F.min_by(F.when((F.col("comp") == F.col("main")) == inside, known_by), F.when((F.col("comp") == F.col("main")) == inside, F.xxhash64("cls", F.lit(i))))
+                 for inside, count in ((False, OUTER_PIVOTS), (True, INNER_PIVOTS)) for i in range(count)]
+        pivots = big.groupBy("h").agg(F.array_distinct(F.array_compact(F.array(*drawn))).alias("pivots"))
+        pivots = pivots.select("h", F.explode("pivots").alias("p")).select("h", *(F.col(f"p.{c}").alias(f"{c}2") for c in ("cls", "n", "comp", "far")))
+        star = (big.join(pivots, "h").where("cls <> cls2 and comp <> comp2").where(F.abs(F.col("far") - F.col("far2")) <= r + eps)
+                .select(*pair("cls", "n", "cls2", "n2")).where("100 * lo >= 75 * hi"))
+        known = measure(leaf_pairs(leaf).union(star))
+        comps = connected_components(known.where(F.col("d") <= r), "joined")
+        region = big.join(pivots.select("h", F.col("cls2").alias("cls")), ["h", "cls"], "left_anti").select("h", "cls", "n", "far", "comp")
 
     root = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = root.groupBy("comp").agg(F.min("doc").alias("component_id"))

@@ -6,13 +6,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import fresh_path, table
+from tidemark.llm.embeddings import near_duplicate_vectors
+from tidemark.llm.fingerprint import fingerprints
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
+from tidemark.llm.url_filter import filter_urls
+from tidemark.llm.warc import capture_history, read_archive, write_archive
 
+#: Listed rules of the url filter.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: A score from this on predicts label 1.
 THRESHOLD = 0.3
 
@@ -41,6 +47,10 @@ def op2_token_counts(spark, sf):
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op3_url_filter(spark, sf):
+    return filter_urls(table(spark, sf, "pages"), URL_RULES)
+
+
 def op4_packing(spark, sf):
     return pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,15 +59,32 @@ def op5_mixing(spark, sf):
     return mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_fingerprint(spark, sf):
+    return fingerprints(table(spark, sf, "documents"))
+
+
+def op7_warc(spark, sf):
+    path = fresh_path(spark, "warc")
+    write_archive(table(spark, sf, "pages"), path)
+    history = capture_history(read_archive(spark, path))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
 def op8_jaccard_join(spark, sf):
     return jaccard_components(table(spark, sf, "documents"))
 
 
+def op9_embedding_near_dedup(spark, sf):
+    return near_duplicate_vectors(table(spark, sf, "embeddings"))
+
+
 def op10_quality(spark, sf):
     docs = table(spark, sf, "documents")
     net = fit_quality(docs, _labels(spark, sf, "quality").where(fold(5) != 0))
     return _predicted(score_quality(docs.select("doc_id", "text"), net), fold(5) == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_token_counts, op4_packing, op5_mixing, op8_jaccard_join, op10_quality)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity, op2_token_counts, op3_url_filter, op4_packing, op5_mixing, op6_fingerprint, op7_warc, op8_jaccard_join,
+    op9_embedding_near_dedup, op10_quality)}
 ORACLES: dict[str, str] = {}

@@ -15,14 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.common import arrow_type, map_arrow
+from tidemark.llm.common import arrow_type, map_arrow, spool
 
 #: Bounds of the fit: labelled rows, and terms kept from them. They bound the index sent to the tasks.
 MAX_EXAMPLES, MAX_TERMS = 12_000, 1_024
-#: A term is kept from this chi-squared against the label on, and from this many examples on.
-MIN_CHI2, MIN_EXAMPLES = 30.0, 5
+#: Terms in at least this many examples are tested against the label by their likelihood ratio; those kept
+#: would hold this many that have nothing to do with it.
+MIN_EXAMPLES, CHANCE_TERMS = 4, 0.5
 NEIGHBOURS, BLOCK, STEMS = 15, 32, (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 300_000
@@ -143,11 +144,18 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_E
         return ToxicityModel({}, np.zeros(1), [], prior, neighbours)
     counted = map_arrow(sample, _term_counts, "term string, pos long, n long").groupBy("term").agg(
         F.sum("pos").alias("pos"), F.sum("n").alias("n")).where(F.col("n") >= MIN_EXAMPLES)
-    a, b = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
-    c, d = F.lit(float(pos)) - a, F.lit(float(n - pos)) - b
-    chi2 = n * (a * d - b * c) ** 2 / (F.greatest(a + b, F.lit(0.5)) * F.greatest(c + d, F.lit(0.5)) * pos * (n - pos))
-    kept = (counted.withColumn("chi2", chi2).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term")
-            .limit(max_terms).collect())
+    counted = spool(counted, "terms")
+    tested = counted.count()
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+
+    # twice the logarithm of the likelihood ratio of "the term has its own share of toxic examples"
+    with_, toxic = F.col("n").cast("double"), F.col("pos").cast("double")
+    ratio = 2 * (part(toxic, with_ * prior) + part(with_ - toxic, with_ * (1 - prior))
+                 + part(pos - toxic, (n - with_) * prior) + part((n - pos) - (with_ - toxic), (n - with_) * (1 - prior)))
+    kept = (counted.withColumn("ratio", ratio).where(F.col("ratio") >= 2 * math.log(max(tested, 1) / CHANCE_TERMS))
+            .orderBy(F.desc("ratio"), "term").limit(max_terms).collect())
     terms = {r["term"]: i for i, r in enumerate(kept)}
     idf = np.array([math.log((1 + n) / (1 + r["n"])) + 1e-6 for r in kept] or [0.0])
     model = ToxicityModel(terms, idf, [], prior, neighbours)
