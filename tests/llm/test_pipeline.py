@@ -1,0 +1,89 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline as C
+from llm_helpers import awkward, frame, prose, rows_of
+from tidemark.llm.common import bloom_filter, bloom_has, connected_components
+
+import numpy as np
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    """A table folder with poor, toxic, near-copied and clean documents, some of them labelled."""
+    rng, rows, labels = random.Random(11), awkward(random.Random(12)), []
+    for i in range(100, 500):
+        toxic, poor = i % 5 == 0, i % 5 == 1
+        text = prose(rng, 60) + (" vilewords nastythings" if toxic else "")
+        if poor:
+            text = text.upper().replace(" ", "!! ")
+        rows.append((i, text, "en", rng.choice("abc")))
+        labels.append((i, int(not poor), int(toxic)))
+    rows += [(1000 + i, rows[-1 - i][1] + " tail", "en", "a") for i in range(20)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels[:350], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path), rows
+
+
+def test_stages_one_by_one(spark, folder):
+    sf, rows = folder
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, step = docs.columns, {}
+    for name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == columns
+        step[name] = {r.doc_id for r in docs.collect()}
+    toxic = {i for i in range(100, 500) if i % 5 == 0}
+    poor = {i for i in range(100, 500) if i % 5 == 1}
+    every = {r[0] for r in rows}
+    assert step["toxicity"].isdisjoint(toxic) and every - toxic - step["toxicity"] <= set(range(1000, 1020))
+    assert step["quality"].isdisjoint(poor) and step["quality"] >= {i for i in range(100, 500) if i % 5 > 1}
+    copies = {1000 + i for i in range(20)}
+    assert step["near_duplicates"].isdisjoint(copies) and step["quality"] - copies - step["near_duplicates"] <= {5, 7, 9, 10, 12, 16}
+    assert step["mixing"] <= step["near_duplicates"]
+
+
+def test_run(spark, folder):
+    out = C.run(spark, folder[0]).collect()
+    assert out and all(r.length <= 4096 for r in out)
+
+
+def test_near_duplicates_leave_one_row_of_a_group(spark):
+    base = prose(random.Random(1), 50)
+    rows = [(7, base, "en", "a"), (7, base, "en", "b"), (9, base, "en", "a"), (None, base, "en", "a"), (3, "alone", None, None), (None, None, None, None)]
+    out = C.near_duplicates(spark, frame(spark, rows), "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(7, base), (0, base), (3, "alone"), (0, "")])
+
+
+def test_empty_tables(spark, tmp_path):
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert C.run(spark, str(tmp_path)).collect() == []
+
+
+def test_without_labels_all_documents_stay(spark, tmp_path):
+    docs = frame(spark, awkward(random.Random(2)))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for stage in (C.toxicity, C.quality):
+        assert stage(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_connected_components(spark):
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 200) for i in range(50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(7, 7)]
+    got = {r.node: r.comp for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    from llm_helpers import components
+    want = components(400, edges)
+    assert all(got.get(i, i) == want[i] for i in range(400))
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_bloom_filter_loses_nothing(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("k"))
+    words = bloom_filter(keys, "k", 5000)
+    rows = spark.range(20000).select("id", F.xxhash64("id").alias("k")).select("id", "k", F.xxhash64("k").alias("kk")).toPandas()
+    found = bloom_has(words, rows.k.to_numpy(np.int64), rows.kk.to_numpy(np.int64))
+    assert found[:5000].all() and found[5000:].mean() < 0.1
+    assert rows_of(keys.limit(0), "k") == [] and not bloom_has(bloom_filter(keys.limit(0), "k", 0), np.array([5]), np.array([6])).any()

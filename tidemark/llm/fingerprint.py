@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def sized(df: DataFrame, factor: int) -> DataFrame:
         """Cells per table: the power of two that holds half of all digests, times four for each try."""
-        width = factor * F.greatest(F.lit(LEAST), F.shiftleft(F.lit(1), F.ceil(F.log2(F.greatest(sums, F.lit(1)) / 2)).cast("int")))
+        width = factor * F.greatest(F.lit(LEAST), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(sums, F.lit(1)) / 2))).cast("long"))
         return df.withColumn("width", width.cast("long"))
 
     solved = spool(_differences(sized(both, 1)), "peeled")

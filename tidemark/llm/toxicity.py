@@ -1,5 +1,8 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
+The vector of a text has its known terms and one more that stands for all its other words, with a small
+fixed weight each: the cosine then tells a text that is full of known terms from one that meets one by chance.
+
 Defined results: null and empty texts, and texts without a known term, get the rate of toxic examples
 among examples without a known term. Without labels of both kinds every score is the share of toxic
 labels, 0.5 without any. Examples with equal vectors count as one neighbour with the votes of all;
@@ -24,7 +27,9 @@ MAX_EXAMPLES, MAX_TERMS = 12_000, 1_024
 #: Terms in at least this many examples are tested against the label by their likelihood ratio; those kept
 #: would hold this many that have nothing to do with it.
 MIN_EXAMPLES, CHANCE_TERMS = 4, 0.5
-NEIGHBOURS, BLOCK, STEMS = 15, 32, (4, 5, 6)
+NEIGHBOURS, BLOCK, STEMS = 15, 32, (4, 5, 6, 7)
+#: Weight of a word that is not a known term.
+OTHER_WORD = 0.02
 _WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 300_000
 
@@ -74,56 +79,53 @@ class BlockMaxIndex:
 class ToxicityModel:
     """Terms with their inverse document frequency, the index of examples and their votes."""
 
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, list, list]], prior: float,
-                 neighbours: int = NEIGHBOURS):
-        """examples: (doc_id, label, term numbers, counts)."""
-        self.terms, self.idf, self.k = terms, idf, neighbours
+    def __init__(self, terms: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, list, list, int]], prior: float,
+                 neighbours: int = NEIGHBOURS, other_word: float = OTHER_WORD):
+        """examples: (doc_id, label, term numbers, counts, number of other words)."""
+        self.terms, self.idf, self.k, self.other_word = terms, idf, neighbours, other_word
         groups: dict[tuple, list] = {}
-        for doc, label, ids, counts in examples:
-            g = groups.setdefault((tuple(ids), tuple(counts)), [doc, 0, 0])
+        for doc, label, ids, counts, other in examples:
+            g = groups.setdefault((tuple(ids), tuple(counts), other if ids else 0), [doc, 0, 0])
             g[0], g[1], g[2] = min(g[0], doc), g[1] + label, g[2] + 1
-        _, pos, n = groups.pop(((), ()), [0, 0, 0])
+        _, pos, n = groups.pop(((), (), 0), [0, 0, 0])
         self.none = (pos + prior) / (n + 1)
-        vectors = [(self.vector(np.array(t), np.array(c)), g) for (t, c), g in groups.items()]
+        vectors = [(self.vector(key), g) for key, g in groups.items()]
         # examples led by the same term share blocks, so that most blocks are ruled out by their bound
-        vectors.sort(key=lambda x: (int(x[0][0][np.argmax(x[0][1])]), x[0][0].tolist(), x[0][1].tolist()))
+        vectors.sort(key=lambda x: (int(x[0][0][np.argmax(x[0][1][:-1])]), x[0][0].tolist(), x[0][1].tolist()))
         self.doc = np.array([g[0] for _, g in vectors], np.int64)
         self.pos = np.array([g[1] for _, g in vectors], float)
         self.n = np.array([g[2] for _, g in vectors], float)
-        self.index = BlockMaxIndex([v for v, _ in vectors], max(len(terms), 1))
-        self._words: dict[str, tuple] = {}
-        self._known: dict[tuple, tuple] = {}
-
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return terms, w / math.sqrt(float(w @ w))
-
-    def features(self, text: str | None) -> tuple[tuple, tuple]:
-        """Numbers and counts of the known terms in a whole text."""
+        self.index = BlockMaxIndex([v for v, _ in vectors], len(terms) + 1)
+        self._starts = {t.rstrip("*")[:4] for t in terms}
+
+    def vector(self, key: tuple[tuple, tuple, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the known terms, the other words last, at length one."""
+        terms, counts, other = key
+        w = np.append(np.array(counts, float) * self.idf[list(terms)], self.other_word * other)
+        return np.append(np.array(terms, np.int64), len(self.terms)), w / math.sqrt(float(w @ w))
+
+    def features(self, text: str | None) -> tuple[tuple, tuple, int]:
+        """Numbers and counts of the known terms in a whole text, and how many other words it has."""
+        words = words_of(text)
         found: Counter = Counter()
-        for word, n in Counter(words_of(text)).items():
-            ids = self._words.get(word)
-            if ids is None:
-                if len(self._words) > _FLUSH:
-                    self._words.clear()
-                ids = self._words[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-            for i in ids:
-                found[i] += n
-        return tuple(sorted(found)), tuple(found[i] for i in sorted(found))
-
-    def judge(self, key: tuple[tuple, tuple]) -> tuple[float, float, list[int]]:
+        known = 0
+        for word in words:
+            if word[:4] in self._starts:
+                ids = [self.terms[t] for t in terms_of(word) if t in self.terms]
+                known += bool(ids)
+                found.update(ids)
+        ids = sorted(found)
+        return tuple(ids), tuple(found[i] for i in ids), len(words) - known
+
+    def judge(self, key: tuple[tuple, tuple, int]) -> tuple[float, float, list[int]]:
         """Score, best cosine, and the examples that speak for it."""
         if not key[0]:
             return self.none, 0.0, []
-        if key not in self._known:
-            if len(self._known) > _FLUSH:
-                self._known.clear()
-            best = self.index.top(*self.vector(np.array(key[0]), np.array(key[1])), self.k)
-            at = np.array([i for _, i in best], np.int64)
-            vote = np.array([c * c for c, _ in best])
-            score = (float(vote @ self.pos[at]) + self.none) / (float(vote @ self.n[at]) + 1) if best else self.none
-            self._known[key] = (score, -best[0][0] if best else 0.0, self.doc[at[:3]].tolist())
-        return self._known[key]
+        best = self.index.top(*self.vector(key), self.k)
+        at = np.array([i for _, i in best], np.int64)
+        vote = np.array([1 / (1.02 + c) for c, _ in best])  # by distance: the cosine is -c
+        score = (float(vote @ self.pos[at]) + self.none) / (float(vote @ self.n[at]) + 1)
+        return score, -best[0][0] if best else 0.0, self.doc[at[:3]].tolist()
 
 
 def _sample(docs: DataFrame, labelled: DataFrame, max_examples: int) -> DataFrame:
@@ -160,17 +162,17 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_E
     idf = np.array([math.log((1 + n) / (1 + r["n"])) + 1e-6 for r in kept] or [0.0])
     model = ToxicityModel(terms, idf, [], prior, neighbours)
 
-    shape = "doc_id long, label int, terms array<int>, counts array<int>"
+    shape = "doc_id long, label int, terms array<int>, counts array<int>, other long"
     out = arrow_type(shape)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [model.features(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()),
-                                              *(pa.array([k[i] for k in keys], out.field(i + 2).type) for i in (0, 1))], schema=out)
+                                              *(pa.array([k[i] for k in keys], out.field(i + 2).type) for i in (0, 1, 2))], schema=out)
 
     rows = map_arrow(sample, vectors, shape).collect()
-    return ToxicityModel(terms, idf, sorted((r[0], r[1], list(r[2]), list(r[3])) for r in rows), prior, neighbours)
+    return ToxicityModel(terms, idf, sorted((r[0], r[1], list(r[2]), list(r[3]), r[4]) for r in rows), prior, neighbours)
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
