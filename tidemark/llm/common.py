@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pathlib
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -13,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.sources import fresh_path, spool
 
-__all__ = ["arrow_type", "bloom_filter", "connected_components", "free_name", "fresh_path", "hash_words", "map_arrow", "mix64", "pieces_of", "ship",
+__all__ = ["arrow_type", "bloom_filter", "bucketed", "connected_components", "free_name", "fresh_path", "hash_words", "map_arrow", "mix64", "partitions", "pieces_of", "ship",
            "spool", "text_bytes", "word_bounds", "words_per_row"]
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives memory back to the system when a batch is done
+#: Rows that Spark hands to a Python task at a time; long texts would else make batches of many megabytes.
+BATCH_ROWS = 1_000
 #: Text handled at a time inside a task, which bounds its temporary arrays.
 PIECE_BYTES = 1 << 20
 #: Bits of the largest Bloom filter that is sent to the tasks (8 MB).
@@ -167,6 +171,8 @@ def ship(spark: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             file.write(source, source.relative_to(root.parent))
     context.addPyFile(path)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context._tidemark_shipped = True
 
 
@@ -184,5 +190,19 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def bucketed(df: DataFrame, key: str, parts: int, label: str) -> DataFrame:
+    """A stored table whose rows lie by the hash of ``key`` in ``parts`` buckets; ``df`` must be dealt out like that.
+
+    Joins and groupings by the key then leave it where it is.
+    """
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, key).option("path", fresh_path(df.sparkSession, label)).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")

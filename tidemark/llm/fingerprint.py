@@ -18,12 +18,10 @@ by text. Repeated rows are kept. Other columns are not read. A table of one row
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidemark.llm.common import fresh_path, spool
+from tidemark.llm.common import bucketed as stored_in_buckets, partitions, spool
 
 #: Paragraphs: no line break or sentence end inside, at most 200 characters.
 PARAGRAPH = r"[^\n.!?]{1,200}"
@@ -74,20 +72,12 @@ def _versions(docs: DataFrame) -> DataFrame:
     follows = [(key, to) for (_, key), (to, _) in zip(heads, heads[1:])] + [(heads[-1][1], heads[0][0])] if heads else []
     follows = spark.createDataFrame(follows, "key long, to int")
     ghosts = rows.join(F.broadcast(follows), "key").select("doc_id", "text", "key", F.col("to").alias("bkt"), F.lit(True).alias("ghost"))  # MAX_BUCKETS rows
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = bucketed(rows).withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition(parts, "bkt")
+    every = bucketed(rows).withColumn("ghost", F.lit(False)).unionByName(ghosts).repartition(partitions(spark), "bkt")
     order = W.partitionBy("bkt").orderBy("ghost", F.desc("key"), "text")
     return (every.withColumns({"following": F.lead("text").over(order), "rid": F.row_number().over(order)})
             .where("not ghost").select("bkt", "rid", "doc_id", "text", "following"))
 
 
-def _stored(df: DataFrame, label: str, parts: int) -> DataFrame:
-    """A table bucketed as the frame already is, so that grouping by ``bkt`` and more needs no shuffle."""
-    name = f"{label}_{uuid.uuid4().hex}"
-    df.write.bucketBy(parts, "bkt").option("path", fresh_path(df.sparkSession, label)).saveAsTable(name)
-    return df.sparkSession.table(name)
-
-
 _KEYS = ("bkt", "rid", "pair", "width")
 
 
@@ -131,8 +121,6 @@ def _differences(pairs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = F.length("text")
     rows = _versions(docs).withColumn("edited", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"),
                                                          F.expr("left(following, cast(floor(length(text) / 3) as int))")))
@@ -140,7 +128,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                        paragraph_digests(F.col("text")).alias("mine"), paragraph_digests(F.col("edited")).alias("edited"),
                        paragraph_digests(F.col("following")).alias("next"))
     rows = rows.withColumns({"fingerprint": printed(F.col("mine")), "edited_fingerprint": printed(F.col("edited"))})
-    stored = _stored(rows, "paragraphs", parts)
+    stored = stored_in_buckets(rows, "bkt", partitions(docs.sparkSession), "paragraphs")
     versions = F.array(F.struct(F.lit(0).alias("pair"), F.col("edited").alias("theirs")), F.struct(F.lit(1).alias("pair"), F.col("next").alias("theirs")))
     both = stored.select("bkt", "rid", "mine", F.inline(versions))
     sums = F.size("mine") + F.size("theirs")

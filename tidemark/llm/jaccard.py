@@ -32,8 +32,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import (arrow_type, bloom_filter, bloom_has, connected_components, hash_words, map_arrow, mix64,
-                                 pieces_of, spool, text_bytes, word_bounds, words_per_row)
+from tidemark.llm.common import (arrow_type, bloom_filter, bloom_has, bucketed, connected_components, hash_words, map_arrow, mix64,
+                                 partitions, pieces_of, spool, text_bytes, word_bounds, words_per_row)
 
 #: Shingles known to be common, put last in the order (1.5 MB). Any order is right; a good one is fast.
 COMMON = 1 << 17
@@ -44,7 +44,7 @@ OUTER_PIVOTS, INNER_PIVOTS = 8, 4
 #: Hash buckets of the shingle index.
 BUCKETS = 1024
 #: Shingles a task counts at a time, and common ones it reports of them.
-COUNTED, REPORTED = 4_000_000, 1 << 15
+COUNTED, REPORTED = 2_000_000, 1 << 14
 
 
 def shingles(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -145,7 +145,7 @@ def _entries(words: int, common: np.ndarray, rank: np.ndarray):
                     cls.append(np.full(len(order), key, np.int64))
                     rare.append(~known[order])
                     total += len(order)
-                if total > COUNTED // 2:
+                if total > COUNTED // 4:
                     yield packed(h, cls, rare)
                     h, cls, rare, total = [], [], [], 0
         if h:
@@ -211,19 +211,26 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
     texts = spool(region.select("cls").distinct().join(classes, "cls").select(F.xxhash64("doc").alias("k")), "wanted")
     wanted = spark.sparkContext.broadcast(bloom_filter(texts, "k", texts.count()))
     hashed = docs.select("text", F.xxhash64("doc_id").alias("k")).select("text", "k", F.xxhash64("k").alias("kk"))
-    stored = spool(map_arrow(hashed, _sets(words, wanted), "cls long, hashes binary"), "sets")
+    parts = partitions(spark)
+    stored = map_arrow(hashed, _sets(words, wanted), "cls long, hashes binary").repartition(parts, "cls")
+    stored = bucketed(stored, "cls", parts, "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        """(a, b, d) with the distance of each pair of classes."""
-        pairs = (pairs.join(stored.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), "a")
-                 .join(stored.select(F.col("cls").alias("b"), F.col("hashes").alias("y")), "b"))
+        """(a, b, d) with the distance of each pair of classes (a, b, p); p is one of them, the pivot if there is one.
+
+        The sets stay in their buckets. Those of the pivots, which may be in many pairs, are sent to the pairs first.
+        """
+        pairs = pairs.withColumn("q", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+        pivots = stored.select(F.col("cls").alias("p"), F.col("hashes").alias("x")).join(pairs.select("p").distinct(), "p", "left_semi")
+        pairs = pairs.join(pivots, "p").join(stored.select(F.col("cls").alias("q"), F.col("hashes").alias("y")), "q")
         counted = map_arrow(pairs.select("a", "b", "x", "y"), _distances, "a long, b long, common int, total int")
         # the bound is decided in whole numbers
         return counted.distinct().select("a", "b", F.when(F.col("common") * 100 >= F.col("total") * 75, F.least(F.lit(r), 1 - F.col("common") / F.col("total")))
                                          .otherwise(F.greatest(F.lit(r + eps), 1 - F.col("common") / F.col("total"))).alias("d"))
 
     def pair(x: str, nx: str, y: str, ny: str):
-        return (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.least(nx, ny).alias("lo"), F.greatest(nx, ny).alias("hi"))
+        """Columns of a pair, with y as its pivot."""
+        return (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.col(y).alias("p"), F.least(nx, ny).alias("lo"), F.greatest(nx, ny).alias("hi"))
 
     def grouped(region: DataFrame) -> DataFrame:
         """Regions that are not connected yet, with their documents' components and the largest one of each."""
@@ -239,12 +246,14 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
                 .select(*pair("cls", "n", "cls2", "n2")).where("100 * lo >= 75 * hi"))
 
     def measure(pairs: DataFrame) -> DataFrame:
-        return spool(known.union(verify(pairs.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))), "distances")
+        pairs = spool(pairs.groupBy("a", "b").agg(F.max("p").alias("p")).join(known, ["a", "b"], "left_anti"), "pairs")
+        return spool(known.union(verify(pairs)), "distances")
 
+    known = spark.createDataFrame([], "a long, b long, d double")
     # at first each class meets one document of its largest region only, which connects most groups
     own = region.groupBy("cls").agg(F.max(F.struct("size", "h", F.col("hi").alias("pivot"))).alias("m"), F.first("n").alias("n"))
     own = own.select("cls", "n", "m.pivot").where("cls <> pivot").join(classes.select(F.col("cls").alias("pivot"), F.col("n").alias("np")), "pivot")
-    known = spool(verify(own.select(*pair("cls", "n", "pivot", "np")).where("100 * lo >= 75 * hi").select("a", "b").distinct()), "distances")
+    known = measure(own.select(*pair("cls", "n", "pivot", "np")).where("100 * lo >= 75 * hi"))
     comps = connected_components(known.where(F.col("d") <= r), "joined")
 
     # small regions are compared; the others get a centre, from which the distance of all is taken

@@ -97,7 +97,7 @@ class ByteNet:
 
     def fit(self, chunks: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: int = STEPS, seed: int = SEED) -> None:
         """A fixed number of Adam steps on rows drawn with replacement."""
-        rng, again = np.random.default_rng(seed), recurs(chunks)
+        rng, again = np.random.default_rng(seed), np.concatenate([recurs(c).astype(bool) for c in np.array_split(chunks, -(-len(chunks) // 256))])
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
         count = np.diff(first)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,9 +26,9 @@ from tidemark.llm.common import arrow_type, map_arrow, spool
 #: Bounds of the fit: labelled rows, and terms kept from them. They bound the index sent to the tasks.
 MAX_EXAMPLES, MAX_TERMS = 12_000, 1_024
 #: Terms in at least this many examples are tested against the label by their likelihood ratio; those kept
-#: would hold this many that have nothing to do with it.
-MIN_EXAMPLES, CHANCE_TERMS = 4, 0.5
-NEIGHBOURS, BLOCK, STEMS = 15, 32, (4, 5, 6, 7)
+#: would hold this many that have nothing to do with it. They are toxic this many times as often as all.
+MIN_EXAMPLES, CHANCE_TERMS, LEAST_LIFT = 4, 0.5, 2.0
+NEIGHBOURS, BLOCK, STEMS = 15, 256, (4, 7)
 #: Weight of a word that is not a known term.
 OTHER_WORD = 0.02
 _WORD = re.compile(r"[^\W\d_]+")
@@ -63,17 +64,19 @@ class BlockMaxIndex:
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k examples of highest positive cosine, as (-cosine, example) in order."""
         bound = weights @ self.max[terms]
-        best: list[tuple[float, int]] = []
+        best, at = np.zeros(0), np.zeros(0, np.int64)
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-9:
+            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-9:
                 break
             score = np.zeros(self.block)
             for t, w in zip(terms, weights):
                 s, e = self.start[t * self.blocks + b:t * self.blocks + b + 2]
                 score[self.example[s:e] - b * self.block] += w * self.weight[s:e]
-            hit = np.flatnonzero(score > 0)
-            best = sorted(best + [(-float(score[i]), int(b) * self.block + int(i)) for i in hit])[:k]
-        return best
+            hit = np.flatnonzero(score > (best[-1] - 1e-12 if len(best) == k else 0))
+            best, at = np.append(best, score[hit]), np.append(at, hit + b * self.block)
+            order = np.lexsort((at, -best))[:k]
+            best, at = best[order], at[order]
+        return [(-float(c), int(i)) for c, i in zip(best, at)]
 
 
 class ToxicityModel:
@@ -128,11 +131,33 @@ class ToxicityModel:
         return score, -best[0][0] if best else 0.0, self.doc[at[:3]].tolist()
 
 
+def _sketch(text: str | None) -> int:
+    """Three smallest word hashes in one number: near copies mostly share it, other texts do not."""
+    low = [2**32] * 3
+    for word in set(words_of(text)):
+        data = word.encode()
+        for i, seed in enumerate((1, 2, 3)):
+            low[i] = min(low[i], zlib.crc32(data, seed * 0x9E3779B1 & 0xFFFFFFFF))
+    return zlib.crc32(repr(low).encode()) | zlib.crc32(repr(low[::-1]).encode()) << 31
+
+
 def _sample(docs: DataFrame, labelled: DataFrame, max_examples: int) -> DataFrame:
-    """Texts of a bounded sample of labelled documents, chosen by hash."""
+    """Texts of a bounded sample of labelled documents, chosen by hash; copies that fell into it count once.
+
+    Else each word of a text with many copies would seem to go with its label.
+    """
     ids = (labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples))
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most max_examples small rows
+    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")  # max_examples rows
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([_sketch(t) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "sketch"])
+
+    drawn = spool(map_arrow(drawn, sketches, T.StructType([*drawn.schema, T.StructField("sketch", T.LongType())])), "examples")
+    first = drawn.groupBy("sketch", "label").agg(F.min("doc_id").alias("doc_id"))
+    return drawn.join(F.broadcast(first), ["sketch", "label", "doc_id"], "left_semi").select("doc_id", "text", "label")  # max_examples rows
 
 
 def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS,
@@ -156,7 +181,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_E
     with_, toxic = F.col("n").cast("double"), F.col("pos").cast("double")
     ratio = 2 * (part(toxic, with_ * prior) + part(with_ - toxic, with_ * (1 - prior))
                  + part(pos - toxic, (n - with_) * prior) + part((n - pos) - (with_ - toxic), (n - with_) * (1 - prior)))
-    kept = (counted.withColumn("ratio", ratio).where(F.col("ratio") >= 2 * math.log(max(tested, 1) / CHANCE_TERMS))
+    kept = (counted.withColumn("ratio", ratio).where((F.col("ratio") >= 2 * math.log(max(tested, 1) / CHANCE_TERMS)) & (toxic >= LEAST_LIFT * prior * with_))
             .orderBy(F.desc("ratio"), "term").limit(max_terms).collect())
     terms = {r["term"]: i for i, r in enumerate(kept)}
     idf = np.array([math.log((1 + n) / (1 + r["n"])) + 1e-6 for r in kept] or [0.0])
