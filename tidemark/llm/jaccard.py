@@ -15,6 +15,10 @@ there form a region, and every link lies inside a region. Each region is joined
   triangle-inequality window of a document of another part;
 * a region ends as soon as its documents are connected.
 
+Before any two sets are compared, their sketches are: counts of shingles by range of hash. Counts that differ
+by k mean k different shingles, a lower bound of the distance that rules out nearly all pairs that do not link, so only
+sets that may link at all are stored.
+
 No link between different texts is lost and no group is expanded into all pairs. Equal sets are one
 class from the start, by a 64-bit hash of the set.
 
@@ -76,31 +80,55 @@ def set_key(hashes: np.ndarray) -> int:
     return int(mix64(np.array([total + np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
 
 
+_MARKS = "doc_id long, n int, cls long, sketch binary, common boolean"
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """How many shingles fall into each of 2**k equal ranges of hashes, about four to a range, 255 at most."""
+    bits = min(max(int(len(hashes) // 4).bit_length(), 4), 12)
+    return np.minimum(np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def least_distance(x: bytes, y: bytes, nx: int, ny: int) -> float:
+    """A lower bound of the Jaccard distance: ranges whose counts differ by k differ in k shingles at least."""
+    x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    size = min(len(x), len(y))
+    apart = int(np.abs(x.reshape(size, -1).sum(1) - y.reshape(size, -1).sum(1)).sum())
+    return 2 * apart / (nx + ny + apart)
+
+
+def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        near = [least_distance(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "nx", "ny")))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "p")), pa.array(near, pa.float64())], ["a", "b", "p", "near"])
+
+
 def _mark(words: int):
-    """Rows (doc_id, n, cls), and common shingles as rows (n: documents of the task, cls: hash) without doc_id."""
-    out = arrow_type("doc_id long, n int, cls long, common boolean")
+    """Rows (doc_id, n, cls, sketch), and common shingles as rows (n: documents of the task, cls: hash) without doc_id."""
+    out = arrow_type(_MARKS)
 
     def report(held: list[np.ndarray]):
         hashes, count = np.unique(np.concatenate(held), return_counts=True)
         some = np.flatnonzero(count >= 3)
         some = some[np.argsort(-count[some], kind="stable")[:REPORTED]]
         return pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(count[some].astype(np.int32)),
-                                           pa.array(hashes[some].view(np.int64)), pa.array(np.ones(len(some), bool))], schema=out)
+                                           pa.array(hashes[some].view(np.int64)), pa.nulls(len(some), pa.binary()), pa.array(np.ones(len(some), bool))], schema=out)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
         for batch in batches:
             for piece in pieces_of(batch):
-                n, cls = [], []
+                n, cls, sketches = [], [], []
                 for s in shingles(piece.column("text"), words):
                     n.append(len(s))
                     cls.append(set_key(s))
+                    sketches.append(sketch(s))
                     if len(s) and cls[-1] not in seen:
                         seen.add(cls[-1])
                         held.append(s)
                         total += len(s)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(n, pa.int32()),
-                                                  pa.array(cls, pa.int64()), pa.array(np.zeros(len(n), bool))], schema=out)
+                                                  pa.array(cls, pa.int64()), pa.array(sketches, pa.binary()), pa.array(np.zeros(len(n), bool))], schema=out)
                 if total > COUNTED:
                     yield report(held)
                     held, total = [], 0
@@ -192,9 +220,12 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text); similarity 0.75 or more links."""
     spark, r, eps = docs.sparkSession, 0.25, 1e-9
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    marks = spool(map_arrow(docs, _mark(words), "doc_id long, n int, cls long, common boolean"), "shingle-sets")
+    marks = spool(map_arrow(docs, _mark(words), _MARKS), "shingle-sets")
     sets = marks.where("not common").select("doc_id", "n", "cls")
-    classes = spool(sets.where("doc_id is not null and n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n")), "classes")
+    parts = partitions(spark)
+    classes = (marks.where("not common and doc_id is not null and n > 0").groupBy("cls")
+               .agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).repartition(parts, "cls"))
+    classes = bucketed(classes, "cls", parts, "classes")
 
     common = marks.where("common").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(COMMON).toPandas()
     hashes = common["cls"].to_numpy(np.int64).view(np.uint64)
@@ -203,91 +234,107 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
     emit, shared = _entries(words, hashes[order], rank)
     entries = map_arrow(docs.where("doc_id is not null").select("text"), emit, "bucket int, entries binary")
     region = spool(entries.groupBy("bucket").applyInArrow(shared, "h long, cls long").join(classes.select("cls", "n"), "cls"), "regions")
-    region = region.withColumns({"comp": F.col("cls"), "far": F.lit(0.0)})
-    region = region.join(region.groupBy("h").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("size"))
-                         .where("lo <> hi"), "h").select("h", "cls", "n", "comp", "far", "hi", "size")
-    region = spool(region.distinct(), "regions")
+    region = region.withColumn("comp", F.col("cls"))
+    region = region.join(region.groupBy("h").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.count("*").alias("size"),
+                                                 F.min_by(F.struct("cls", "n"), F.xxhash64("cls")).alias("c")).where("c0 <> c1"), "h")
+    region = spool(region.select("h", "cls", "n", "comp", "size", F.col("c.cls").alias("centre"), F.col("c.n").alias("nc")).distinct(), "regions")
+    unknown = spark.createDataFrame([], "a long, b long, near double, far double")
+
+    def pair(x: str, nx: str, y: str, ny: str):
+        """Columns of a pair, with y as its pivot."""
+        return (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.col(y).alias("p"), F.least(nx, ny).alias("lo"), F.greatest(nx, ny).alias("hi"))
 
-    texts = spool(region.select("cls").distinct().join(classes, "cls").select(F.xxhash64("doc").alias("k")), "wanted")
+    def joined(pairs: DataFrame, store: DataFrame, *columns: str) -> DataFrame:
+        """Pairs (a, b, p) with columns of both classes as x.. and y..; p is one of them, the pivot if there is one.
+
+        The stored rows stay in their buckets; those of pivots, which may be in many pairs, are sent to the pairs first.
+        """
+        pivots = store.select(F.col("cls").alias("p"), *(F.col(c).alias(f"x_{c}") for c in columns)).join(pairs.select("p").distinct(), "p", "left_semi")
+        others = store.select(F.col("cls").alias("q"), *(F.col(c).alias(f"y_{c}") for c in columns))
+        pairs = pairs.withColumn("q", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")))
+        return pairs.join(pivots, "p").join(others, "q")
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """(a, b, p, near) of the distinct pairs, with a lower bound of the distance."""
+        found = joined(pairs.groupBy("a", "b").agg(F.max("p").alias("p")), classes, "sketch", "n")
+        return map_arrow(found.select("a", "b", "p", F.col("x_sketch").alias("x"), F.col("y_sketch").alias("y"), F.col("x_n").alias("nx"), F.col("y_n").alias("ny")),
+                         _bounds, "a long, b long, p long, near double")
+
+    def leaf_pairs(leaf: DataFrame) -> DataFrame:
+        other = leaf.select("h", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "comp")))
+        return leaf.join(other, "h").where("cls < cls2 and comp <> comp2").select(*pair("cls", "n", "cls2", "n2")).where("100 * lo >= 75 * hi")
+
+    # what may link at all: small regions pair by pair, large ones by a centre
+    small = spool(bounded(leaf_pairs(region.where(F.col("size") <= LEAF))).where(F.col("near") <= r), "pairs")
+    big = spool(region.where(F.col("size") > LEAF), "regions")
+    around = spool(bounded(big.where("cls <> centre").select(*pair("cls", "n", "centre", "nc"))), "pairs")
+    needed = small.select(F.explode(F.array("a", "b")).alias("cls")).union(big.select("cls")).distinct()
+    texts = spool(classes.select("cls", "doc").join(needed, "cls", "left_semi").select(F.xxhash64("doc").alias("k")), "wanted")
     wanted = spark.sparkContext.broadcast(bloom_filter(texts, "k", texts.count()))
     hashed = docs.select("text", F.xxhash64("doc_id").alias("k")).select("text", "k", F.xxhash64("k").alias("kk"))
-    parts = partitions(spark)
     stored = map_arrow(hashed, _sets(words, wanted), "cls long, hashes binary").repartition(parts, "cls")
     stored = bucketed(stored, "cls", parts, "sets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """(a, b, d) with the distance of each pair of classes (a, b, p); p is one of them, the pivot if there is one.
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b, near, far): the distance where the lower bound leaves a link open, else the bound."""
+        open_ = F.col("near") <= r
+        found = joined(pairs.where(open_).select("a", "b", "p"), stored, "hashes")
+        counted = map_arrow(found.select("a", "b", F.col("x_hashes").alias("x"), F.col("y_hashes").alias("y")), _distances, "a long, b long, common int, total int")
+        # the threshold is decided in whole numbers
+        d = 1 - F.col("common") / F.col("total")
+        d = F.when(F.col("common") * 100 >= F.col("total") * 75, F.least(F.lit(r), d)).otherwise(F.greatest(F.lit(r + eps), d))
+        exact = counted.distinct().select("a", "b", d.alias("near"), d.alias("far"))
+        return exact.union(pairs.where(~open_).select("a", "b", "near", F.lit(1.0)))
 
-        The sets stay in their buckets. Those of the pivots, which may be in many pairs, are sent to the pairs first.
-        """
-        pairs = pairs.withColumn("q", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")))
-        pivots = stored.select(F.col("cls").alias("p"), F.col("hashes").alias("x")).join(pairs.select("p").distinct(), "p", "left_semi")
-        pairs = pairs.join(pivots, "p").join(stored.select(F.col("cls").alias("q"), F.col("hashes").alias("y")), "q")
-        counted = map_arrow(pairs.select("a", "b", "x", "y"), _distances, "a long, b long, common int, total int")
-        # the bound is decided in whole numbers
-        return counted.distinct().select("a", "b", F.when(F.col("common") * 100 >= F.col("total") * 75, F.least(F.lit(r), 1 - F.col("common") / F.col("total")))
-                                         .otherwise(F.greatest(F.lit(r + eps), 1 - F.col("common") / F.col("total"))).alias("d"))
+    def measure(pairs: DataFrame) -> DataFrame:
+        fresh = spool(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        return spool(known.union(verified(fresh)), "distances")
 
-    def pair(x: str, nx: str, y: str, ny: str):
-        """Columns of a pair, with y as its pivot."""
-        return (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), F.col(y).alias("p"), F.least(nx, ny).alias("lo"), F.greatest(nx, ny).alias("hi"))
+    def connected() -> DataFrame:
+        return connected_components(known.where(F.col("far") <= r).select("a", "b"), "joined")
 
     def grouped(region: DataFrame) -> DataFrame:
         """Regions that are not connected yet, with their documents' components and the largest one of each."""
         region = (region.drop("comp").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
                   .withColumn("comp", F.coalesce("comp", "cls")))
-        parts = region.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(
-            F.sum("m").alias("size"), F.count("*").alias("parts"), F.max(F.struct("m", "comp"))["comp"].alias("main"))
-        return spool(region.join(parts.where("parts > 1").drop("parts"), "h"), "regions")
-
-    def leaf_pairs(leaf: DataFrame) -> DataFrame:
-        other = leaf.select("h", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "comp", "far")))
-        return (leaf.join(other, "h").where("cls < cls2 and comp <> comp2").where(F.abs(F.col("far") - F.col("far2")) <= r + eps)
-                .select(*pair("cls", "n", "cls2", "n2")).where("100 * lo >= 75 * hi"))
-
-    def measure(pairs: DataFrame) -> DataFrame:
-        pairs = spool(pairs.groupBy("a", "b").agg(F.max("p").alias("p")).join(known, ["a", "b"], "left_anti"), "pairs")
-        return spool(known.union(verify(pairs)), "distances")
-
-    known = spark.createDataFrame([], "a long, b long, d double")
-    # at first each class meets one document of its largest region only, which connects most groups
-    own = region.groupBy("cls").agg(F.max(F.struct("size", "h", F.col("hi").alias("pivot"))).alias("m"), F.first("n").alias("n"))
-    own = own.select("cls", "n", "m.pivot").where("cls <> pivot").join(classes.select(F.col("cls").alias("pivot"), F.col("n").alias("np")), "pivot")
-    known = measure(own.select(*pair("cls", "n", "pivot", "np")).where("100 * lo >= 75 * hi"))
-    comps = connected_components(known.where(F.col("d") <= r), "joined")
-
-    # small regions are compared; the others get a centre, from which the distance of all is taken
-    region = grouped(region.drop("hi", "size"))
-    leaf, big = region.where(F.col("size") <= LEAF), region.where(F.col("size") > LEAF).drop("far")
-    centre = big.groupBy("h").agg(F.min_by(F.struct("cls", "n"), F.xxhash64("cls")).alias("c")).select("h", F.col("c.cls").alias("centre"), F.col("c.n").alias("nc"))
-    big = big.join(centre, "h").where("cls <> centre")
-    known = measure(leaf_pairs(leaf).union(big.select(*pair("cls", "n", "centre", "nc")).where("2 * lo >= hi")))  # else farther than 1/2
-    away = known.select("a", "b", F.col("d").alias("far"))
-    region = (big.withColumns({"a": F.least("cls", "centre"), "b": F.greatest("cls", "centre")}).join(away, ["a", "b"], "left")
-              .select("h", "cls", "n", F.coalesce("far", F.lit(1.0)).alias("far"), F.lit(0).cast("long").alias("comp")))
-    comps, most = connected_components(known.where(F.col("d") <= r), "joined"), LEAF
+        sizes = region.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(
+            F.sum("m").alias("size"), F.count("*").alias("many"), F.max(F.struct("m", "comp"))["comp"].alias("main"))
+        return region.join(sizes.where("many > 1").drop("many"), "h")
+
+    # a star around one document of each class's pairs connects most groups; then the pairs that are left, and the centres
+    known = unknown
+    known = measure(small.groupBy("a").agg(F.min("b").alias("b")).select("a", "b", F.col("b").alias("p"), F.lit(0.0).alias("near")))
+    comps = connected()
+    part = comps.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+    apart = small.join(part.toDF("a", "ca"), "a", "left").join(part.toDF("b", "cb"), "b", "left")
+    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "p", "near")
+    known = measure(apart.union(around).groupBy("a", "b").agg(F.max("p").alias("p"), F.max("near").alias("near")))
+    comps, most = connected(), LEAF
+    region = (big.where("cls <> centre").withColumns({"a": F.least("cls", "centre"), "b": F.greatest("cls", "centre")})
+              .join(known, ["a", "b"], "left").select("h", "cls", "n", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(1.0)).alias("far"), "comp"))
     while True:
-        region, most = grouped(region), min(2 * most, LAST_LEAF)
-        # a document goes on if the triangle inequality lets it link with one of another part of its region
-        outside = F.when(F.col("comp") != F.col("main"), F.col("far"))
-        window = region.groupBy("h").agg(F.min(outside).alias("lo"), F.max(outside).alias("hi"))
-        region = region.join(window, "h").where((F.col("far") >= F.col("lo") - r - eps) & (F.col("far") <= F.col("hi") + r + eps)).drop("lo", "hi")
-        region = spool(region, "regions")
+        region, most = spool(grouped(region), "regions"), min(2 * most, LAST_LEAF)
         if region.isEmpty():
             break
+        # a document goes on if the triangle inequality over the centre lets it link with one of another part of its region
+        outside = F.col("comp") != F.col("main")
+        window = region.groupBy("h").agg(F.min(F.when(outside, F.col("near"))).alias("lo"), F.max(F.when(outside, F.col("far"))).alias("hi"))
+        region = region.join(window, "h").where(outside | ((F.col("far") >= F.col("lo") - r - eps) & (F.col("near") <= F.col("hi") + r + eps))).drop("lo", "hi")
         leaf, big = region.where(F.col("size") <= most), region.where(F.col("size") > most)
-        known_by = F.struct("cls", "n", "comp", "far")
-        drawn = [F.min_by(F.when((F.col("comp") == F.col("main")) == inside, known_by), F.when((F.col("comp") == F.col("main")) == inside, F.xxhash64("cls", F.lit(i))))
-                 for inside, count in ((False, OUTER_PIVOTS), (True, INNER_PIVOTS)) for i in range(count)]
+        one = F.struct("cls", "n", "comp", "near", "far")
+        drawn = [F.min_by(F.when(outside == is_outer, one), F.when(outside == is_outer, F.xxhash64("cls", F.lit(i))))
+                 for is_outer, count in ((True, OUTER_PIVOTS), (False, INNER_PIVOTS)) for i in range(count)]
         pivots = big.groupBy("h").agg(F.array_distinct(F.array_compact(F.array(*drawn))).alias("pivots"))
-        pivots = pivots.select("h", F.explode("pivots").alias("p")).select("h", *(F.col(f"p.{c}").alias(f"{c}2") for c in ("cls", "n", "comp", "far")))
-        star = (big.join(pivots, "h").where("cls <> cls2 and comp <> comp2").where(F.abs(F.col("far") - F.col("far2")) <= r + eps)
+        pivots = pivots.select("h", F.explode("pivots").alias("p")).select("h", *(F.col(f"p.{c}").alias(f"{c}2") for c in ("cls", "n", "comp", "near", "far")))
+        pivots = spool(pivots, "pivots")
+        star = (big.join(pivots, "h").where("cls <> cls2 and comp <> comp2")
+                .where((F.col("near") <= F.col("far2") + r + eps) & (F.col("near2") <= F.col("far") + r + eps))
                 .select(*pair("cls", "n", "cls2", "n2")).where("100 * lo >= 75 * hi"))
-        known = measure(leaf_pairs(leaf).union(star))
-        comps = connected_components(known.where(F.col("d") <= r), "joined")
-        region = big.join(pivots.select("h", F.col("cls2").alias("cls")), ["h", "cls"], "left_anti").select("h", "cls", "n", "far", "comp")
+        known = measure(bounded(leaf_pairs(leaf).union(star)))
+        comps = connected()
+        region = big.join(pivots.select("h", F.col("cls2").alias("cls")), ["h", "cls"], "left_anti").select("h", "cls", "n", "near", "far", "comp")
 
-    root = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    root = classes.select("cls", "doc").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = root.groupBy("comp").agg(F.min("doc").alias("component_id"))
     label = root.join(smallest, "comp").select("cls", "component_id")
     alone = (F.col("n") == 0) | F.col("doc_id").isNull()
