@@ -43,8 +43,9 @@ from tidemark.llm.common import (arrow_type, bloom_filter, bloom_has, bucketed,
 COMMON = 1 << 17
 #: Documents of a region that are compared directly: at first, and at most after some rounds.
 LEAF, LAST_LEAF = 16, 128
-#: Pivots of a larger region in a round: outside its largest connected part, and inside it.
-OUTER_PIVOTS, INNER_PIVOTS = 8, 4
+#: Pivots of a larger region: outside its largest connected part (in the first round, then eight times as many in
+#: each) and inside it.
+OUTER_PIVOTS, INNER_PIVOTS = 32, 4
 #: Hash buckets of the shingle index.
 BUCKETS = 1024
 #: Shingles a task counts at a time, and common ones it reports of them.
@@ -298,8 +299,9 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
         region = (region.drop("comp").join(comps.withColumnRenamed("node", "cls"), "cls", "left")
                   .withColumn("comp", F.coalesce("comp", "cls")))
         sizes = region.groupBy("h", "comp").agg(F.count("*").alias("m")).groupBy("h").agg(
-            F.sum("m").alias("size"), F.count("*").alias("many"), F.max(F.struct("m", "comp"))["comp"].alias("main"))
-        return region.join(sizes.where("many > 1").drop("many"), "h")
+            F.sum("m").alias("size"), F.max(F.struct("m", "comp")).alias("top"))
+        sizes = sizes.select("h", "size", F.col("top.comp").alias("main"), (F.col("size") - F.col("top.m")).alias("outer"))
+        return region.join(sizes.where("outer > 0"), "h")
 
     # a star around one document of each class's pairs connects most groups; then the pairs that are left, and the centres
     known = unknown
@@ -309,7 +311,7 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
     apart = small.join(part.toDF("a", "ca"), "a", "left").join(part.toDF("b", "cb"), "b", "left")
     apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "p", "near")
     known = measure(apart.union(around).groupBy("a", "b").agg(F.max("p").alias("p"), F.max("near").alias("near")))
-    comps, most = connected(), LEAF
+    comps, most, turn = connected(), LEAF, 0
     region = (big.where("cls <> centre").withColumns({"a": F.least("cls", "centre"), "b": F.greatest("cls", "centre")})
               .join(known, ["a", "b"], "left").select("h", "cls", "n", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(1.0)).alias("far"), "comp"))
     while True:
@@ -321,12 +323,12 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
         window = region.groupBy("h").agg(F.min(F.when(outside, F.col("near"))).alias("lo"), F.max(F.when(outside, F.col("far"))).alias("hi"))
         region = region.join(window, "h").where(outside | ((F.col("far") >= F.col("lo") - r - eps) & (F.col("near") <= F.col("hi") + r + eps))).drop("lo", "hi")
         leaf, big = region.where(F.col("size") <= most), region.where(F.col("size") > most)
-        one = F.struct("cls", "n", "comp", "near", "far")
-        drawn = [F.min_by(F.when(outside == is_outer, one), F.when(outside == is_outer, F.xxhash64("cls", F.lit(i))))
-                 for is_outer, count in ((True, OUTER_PIVOTS), (False, INNER_PIVOTS)) for i in range(count)]
-        pivots = big.groupBy("h").agg(F.array_distinct(F.array_compact(F.array(*drawn))).alias("pivots"))
-        pivots = pivots.select("h", F.explode("pivots").alias("p")).select("h", *(F.col(f"p.{c}").alias(f"{c}2") for c in ("cls", "n", "comp", "near", "far")))
-        pivots = spool(pivots, "pivots")
+        columns = ("cls", "n", "comp", "near", "far")
+        some = F.pmod(F.xxhash64("cls", F.lit(turn)), F.ceil(F.col("outer") / (OUTER_PIVOTS * 8**turn))) == 0
+        inner = big.where(~outside).groupBy("h").agg(F.array_distinct(F.array(*(F.min_by(F.struct(*columns), F.xxhash64("cls", F.lit(turn * INNER_PIVOTS + i)))
+                                                                                for i in range(INNER_PIVOTS)))).alias("p"))
+        pivots = big.where(outside & some).select("h", *columns).union(inner.select("h", F.inline("p")))
+        pivots, turn = spool(pivots.toDF("h", *(f"{c}2" for c in columns)), "pivots"), turn + 1
         star = (big.join(pivots, "h").where("cls <> cls2 and comp <> comp2")
                 .where((F.col("near") <= F.col("far2") + r + eps) & (F.col("near2") <= F.col("far") + r + eps))
                 .select(*pair("cls", "n", "cls2", "n2")).where("100 * lo >= 75 * hi"))
