@@ -31,7 +31,7 @@ ALL_FROM = dt.date(1994, 12, 31)
 AS_OF = dt.date(2000, 12, 31)
 YTD_FROM = dt.date(1999, 12, 31)
 SELECTED = ["1-URGENT", "3-MEDIUM"]
-RUNS, SEED, LOOKBACK, WORST = 20, 42, 60, 10
+RUNS, SEED, LOOKBACK, WORST = 100, 42, 60, 10
 
 RANGE = (ALL_FROM, AS_OF)
 
@@ -172,6 +172,10 @@ def system_correlation(spark, sf):
     return _rounded(tm.system_correlation(_equity(spark, sf)), "corr", places=6)
 
 
+def system_correlation_uneven(spark, sf):
+    return _rounded(tm.system_correlation(fx.backtest(spark, sf)), "corr", places=6)
+
+
 def trade_blotter(spark, sf):
     return tm.trade_blotter(fx.trades(spark, sf), YTD_FROM)
 
@@ -309,7 +313,7 @@ _QUERIES = (
     daily_equity_vs_benchmark_all_periods, monthly_returns, monthly_returns_vs_benchmark,
     monthly_returns_all_periods, monthly_returns_vs_benchmark_all_periods, monthly_table,
     system_list, system_daily_pl, system_daily_pl_selected, system_equity_abs, system_equity_abs_selected,
-    system_equity_pct, system_equity_wide, system_correlation, trade_blotter, trade_blotter_selected,
+    system_equity_pct, system_equity_wide, system_correlation, system_correlation_uneven, trade_blotter, trade_blotter_selected,
     daily_pct_change, underwater, underwater_selected, current_drawdown, risk_key_metrics, rolling_dd_correlation,
     rolling_dd_correlation_active, backtest_systems, permutation_resample, drawdown_episodes,
     drawdown_episodes_merged, drawdown_episodes_by_depth, worst_drawdowns_pct, worst_drawdowns_days,

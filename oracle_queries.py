@@ -167,7 +167,7 @@ placed as (
          case when run = 0 then step
               else row_number() over (partition by system, run
                                       order by md5(concat('42|', run, '|', system, '|', step)), step) - 1 end as place
-  from numbered, (select cast(range as integer) as run from range(21))),
+  from numbered, (select cast(range as integer) as run from range(101))),
 factors as (
   select system, run, any_value(base) as base, list([1 + change] order by place) as fs from placed group by 1, 2),
 products as (
@@ -283,6 +283,10 @@ from equity""",
 select a.system as system_a, b.system as system_b, round(corr(a.equity, b.equity), 6) as corr
 from equity a join equity b using (date) group by 1, 2""",
 
+    "system_correlation_uneven": _with(_TRADES, _BACKTEST) + """
+select a.system as system_a, b.system as system_b, round(corr(a.equity, b.equity), 6) as corr
+from backtest a join backtest b using (date) group by 1, 2""",
+
     "trade_blotter": _with(_TRADES)
     + f"select {_BLOTTER_COLUMNS} from trades where entry_date > date '1999-12-31' order by trade_id desc",
 

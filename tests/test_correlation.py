@@ -79,3 +79,18 @@ def test_all_flat_windows_give_minus_half(spark):
 def test_no_pairs_in_the_rolling_plan(spark):
     plan = plan_of(tm.rolling_dd_correlation(frame(spark, curves(3, 10), "dd_pct"), 4))
     assert "Join" not in plan and "Cartesian" not in plan
+
+
+def test_systems_meet_on_their_common_dates(spark):
+    """Shifted and gappy curves, as pandas correlates them."""
+    wide = curves(5, 60, seed=3)
+    wide["SHIFT"] = wide["S00"].shift(1)
+    wide.iloc[5:20, 1] = np.nan
+    wide.iloc[40:, 2] = np.nan
+    wide.iloc[:41, 3] = np.nan
+    got = as_map(tm.system_correlation(frame(spark, wide, "equity")), "system_a", "system_b")
+    want = wide.corr(min_periods=2)
+    for a in wide.columns:
+        for b in wide.columns:
+            assert got[(a, b)] == (None if np.isnan(want.loc[a, b]) else pytest.approx(want.loc[a, b], abs=1e-9))
+            assert got[(a, b)] == got[(b, a)]

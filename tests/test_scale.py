@@ -48,9 +48,11 @@ def test_chosen_systems_reach_the_scan(stored):
     assert all("In(system, [A,B])" in pushed for _, pushed in scans(plan)) and len(scans(plan)) == 2
 
 
-def test_all_systems_take_one_pass_over_trades(stored):
+def test_all_systems_sum_only_the_range(stored):
     plan = plan_of(tm.system_daily_pl(*stored, FROM, TO))
-    assert len(scans(plan)) == 2 and "Join" not in plan
+    assert len(scans(plan)) == 3
+    assert plan.count("GreaterThan(exit_date") == 1 and plan.count("GreaterThan(date") == 1
+    assert "ReadSchema: struct<system:string>" in plan
 
 
 def test_hot_system_day_and_copies(spark):

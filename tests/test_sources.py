@@ -1,3 +1,4 @@
+import csv
 import datetime as dt
 
 import pytest
@@ -39,7 +40,7 @@ def test_trades(spark, tmp_path):
               "Exit price,PL\n"
               '9007199254740993,A,L,"X, Y",1/2/2022,1.5,10,0.35,13/02/2022,2,4.6500\n'
               "2,B,S,Z,28/02/2022,3,5,1,,,\n3,A,L,Z,2022-03-04,3,5.0,1,05/03/2022,3,n/a\n")
-    got = {r.trade_id: r for r in tm.load_trades(spark, p).collect()}
+    got = {r.trade_id: r for r in tm.load_trades(spark, p, on_bad="null").collect()}
     assert tm.load_trades(spark, p).schema == schemas.TRADES
     first = got[9007199254740993]
     assert (first.ticker, first.entry_date, first.exit_date, first.pl, first.commission) == (
@@ -47,7 +48,30 @@ def test_trades(spark, tmp_path):
     assert got[2].exit_date is None and got[2].pl is None and got[2].exit_price is None
     assert got[3].entry_date == dt.date(2022, 3, 4) and got[3].quantity == 5 and got[3].pl is None
     # The trade without an exit date is in no daily total.
-    assert set(as_map(tm.closed_pl_by_date(tm.load_trades(spark, p)), "date")) == {"2022-02-13", "2022-03-05"}
+    assert set(as_map(tm.closed_pl_by_date(tm.load_trades(spark, p, on_bad="null")), "date")) == {"2022-02-13", "2022-03-05"}
+    with pytest.raises(Exception, match="not a decimal"):
+        tm.load_trades(spark, p).collect()
+
+
+HEAD = "System,Entry date,Exit date,PL\n"
+
+
+def test_trades_with_quotes_and_date_forms(spark, tmp_path):
+    p = write(tmp_path / "t.csv", HEAD + '"A ""b"", c",1-2-2021,2/2/21,50\nB,01.02.2021,,1\n')
+    assert [(r.system, r.entry_date, r.exit_date, r.pl) for r in tm.load_trades(spark, p).orderBy("system").collect()] == [
+        ('A "b", c', dt.date(2021, 2, 1), dt.date(2021, 2, 2), money(50)), ("B", dt.date(2021, 2, 1), None, money(1))]
+    bad = write(tmp_path / "bad.csv", HEAD + "A,1/2/2021,soon,5\n")
+    with pytest.raises(Exception, match="not a date: soon"):
+        tm.load_trades(spark, bad).collect()
+    with pytest.raises(ValueError, match="no column PL"):
+        tm.load_trades(spark, write(tmp_path / "pl.csv", HEAD.replace("PL", "P/L") + "A,1/2/2021,,5\n"))
+
+
+def test_files_of_a_folder_need_the_same_header(spark, tmp_path):
+    write(tmp_path / "a.csv", "Date,AAA,BBB\n1/1/2022,1,2\n")
+    write(tmp_path / "b.csv", "Date,BBB,AAA\n2/1/2022,2,1\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tm.load_backtest(spark, str(tmp_path)).collect()
 
 
 def test_backtest(spark, tmp_path):
@@ -74,7 +98,9 @@ def test_open_pl_wide(spark, tmp_path):
         blank + "," + "A,,,,,,,",
         blank + "," + blank,
         "C,V,1,x,,bad,,L" + "," + blank])
-    got = tm.load_open_pl(spark, p)
+    with pytest.raises(Exception, match="not a"):
+        tm.load_open_pl(spark, p).collect()
+    got = tm.load_open_pl(spark, p, on_bad="null")
     assert got.schema.names == schemas.OPEN_PL.names
     assert [f.dataType for f in got.schema] == [f.dataType for f in schemas.OPEN_PL]
     assert as_map(got, "date", "system") == {
@@ -99,6 +125,29 @@ def test_open_pl_many_files_with_their_own_heads(spark, tmp_path):
     assert tm.load_open_pl(spark, both).count() == 3
 
 
+def test_open_pl_heads_in_any_split(spark, tmp_path):
+    """Header lines longer than a split, and data lines that equal a header line."""
+    dates = [f"{d}/01/2021" for d in range(1, 21)]
+    line = ",".join(["A,T,1,1,1,5,,L"] * 20)
+    p = wide_file(tmp_path / "o.csv", dates, [line] * 5 + ["x" + "," * 159] * 2)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("1024", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = tm.load_open_pl(spark, p)
+            assert got.where("system = 'A'").count() == 100 and got.where("system = 'x'").count() == 2
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("old, new, match", [("P/L", "PL", "no field P/L"), ("01/02/2021", "someday", "not a date")])
+def test_open_pl_with_a_bad_head(spark, tmp_path, old, new, match):
+    p = wide_file(tmp_path / "o.csv", ["01/02/2021"], ["A,T,1,1,1,5,,L"])
+    write(tmp_path / "o.csv", (tmp_path / "o.csv").read_text().replace(old, new))
+    with pytest.raises(Exception, match=match):
+        tm.load_open_pl(spark, p).collect()
+
+
 def test_read_query_binds_parameters(spark):
     df = spark.createDataFrame([("1/2/2022", 1), ("3/2/2022", 2)], "d string, x int")
     got = tm.read_query(spark, "select d, x, timestamp'2022-05-06 10:00:00' as t from {rows} where x > :least",
@@ -125,8 +174,16 @@ def test_write_modes_and_types(spark, tmp_path):
 def test_export_csv(spark, tmp_path):
     p = str(tmp_path / "csv")
     tm.export_csv(spark.createDataFrame([("zloty ł", 1.5, None)], "a string, b double, c string"), p)
-    text = next((tmp_path / "csv").glob("part-*.csv")).read_text(encoding="utf-8")
-    assert text.splitlines() == ["a,b,c", "zloty ł,1.5,"]
+    text = [f.read_text(encoding="utf-8").splitlines() for f in (tmp_path / "csv").glob("part-*.csv")]
+    assert sum(text, [])[:1] == ["a,b,c"] and [r for t in text for r in t[1:]] == ["zloty ł,1.5,"]
+
+
+def test_exported_bytes_read_back(spark, tmp_path):
+    rows = [('say "hi", x', 1), (" pad ", 2), ("", 3), ("a\tb", 4), (None, 5)]
+    tm.export_csv(spark.createDataFrame(rows, "a string, b int"), str(tmp_path / "csv"), single_file=True)
+    (part,) = (tmp_path / "csv").glob("part-*.csv")
+    with open(part, encoding="utf-8", newline="") as f:
+        assert sorted(csv.reader(f), key=lambda r: r[1])[:-1] == [[a or "", str(b)] for a, b in rows]
 
 
 def test_spool_cuts_lineage_in_the_shared_folder(spark):

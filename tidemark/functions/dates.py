@@ -44,6 +44,11 @@ def periods_array(as_of: Column, all_floor: dt.date = ALL_FLOOR) -> Column:
 
 
 def parse_day_first(text: Column) -> Column:
-    """Parse ``d/M/yyyy`` or ISO text; anything else, blanks included, is NULL."""
+    """Parse day, month, year parted by ``/``, ``-`` or ``.``, the year of four or two digits, or ISO text.
+
+    Two digits are years from 2000 on. Anything else, blanks included, is NULL.
+    """
     text = F.trim(text)
-    return F.coalesce(F.try_to_date(text, "d/M/yyyy"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"))
+    slashed = F.regexp_replace(text, "[-.]", "/")
+    return F.coalesce(F.try_to_date(slashed, "d/M/yyyy"), F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd"),
+                      F.try_to_date(slashed, "d/M/yy"))

@@ -14,66 +14,75 @@ from ..sources.shared import spool
 SYSTEMS_PER_BLOCK = 256
 
 
-def _standard_vectors(series: DataFrame, value: str) -> DataFrame:
-    """One row per system: its values in date order, centred and scaled to unit length.
-
-    A vector holds one number per date of the shared axis. It is NULL for a constant series.
-    """
-    whole = W.partitionBy("system")
-    x = F.col(value)
-    centred = series.select(
-        "system", "date", (x - F.avg(x).over(whole)).alias("c"),
-        (F.max(x).over(whole) > F.min(x).over(whole)).alias("varies"))
-    length = F.sqrt(F.sum(F.col("c") * F.col("c")).over(whole))
-    scaled = centred.select("system", "date", "varies", F.try_divide(F.col("c"), length).alias("z"))
-    by_date = F.array_sort(F.collect_list(F.struct("date", "z")))
-    return (scaled.groupBy("system").agg(by_date.alias("points"), F.bool_and("varies").alias("varies"))
-            .select("system", F.when(F.col("varies"), F.col("points.z")).alias("z")))
-
-
-def _correlate_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Correlations between the systems of two blocks as one matrix product."""
-    width = max((len(z) for z in pdf["z"] if z is not None), default=1)
-    flat = np.full(width, np.nan)
-
-    def side(part: pd.DataFrame) -> np.ndarray:
-        return np.stack([flat if z is None else np.asarray(z, dtype=float) for z in part["z"]])
-
-    def triples(left: pd.DataFrame, right: pd.DataFrame, corr: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"system_a": np.repeat(left["system"].to_numpy(), len(right)),
-                             "system_b": np.tile(right["system"].to_numpy(), len(left)),
-                             "corr": corr.ravel()})
-
-    low, high = pdf[pdf["block"] == pdf["low"]], pdf[pdf["block"] == pdf["high"]]
-    if low.empty or high.empty:
-        return triples(low, high, np.empty(0))
-    corr = np.clip(side(low) @ side(high).T, -1.0, 1.0)
-    if pdf["low"].iloc[0] == pdf["high"].iloc[0]:
-        np.fill_diagonal(corr, np.where(np.isnan(np.diag(corr)), np.nan, 1.0))
-        return triples(low, high, corr)
-    return pd.concat([triples(low, high, corr), triples(high, low, corr.T)])
+def _centred_vectors(series: DataFrame, value: str) -> DataFrame:
+    """One row per system: the days on which it has a value, and the values less their mean."""
+    x = F.col(value).cast("double")
+    known = series.where(x.isNotNull() & ~F.isnan(x))
+    centred = known.select("system", F.unix_date("date").alias("day"), (x - F.avg(x).over(W.partitionBy("system"))).alias("x"))
+    points = centred.groupBy("system").agg(F.array_sort(F.collect_list(F.struct("day", "x"))).alias("points"))
+    every = series.select("system").distinct().join(points, "system", "left")
+    return every.select("system", F.col("points.day").alias("day"), F.col("points.x").alias("x"))
+
+
+def _block_correlation():
+    """The function of a pair of blocks; it carries all it needs, so workers need not have this package."""
+
+    def correlate(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = pdf[pdf["block"] == pdf["low"]], pdf[pdf["block"] == pdf["high"]]
+        days = [np.asarray(d if d is not None else [], dtype=np.int64) for d in pdf["day"]]
+        axis = np.unique(np.concatenate(days)) if days else np.zeros(0, np.int64)
+
+        def side(part):
+            values, known = np.zeros((len(part), len(axis))), np.zeros((len(part), len(axis)))
+            for i, (d, x) in enumerate(zip(part["day"], part["x"])):
+                if d is not None:
+                    at = np.searchsorted(axis, np.asarray(d, dtype=np.int64))
+                    values[i, at], known[i, at] = np.asarray(x, dtype=float), 1.0
+            return values, known
+
+        def triples(left, right, corr):
+            return pd.DataFrame({"system_a": np.repeat(left["system"].to_numpy(), len(right)),
+                                 "system_b": np.tile(right["system"].to_numpy(), len(left)), "corr": corr.ravel()})
+
+        if low.empty or high.empty:
+            return triples(low, high, np.empty(0))
+        (x, m), (y, k) = side(low), side(high)
+        n = m @ k.T
+        with np.errstate(all="ignore"):
+            sx, sy, xx, yy = x @ k.T, m @ y.T, (x * x) @ k.T, m @ (y * y).T
+            vx, vy = xx - sx * sx / n, yy - sy * sy / n
+            corr = (x @ y.T - sx * sy / n) / np.sqrt(vx * vy)
+            # a series without change on the common dates keeps at most a rounding error
+            corr[(n < 2) | (vx <= 1e-14 * xx) | (vy <= 1e-14 * yy) | ~np.isfinite(corr)] = np.nan
+        corr = np.clip(corr, -1.0, 1.0)
+        if pdf["low"].iloc[0] == pdf["high"].iloc[0]:
+            upper = np.triu(corr, 1)
+            return triples(low, high, upper + upper.T + np.diag(np.where(np.isnan(np.diag(corr)), np.nan, 1.0)))
+        return pd.concat([triples(low, high, corr), triples(high, low, corr.T)])
+
+    return correlate
 
 
 def system_correlation(equity_abs: DataFrame, value: str = "equity") -> DataFrame:
     """Pearson correlation of every two systems: system_a, system_b, corr.
 
     Both orders and the diagonal are returned, as in a matrix. A constant series gives NULL
-    throughout, its diagonal included. Every system needs the same dates, as ``system_equity_abs``
-    gives them.
+    throughout, its diagonal included. Two systems are compared on the dates on which both have a value; a
+    date may occur once per system.
 
     Systems are hashed into blocks of about ``SYSTEMS_PER_BLOCK``; each pair of blocks is one
     group whose size is bounded by block size x dates, and one matrix product computes it. The
-    only pairs that are ever produced are the result rows. The standardised curves are stored
+    only pairs that are ever produced are the result rows. The centred curves are stored
     first: their number sets the number of blocks, and they are needed once per block.
     """
-    vectors = spool(_standard_vectors(equity_abs, value), "standard-curves")
+    vectors = spool(_centred_vectors(equity_abs, value), "centred-curves")
     blocks = max(1, math.ceil(vectors.count() / SYSTEMS_PER_BLOCK))
     block = F.pmod(F.xxhash64("system"), F.lit(blocks)).cast("int").alias("block")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
     paired = vectors.select("*", block).select("*", other).select(
-        "system", "z", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        "system", "day", "x", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     out = paired.groupBy("low", "high").applyInPandas(
-        _correlate_blocks, "system_a string, system_b string, corr double")
+        _block_correlation(), "system_a string, system_b string, corr double")
     return out.withColumn("corr", F.nanvl("corr", F.lit(None).cast("double")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.stats import by_date, rate_of, running
 
 METRICS = ("pct", "days")
+SALTS = 64
 
 
 def underwater(equity_abs: DataFrame) -> DataFrame:
@@ -77,16 +78,15 @@ def sorted_episodes(episodes: DataFrame, metric: str = "pct") -> DataFrame:
 def worst_drawdowns(episodes: DataFrame, metric: str, n: int = 10) -> DataFrame:
     """Worst and n-th worst value per system: system, metric, worst_1, worst_n.
 
-    With fewer than ``n`` episodes the last available one counts. Filtering on the row number lets
-    every task keep its own best ``n`` per system before the shuffle, so that one system with most
-    of the episodes does not end up in one task.
+    With fewer than ``n`` episodes the last available one counts. The best ``n`` are taken in each of ``SALTS``
+    parts of a system first, so that one system with most of the episodes does not meet in one task, whatever ``n``.
     """
     _check(metric)
-    ranked = episodes.select(
-        "system", F.col(metric).cast("double").alias("value"),
-        F.row_number().over(W.partitionBy("system").orderBy(F.desc(metric))).alias("rank"))
-    return (ranked.where(F.col("rank") <= n).groupBy("system")
-            .agg(F.lit(metric).alias("metric"), F.max("value").alias("worst_1"), F.min("value").alias("worst_n")))
+    values = episodes.select("system", F.col(metric).cast("double").alias("value"), F.pmod(F.xxhash64("run", "equity_high"), F.lit(SALTS)).alias("salt"))
+    for keys in (["system", "salt"], ["system"]):
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("value")))
+        values = values.withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
+    return values.groupBy("system").agg(F.lit(metric).alias("metric"), F.max("value").alias("worst_1"), F.min("value").alias("worst_n"))
 
 
 def drawdown_vs_resample(current: DataFrame, worst: DataFrame, metric: str) -> DataFrame:

@@ -29,26 +29,19 @@ def system_daily_pl(trades: DataFrame, open_pl: DataFrame, date_from: dt.date, d
                     systems: Iterable[str] | None = None) -> DataFrame:
     """Closed and open totals per date and system: date, system, pl_closed, pl_open.
 
-    Dates need not be in the calendar. ``systems=None`` takes every system found in ``trades``,
-    also when filtering open positions. That test looks at all trades, not only those in the range,
-    so it rides along as a flag in the one pass that sums them instead of reading trades twice.
+    Dates need not be in the calendar. ``systems=None`` takes every system found in ``trades``, also when
+    filtering open positions. Only trades of the range are summed; whether a system was traded at all is read
+    from one column and met by the sums of the open positions, not by their rows.
     """
-    closed = of_systems(trades, systems).select(
-        F.col("exit_date").alias("date"), "system", F.col("pl").alias("pl_closed"),
-        F.lit(None).cast(schemas.MONEY).alias("pl_open"), F.lit(True).alias("traded"))
-    opened = of_systems(open_pl, systems).select(
-        "date", "system", F.lit(None).cast(schemas.MONEY).alias("pl_closed"),
-        F.col("pl").alias("pl_open"), F.lit(False).alias("traded"))
     wanted = in_range(F.col("date"), date_from, date_to)
-    if systems is not None:
-        closed, opened = closed.where(wanted), opened.where(wanted)
-    totals = (closed.unionByName(opened.where(wanted))
-              .groupBy("date", "system")
-              .agg(F.sum("pl_closed").alias("pl_closed"), F.sum("pl_open").alias("pl_open"),
-                   F.max("traded").alias("traded")))
+    nothing = F.lit(None).cast(schemas.MONEY)
+    closed = (of_systems(trades, systems).select(F.col("exit_date").alias("date"), "system", "pl").where(wanted)
+              .groupBy("date", "system").agg(F.sum("pl").alias("pl_closed")).withColumn("pl_open", nothing))
+    opened = (of_systems(open_pl, systems).where(wanted).groupBy("date", "system").agg(F.sum("pl").alias("pl_open"))
+              .withColumn("pl_closed", nothing))
     if systems is None:
-        totals = (totals.withColumn("traded", F.max("traded").over(W.partitionBy("system")))
-                  .where(F.col("traded") & wanted))
+        opened = opened.join(of_systems(trades, None).select("system").distinct(), "system", "left_semi")
+    totals = closed.unionByName(opened).groupBy("date", "system").agg(F.sum("pl_closed").alias("pl_closed"), F.sum("pl_open").alias("pl_open"))
     return totals.select("date", "system", F.coalesce("pl_closed", F.lit(0)).alias("pl_closed"),
                          F.coalesce("pl_open", F.lit(0)).alias("pl_open"))
 

@@ -19,6 +19,11 @@ def write_table(df: DataFrame, path: str, if_exists: str = "fail", dtypes: Mappi
     typed.write.mode(_MODES[if_exists]).partitionBy(*partition_by).parquet(path)
 
 
-def export_csv(df: DataFrame, path: str, if_exists: str = "fail") -> None:
-    """UTF-8 CSV with a header line in every part file."""
-    df.write.mode(_MODES[if_exists]).option("header", True).option("encoding", "UTF-8").csv(path)
+def export_csv(df: DataFrame, path: str, if_exists: str = "fail", single_file: bool = False) -> None:
+    """Standard UTF-8 CSV: a header line in every part file, quotes doubled, blanks kept, NULL and empty text empty.
+
+    ``single_file`` writes one part, for small results only.
+    """
+    out = df.coalesce(1) if single_file else df
+    (out.write.mode(_MODES[if_exists]).option("header", True).option("encoding", "UTF-8").option("escape", '"')
+     .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))

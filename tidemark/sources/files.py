@@ -21,14 +21,31 @@ _OPEN_FIELDS = {
 }
 _DEFAULT_ACTION = "L"
 
+#: Fields of a trades file that may be missing; they load as NULL.
+OPTIONAL_TRADE_FIELDS = ("TRADE ID", "ACTION", "TICKER", "ENTRY PRICE", "QUANTITY", "COMMISSION", "EXIT PRICE")
+
 
 def _read_text_columns(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, all columns as text, names trimmed and upper-cased."""
-    raw = spark.read.option("header", True).csv(path)
+    """CSV with a header, all columns as text, names trimmed and upper-cased.
+
+    A quote inside a quoted cell is doubled. Files of one folder whose headers differ are an error.
+    """
+    raw = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).csv(path)
     return raw.toDF(*[clean_name(c) for c in raw.columns])
 
 
-def _typed(text: Column, wanted: T.DataType) -> Column:
+def _typed(text: Column, wanted: T.DataType, on_bad: str = "null") -> Column:
+    """Text as a wanted type. Blank text is NULL; other text that does not parse is NULL or an error."""
+    if on_bad not in ("raise", "null"):
+        raise ValueError(f"on_bad must be 'raise' or 'null', not {on_bad!r}")
+    parsed = _parsed(text, wanted)
+    if on_bad == "null":
+        return parsed
+    bad = parsed.isNull() & (F.trim(text) != "")
+    return F.when(bad, F.raise_error(F.concat(F.lit(f"not a {wanted.simpleString()}: "), text)).cast(wanted)).otherwise(parsed)
+
+
+def _parsed(text: Column, wanted: T.DataType) -> Column:
     if isinstance(wanted, T.DateType):
         return parse_day_first(text)
     if isinstance(wanted, T.LongType):
@@ -57,12 +74,19 @@ def load_bars(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
             .withColumns({"month": F.month("date"), "year": F.year("date")}))
 
 
-def load_trades(spark: SparkSession, path: str) -> DataFrame:
-    """Executed trades with day-first dates. A blank exit date stays NULL: the trade is still open."""
+def load_trades(spark: SparkSession, path: str, on_bad: str = "raise") -> DataFrame:
+    """Executed trades with day-first dates. A blank exit date stays NULL: the trade is still open.
+
+    A missing field is an error unless it is one of ``OPTIONAL_TRADE_FIELDS``. Dates and numbers that do
+    not parse are an error, or NULL with ``on_bad="null"``.
+    """
     raw = _read_text_columns(spark, path)
+    missing = [f for f in _TRADE_FIELDS if f not in raw.columns and f not in OPTIONAL_TRADE_FIELDS]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
     present = {c: _TRADE_FIELDS[c] for c in raw.columns if c in _TRADE_FIELDS}
     source = {name: F.col(f"`{field}`") for field, name in present.items()}
-    return raw.select(*[_typed(source.get(f.name, F.lit(None).cast("string")), f.dataType).alias(f.name)
+    return raw.select(*[_typed(source.get(f.name, F.lit(None).cast("string")), f.dataType, on_bad).alias(f.name)
                         for f in schemas.TRADES])
 
 
@@ -93,55 +117,67 @@ def _cells(line: Column) -> Column:
 
 
 def _heads(lines: DataFrame) -> DataFrame:
-    """The three header lines of each file: file, head_1, head_2, head_3.
+    """The three header lines of each file, and their places: file, head_1, head_2, head_3, places.
 
-    Costs a plain scan of the text; every task keeps three lines per file ahead of the shuffle.
+    They may lie in any of the file's splits: each split offers its first three lines, and the first three of
+    all by (split, place) are taken. Every task keeps three lines per split ahead of the shuffle.
     """
-    order = W.partitionBy("file").orderBy("place")
-    return (lines.where("block_start = 0").withColumn("place", F.monotonically_increasing_id())
-            .withColumn("line_no", F.row_number().over(order)).where("line_no <= 3")
-            .groupBy("file").agg(*[F.max(F.when(F.col("line_no") == n, F.col("value"))).alias(f"head_{n}")
-                                   for n in (1, 2, 3)]))
+    in_split = W.partitionBy("file", "block_start").orderBy("place")
+    in_file = W.partitionBy("file").orderBy("block_start", "place")
+    return (lines.withColumn("split_no", F.row_number().over(in_split)).where("split_no <= 3")
+            .withColumn("line_no", F.row_number().over(in_file)).where("line_no <= 3")
+            .groupBy("file").agg(F.collect_list("place").alias("places"),
+                                 *[F.max(F.when(F.col("line_no") == n, F.col("value"))).alias(f"head_{n}") for n in (1, 2, 3)]))
 
 
 def _blocks(heads: DataFrame) -> DataFrame:
-    """Per file and date: MD5 of the header lines, and the cell number of each field (``at_<name>``).
+    """One row per file: the places of its header lines, and its date blocks with the cell number of each field.
 
-    Line 1 is a plain header, line 2 holds the date of every column, line 3 its field. A date may
-    occur twice; the first cell of each (date, field) counts.
+    Line 1 is a plain header, line 2 holds the date of every column, line 3 its field. A date may occur twice; the
+    first cell of each (date, field) counts. A date that does not parse, a block that lacks a field and a file
+    without blocks are errors.
     """
-    names = ["md5_1", "md5_2", "md5_3"]
-    columns = heads.select(
-        "file", *[F.md5(f"head_{n}").alias(f"md5_{n}") for n in (1, 2, 3)], F.posexplode(F.arrays_zip(
-            _cells(F.col("head_2")).alias("day"), _cells(F.col("head_3")).alias("field"))).alias("cell", "head"))
-    titled = columns.select("file", *names, "cell", parse_day_first(F.col("head.day")).alias("date"),
-                            F.upper(F.trim("head.field")).alias("field"))
-    return (titled.where("date is not null").groupBy("file", *names, "date")
-            .agg(*[F.min(F.when(F.col("field") == f, F.col("cell"))).alias(f"at_{n}")
-                   for f, n in _OPEN_FIELDS.items()]))
-
-
-def load_open_pl(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    columns = heads.select("file", "places", F.posexplode_outer(F.arrays_zip(
+        _cells(F.col("head_2")).alias("day"), _cells(F.col("head_3")).alias("field"))).alias("cell", "head"))
+    field = F.upper(F.trim("head.field"))
+    titled = columns.select("file", "places", "cell", field.alias("field"), F.col("head.day").alias("day")).where(
+        F.col("field").isin(list(_OPEN_FIELDS)) | F.col("field").isNull())
+    titled = titled.withColumn("date", _typed(F.col("day"), T.DateType(), "raise"))
+    placed = [F.min(F.when(F.col("field") == f, F.col("cell"))).alias(f"at_{n}") for f, n in _OPEN_FIELDS.items()]
+    dated = titled.groupBy("file", "places", "date").agg(*placed)
+    for f, n in _OPEN_FIELDS.items():
+        lacks = F.col("date").isNotNull() & F.col(f"at_{n}").isNull()
+        message = F.concat(F.lit(f"no field {f} for "), F.col("date").cast("string"), F.lit(" in "), F.col("file"))
+        dated = dated.withColumn(f"at_{n}", F.when(lacks, F.raise_error(message).cast("int")).otherwise(F.col(f"at_{n}")))
+    block = F.struct("date", *[f"at_{n}" for n in _OPEN_FIELDS.values()])
+    found = dated.groupBy("file", "places").agg(F.collect_list(F.when(F.col("date").isNotNull(), block)).alias("blocks"))
+    none = F.raise_error(F.concat(F.lit("no date block in "), F.col("file"))).cast(found.schema["blocks"].dataType)
+    return found.withColumn("blocks", F.when(F.size("blocks") == 0, none).otherwise(F.col("blocks")))
+
+
+def load_open_pl(spark: SparkSession, path: str | list[str], on_bad: str = "raise") -> DataFrame:
     """Daily open positions from wide files, one row per position and date.
 
-    Works on any number of files, each with its own three header lines and date blocks; a file's
-    blocks meet its lines through a join on the file name, which takes the place of a loop over
-    files and dates. The blocks are stored first, so that the join knows their size: small ones are
-    sent to the lines, which then need no shuffle. Rows blank throughout a block are dropped. Blank numbers become 0 and a blank
-    action becomes long; blank text stays NULL.
+    Works on any number of files, each with its own three header lines and date blocks. A file is one small row
+    with an array of blocks, joined to its lines, which takes the place of a loop over files and dates; blank
+    blocks of a line are dropped before the others become rows. The header lines are left out by their place.
+    Blank numbers become 0 and a blank action becomes long; blank text stays NULL. Numbers that do not parse are an
+    error, or count as blank with ``on_bad="null"``.
     """
     names = list(_OPEN_FIELDS.values())
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
-                                         F.col("_metadata.file_block_start").alias("block_start"))
-    parsed = lines.select("file", F.md5("value").alias("md5"), _cells(F.col("value")).alias("cells"))
-    is_head = F.col("md5").isin(F.col("md5_1"), F.col("md5_2"), F.col("md5_3"))
+                                         F.col("_metadata.file_block_start").alias("block_start"),
+                                         F.monotonically_increasing_id().alias("place"))
+    parsed = lines.select("file", "place", _cells(F.col("value")).alias("cells"))
     blocks = spool(_blocks(_heads(lines)), "open-pl-blocks")
-    raw = (parsed.join(blocks, "file").where(~is_head)
-           .select("date", *[F.trim(F.get("cells", F.col(f"at_{n}"))).alias(n) for n in names]))
+    positions = F.transform("blocks", lambda b: F.struct(
+        b["date"].alias("date"), *[F.coalesce(F.trim(F.get("cells", b[f"at_{n}"])), F.lit("")).alias(n) for n in names]))
+    filled = F.filter(positions, lambda b: F.concat(*[b[n] for n in names]) != "")
+    raw = parsed.join(blocks, "file").where(~F.array_contains("places", F.col("place"))).select(F.inline(filled))
     text = {n: F.nullif(F.col(n), F.lit("")) for n in ("system", "action", "ticker")}
-    filled = raw.where(F.concat_ws("", *names) != "").select("date", *[text.get(n, F.col(n)).alias(n) for n in names])
+    raw = raw.select("date", *[text.get(n, F.col(n)).alias(n) for n in names])
     defaults = {"action": F.lit(_DEFAULT_ACTION), "entry_price": F.lit(0.0), "qty": F.lit(0),
                 "closing_price": F.lit(0.0), "pl": F.lit(0).cast(schemas.MONEY)}
-    typed = {f.name: _typed(F.col(f.name), f.dataType) for f in schemas.OPEN_PL if f.name != "date"}
-    return filled.select("date", *[(F.coalesce(c, defaults[n]) if n in defaults else c).alias(n)
-                                   for n, c in typed.items()])
+    typed = {f.name: _typed(F.col(f.name), f.dataType, on_bad) for f in schemas.OPEN_PL if f.name != "date"}
+    return raw.select("date", *[(F.coalesce(c, defaults[n]) if n in defaults else c).alias(n)
+                                for n, c in typed.items()])
