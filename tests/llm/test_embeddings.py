@@ -68,6 +68,25 @@ def test_chunks_meet_pairwise(spark, monkeypatch):
     check(spark, clustered(2))
 
 
+def test_groups_of_a_hot_label_are_bounded(spark, monkeypatch):
+    """One label whose cells hold nearly all of it: no group has more than two chunks, and small labels are not cut."""
+    def limited(similarity, blocks, compare=E._compare):
+        own = compare(similarity, blocks)
+
+        def limit(key, rows):
+            assert rows.num_rows <= 2 * 50 * 1.5, rows.num_rows  # classes are dealt to chunks by hash
+            assert key[0].as_py() == 1 or key[5].as_py() == 0
+            return own(key, rows)
+
+        return limit
+
+    monkeypatch.setattr(E, "CHUNK", 50)
+    monkeypatch.setattr(E, "_compare", limited)
+    monkeypatch.setattr(E, "_PARTNERS", 16)
+    rows = [(i, v, 1) for i, v, _ in clustered(3, groups=4, each=100)]
+    check(spark, rows + [(i + 10_000, v, 2) for i, v, _ in rows[:40]])
+
+
 def test_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     v = [0.6, 0.8, 0.0]

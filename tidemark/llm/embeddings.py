@@ -10,8 +10,10 @@ budget and in the home cell of its smaller class, so the union needs no removal
 by its full cosine.
 
 Pairs are never written out: a cell gives each vector's number of partners and a spanning forest of its
-links. Equal vectors of a label are one class from the start. Cells of many vectors are cut into chunks
-that meet pairwise, so no task holds more than two chunks.
+links. Equal vectors of a label are one class from the start. A label of many classes is cut into chunks by
+ranges of its classes' hashes, and the chunks of a cell meet pairwise: a group is a cell with the chunk of the
+smaller class and the chunk of its partner, so it holds at most two chunks of about ``CHUNK`` classes, however
+large the label or the cell is.
 
 Defined results: rows link only if their labels are equal and not null. Vectors that are null, zero or
 hold null or non-finite components link with nothing, nor do rows without vec_id; vectors of different
@@ -22,6 +24,7 @@ other vectors. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import arrow_type, connected_components, map_arrow, spool
 
-#: Subspaces, and classes of a label and cell that one task compares with one another.
+#: Subspaces, and classes in a chunk of a label; a group compares two chunks with one another.
 BLOCKS, CHUNK = 4, 20_000
-_TILE = 512
+#: Rows and columns of the distances that a group has in memory at a time.
+_TILE, _PARTNERS = 512, 4096
 _SLACK = 1e-9
 
 
@@ -50,8 +54,8 @@ def budgets(dims: int, blocks: int, similarity: float) -> np.ndarray:
     return (2 - 2 * similarity) * np.diff(block_edges(dims, blocks)) / dims
 
 
-def _visits(similarity: float, blocks: int, chunks: int, shape: pa.Schema):
-    """Each class at its home cell, its neighbouring cell, and the chunks it has to meet."""
+def _visits(similarity: float, blocks: int, shape: pa.Schema):
+    """Each class at its home cell, its neighbouring cell, and the pairs of chunks it belongs to."""
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,23 +69,26 @@ def _visits(similarity: float, blocks: int, chunks: int, shape: pa.Schema):
                     x = np.array([vectors[i] for i in rows])
                     x /= np.abs(x).max(axis=1, keepdims=True)  # keeps the norm of huge or tiny vectors finite
                     x = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ rotation(dims)
-                    yield from _cells(x, [part.take(pa.array(rows)).column(c) for c in ("cls", "label", "copies")], dims)
+                    yield from _cells(x, [part.take(pa.array(rows)).column(c) for c in ("cls", "label", "copies", "chunks")], dims)
 
     def _cells(x, columns, dims):
-        cls, label, copies = (c.to_numpy(zero_copy_only=False) for c in columns)
+        cls, label, copies, chunks = (c.to_numpy(zero_copy_only=False) for c in columns)
         edges, radius = block_edges(dims, blocks), np.sqrt(budgets(dims, blocks, similarity)) * (1 + 1e-6) + 1e-9
-        packed = [r.tobytes() for r in x]
+        packed = pa.array([r.tobytes() for r in x], pa.binary())
+        # ranges of the hash, in the order of the classes: the chunk of a smaller class is never the later one
+        own = ((cls.view(np.uint64) + np.uint64(1 << 63) >> np.uint64(32)) * chunks.astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         for b, first in enumerate(edges[:-1]):
             place = x[:, first] / (2 * radius[b])
             cell = np.floor(place).astype(np.int64)
             aside = cell + np.where(place - cell < 0.5, -1, 1)
-            own = cls.view(np.uint64) % np.uint64(chunks)
-            for c in range(chunks):
-                for to, home in ((cell, own == c), (aside, np.zeros(len(x), bool))):
+            for c in range(chunks.max()):
+                # at home it meets the chunks from its own on as the smaller class, and those before as the partner; aside it is the partner only
+                for to, rows in ((cell, np.flatnonzero(c < chunks)), (aside, np.flatnonzero(c <= own))):
+                    home = (own[rows] <= c) if to is cell else np.zeros(len(rows), bool)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.asarray(label, np.int64)), pa.array(np.full(len(x), dims, np.int32)), pa.array(np.full(len(x), b, np.int32)),
-                        pa.array(to), pa.array(np.full(len(x), c, np.int32)), pa.array(home), pa.array(cls), pa.array(copies),
-                        pa.array(packed, pa.binary())], schema=shape)
+                        pa.array(label[rows], pa.int64()), pa.array(np.full(len(rows), dims, np.int32)), pa.array(np.full(len(rows), b, np.int32)),
+                        pa.array(to[rows]), pa.array(np.minimum(own[rows], c), pa.int32()), pa.array(np.maximum(own[rows], c), pa.int32()),
+                        pa.array(home), pa.array(cls[rows]), pa.array(copies[rows]), packed.take(pa.array(rows))], schema=shape)
 
     return visit
 
@@ -93,7 +100,10 @@ def _compare(similarity: float, blocks: int):
         dims, block = key[1].as_py(), key[2].as_py()
         edges, budget = block_edges(dims, blocks), budgets(dims, blocks, similarity)
         cls, copies = rows.column("cls").to_numpy(), rows.column("copies").to_numpy()
-        home = np.flatnonzero(rows.column("home").to_numpy(zero_copy_only=False))
+        home = rows.column("home").to_numpy(zero_copy_only=False)
+        # inside one chunk all are partners, else only the rows of the later chunk
+        partners = np.arange(len(cls)) if key[4].as_py() == key[5].as_py() else np.flatnonzero(~home)
+        home = np.flatnonzero(home)
         x = np.frombuffer(b"".join(rows.column("vector").to_pylist()), float).reshape(-1, dims)
         part = x[:, edges[block]:edges[block + 1]]
         square = (part * part).sum(axis=1)
@@ -104,12 +114,12 @@ def _compare(similarity: float, blocks: int):
                 root[i] = i = root[root[i]]
             return i
 
-        for at in range(0, len(home), _TILE):
-            mine = home[at:at + _TILE]
-            near = square[mine][:, None] + square[None] - 2 * part[mine] @ part.T <= budget[block] + 1e-6
-            near &= cls[mine][:, None] < cls[None]
+        for at, to in product(range(0, len(home), _TILE), range(0, len(partners), _PARTNERS)):
+            mine, other = home[at:at + _TILE], partners[to:to + _PARTNERS]
+            near = square[mine][:, None] + square[other][None] - 2 * part[mine] @ part[other].T <= budget[block] + 1e-6
+            near &= cls[mine][:, None] < cls[other][None]
             i, j = np.nonzero(near)
-            i = mine[i]
+            i, j = mine[i], other[j]
             for s in range(0, len(i), 100_000):
                 a, b = i[s:s + 100_000], j[s:s + 100_000]
                 apart = x[a] - x[b]
@@ -140,11 +150,11 @@ def near_duplicate_vectors(vectors: DataFrame, similarity: float = 0.93, blocks:
     found = rows.where("cls is not null")
     classes = spool(found.groupBy("cls").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("label").alias("label"),
                                              F.min_by("embedding", "vec_id").alias("embedding")), "vector-classes")
-    largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    chunks = 1 + largest // CHUNK
-    shape = "label long, dims int, block int, cell long, chunk int, home boolean, cls long, copies long, vector binary"
-    cells = map_arrow(classes.select("cls", "label", "copies", "embedding"), _visits(similarity, blocks, chunks, arrow_type(shape)), shape)
-    linked = spool(cells.groupBy("label", "dims", "block", "cell", "chunk")
+    chunks = classes.groupBy("label").agg((1 + F.floor(F.count("*") / F.lit(CHUNK))).alias("chunks"))
+    shape = "label long, dims int, block int, cell long, chunk int, partner int, home boolean, cls long, copies long, vector binary"
+    cells = map_arrow(classes.join(chunks, "label").select("cls", "label", "copies", "embedding", "chunks"),
+                      _visits(similarity, blocks, arrow_type(shape)), shape)
+    linked = spool(cells.groupBy("label", "dims", "block", "cell", "chunk", "partner")
                    .applyInArrow(_compare(similarity, blocks), "cls long, links long, root long"), "vector-links")
     comps = connected_components(linked.where("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")), "vector-components")
     total = classes.select("cls", "first", "copies").join(linked.groupBy("cls").agg(F.sum("links").alias("links")), "cls", "left")
