@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from llm_helpers import awkward, frame, prose
 from tidemark.llm.quality import ByteNet, chunks_of, fit_quality, recurs, score_quality
-from tidemark.llm.toxicity import BlockMaxIndex, ToxicityModel, fit_toxicity, score_toxicity
+from tidemark.llm import toxicity
+from tidemark.llm.toxicity import BlockMaxIndex, ToxicityModel, _sample, fit_toxicity, score_toxicity
 
 SF = "/root/testdata/sf0.1"
 has_data = pytest.mark.skipif(not os.path.isdir(SF), reason="driver data not present")
@@ -50,6 +51,29 @@ def test_toxicity_of_awkward_rows(spark):
     assert got[1]._s == got[2]._s == got[4]._s < 0.3 and got[1]._c == 0 and got[1]._e == []
 
 
+def test_toxicity_of_words_with_digits(spark):
+    """Texts that differ in digits only are no copies of one another."""
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 40) + (" vilewords nastythings" if i % 4 == 0 else ""), "en", "a") for i in range(100, 300)]
+    docs = frame(spark, rows + awkward(rng) + [(900, "calm VILEWORDSX text", "en", "a")])
+    labels = labelled(spark, [(i, int(i % 4 == 0)) for i in range(100, 280)] + [(None, 1), (5, None)])
+    assert _sample(docs, labels, 1000).count() == 180
+    got = {r.doc_id: r for r in score_toxicity(docs, fit_toxicity(docs, labels), ("_s", "_c", "_e")).where("doc_id is not null").collect()}
+    assert all((got[i]._s >= 0.3) == (i % 4 == 0) for i in range(100, 300))
+    assert got[900]._s >= 0.3 and set(got[900]._e) <= set(range(100, 280, 4))  # an unseen ending
+
+
+def test_only_copies_leave_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "_sketch", lambda text: 0)  # all share a sketch
+    rng = random.Random(5)
+    base = prose(rng, 60).split()
+    texts = [" ".join(base), " ".join(base), " ".join(base[:59] + ["end"]), " ".join(base[:30] + ["cut"] + base[31:]), *(prose(rng, 60) for _ in range(20)),
+             "1 2", "3 4", None, None]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    kept = [r.doc_id for r in _sample(docs, labelled(spark, [(i, 0) for i in range(len(texts))]), 1000).collect()]
+    assert sorted(kept) == [0, *range(4, 27)]
+
+
 @pytest.mark.parametrize("labels, want", [([], 0.5), ([(8, 1), (9, 1)], 1.0), ([(8, 0)], 0.0)])
 def test_without_labels_of_both_kinds(spark, labels, want):
     docs = frame(spark, awkward(random.Random(4)))

@@ -31,6 +31,8 @@ MIN_EXAMPLES, CHANCE_TERMS, LEAST_LIFT = 4, 0.5, 2.0
 NEIGHBOURS, BLOCK, STEMS = 15, 256, (4, 7)
 #: Weight of a word that is not a known term.
 OTHER_WORD = 0.02
+#: Examples of a label whose shingles of so many words have this Jaccard similarity are copies.
+SHINGLE, COPY = 5, 0.75
 _WORD = re.compile(r"[^\W\d_]+")
 _FLUSH = 300_000
 
@@ -132,7 +134,7 @@ class ToxicityModel:
 
 
 def _sketch(text: str | None) -> int:
-    """Three smallest word hashes in one number: near copies mostly share it, other texts do not."""
+    """Three smallest word hashes in one number: near copies mostly share it, and so may others."""
     low = [2**32] * 3
     for word in set(words_of(text)):
         data = word.encode()
@@ -141,14 +143,29 @@ def _sketch(text: str | None) -> int:
     return zlib.crc32(repr(low).encode()) | zlib.crc32(repr(low[::-1]).encode()) << 31
 
 
+def _shingles(text: str | None) -> set[tuple[str, ...]]:
+    tokens = (text or "").split()
+    return {tuple(tokens[i:i + SHINGLE]) for i in range(max(1, len(tokens) - SHINGLE + 1))}
+
+
+def copies(one: str | None, other: str | None) -> bool:
+    """Whether two texts are equal or near copies by their shingles."""
+    if one == other:
+        return True
+    a, b = _shingles(one), _shingles(other)
+    return len(a & b) >= COPY * len(a | b)
+
+
 def _sample(docs: DataFrame, labelled: DataFrame, max_examples: int) -> DataFrame:
     """Texts of a bounded sample of labelled documents, chosen by hash; copies that fell into it count once.
 
-    Else each word of a text with many copies would seem to go with its label.
+    Else each word of a text with many copies would seem to go with its label. Equal texts of a label are one;
+    a text that shares its sketch with the first of its label is left out only if their shingles say so too.
     """
     ids = (labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples))
     drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")  # max_examples rows
+    drawn = drawn.groupBy("text", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "label")
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +173,17 @@ def _sample(docs: DataFrame, labelled: DataFrame, max_examples: int) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "sketch"])
 
     drawn = spool(map_arrow(drawn, sketches, T.StructType([*drawn.schema, T.StructField("sketch", T.LongType())])), "examples")
-    first = drawn.groupBy("sketch", "label").agg(F.min("doc_id").alias("doc_id"))
-    return drawn.join(F.broadcast(first), ["sketch", "label", "doc_id"], "left_semi").select("doc_id", "text", "label")  # max_examples rows
+    first = drawn.groupBy("sketch", "label").agg(F.min(F.struct("doc_id", "text")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    pairs = drawn.join(first.select("sketch", "label", F.col("first.doc_id").alias("first"), F.col("first.text").alias("like")),
+                       ["sketch", "label"], "left").select("doc_id", "text", "label", "first", "like")
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, text, first, like = (batch.column(c).to_pylist() for c in ("doc_id", "text", "first", "like"))
+            own = [f is None or (d, t) == (f, o) or not copies(t, o) for d, t, f, o in zip(doc, text, first, like)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], batch.schema.names[:3]).filter(pa.array(own, pa.bool_()))
+
+    return spool(map_arrow(pairs, verified, T.StructType(drawn.schema.fields[:3])), "distinct-examples")
 
 
 def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS,
