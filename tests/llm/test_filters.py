@@ -63,6 +63,42 @@ def test_toxicity_of_words_with_digits(spark):
     assert got[900]._s >= 0.3 and set(got[900]._e) <= set(range(100, 280, 4))  # an unseen ending
 
 
+def test_every_text_is_searched_by_all_its_words(spark):
+    """Toxic examples in rare words, which no test of terms could keep, are found by themselves and by a copy."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    common = [word() for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(common, k=40)), "en", "a") for i in range(100, 200)]
+    rows += [(i, " ".join(word() for _ in range(40)), "en", "a") for i in range(200, 210)]
+    docs = frame(spark, rows + [(i + 800, t, *more) for i, t, *more in rows] + [(5000, "unheard", "en", "a")])
+    model = fit_toxicity(docs, labelled(spark, [(i, int(i >= 200)) for i in range(100, 210)]))
+    assert not model.telling
+    got = {r.doc_id: r for r in score_toxicity(docs, model, ("_s", "_c", "_e")).collect()}
+    for i in range(100, 210):
+        for own in (got[i], got[i + 800]):
+            assert own._e[0] == i and own._c == pytest.approx(1) and (own._s >= 0.3) == (i >= 200)
+    assert got[5000]._c == 0 and got[5000]._e == []
+
+
+def test_search_is_exact_with_rare_and_frequent_terms():
+    rng = np.random.default_rng(2)
+    def some():
+        terms = np.unique(np.minimum(rng.zipf(1.3, 40), 500) - 1)
+        w = rng.random(len(terms))
+        return terms, w / np.linalg.norm(w)
+
+    vectors = [some() for _ in range(300)]
+    dense = np.zeros((300, 500))
+    for i, (t, w) in enumerate(vectors):
+        dense[i, t] = w
+    index = BlockMaxIndex(vectors, 500, block=16)
+    texts = vectors[:30] + [some() for _ in range(30)]
+    assert 0 < len(index.dense) < 500
+    for (t, w), got in zip(texts, index.tops(texts, 5)):
+        cosine = dense[:, t] @ w
+        assert [i for _, i in got] == list(np.lexsort((np.arange(300), -cosine.round(12)))[:5])
+
+
 def test_only_copies_leave_the_sample(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "_sketch", lambda text: 0)  # all share a sketch
     rng = random.Random(5)

@@ -1,10 +1,11 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The vector of a text has its known terms and one more that stands for all its other words, with a small
-fixed weight each: the cosine then tells a text that is full of known terms from one that meets one by chance.
+The vector of a text has all its words that occur in an example, by TF-IDF, and every text is searched.
+Words and stems that tell toxic examples (by a likelihood ratio) have a component more of up to ``BOOST`` times
+their TF-IDF: by plain TF-IDF a few toxic words would be lost among the many others of a text.
 
-Defined results: null and empty texts, and texts without a known term, get the rate of toxic examples
-among examples without a known term. Without labels of both kinds every score is the share of toxic
+Defined results: texts without a word of an example have cosine 0 with all; they get the rate of toxic examples
+among examples without a word. Without labels of both kinds every score is the share of toxic
 labels, 0.5 without any. Examples with equal vectors count as one neighbour with the votes of all;
 equal cosines go to the smaller example number. Repeated rows get equal scores. Other columns are kept.
 """
@@ -15,7 +16,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +24,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tidemark.llm.common import arrow_type, map_arrow, spool
 
-#: Bounds of the fit: labelled rows, and terms kept from them. They bound the index sent to the tasks.
+#: Bounds of the fit: labelled rows, which bound the index sent to the tasks, and terms that are boosted.
 MAX_EXAMPLES, MAX_TERMS = 12_000, 1_024
-#: Terms in at least this many examples are tested against the label by their likelihood ratio; those kept
+#: Terms in at least this many examples are tested against the label by their likelihood ratio; those boosted
 #: would hold this many that have nothing to do with it. They are toxic this many times as often as all.
 MIN_EXAMPLES, CHANCE_TERMS, LEAST_LIFT = 4, 0.5, 2.0
 NEIGHBOURS, BLOCK, STEMS = 15, 256, (4, 7)
-#: Weight of a word that is not a known term.
-OTHER_WORD = 0.02
+#: Weight over that of a word of the term that tells most; others get less by the root of their likelihood ratio.
+BOOST = 5.0
+#: Texts searched at a time; terms in more than one of so many examples are held densely; error allowed in single precision.
+_TOGETHER, _RARE, _SLACK = 64, 16, 1e-5
 #: Examples of a label whose shingles of so many words have this Jaccard similarity are copies.
 SHINGLE, COPY = 5, 0.75
 _WORD = re.compile(r"[^\W\d_]+")
@@ -47,90 +50,151 @@ def terms_of(word: str) -> list[str]:
 
 
 class BlockMaxIndex:
-    """Postings by term, cut into blocks of examples, with the largest weight of each term in each block."""
+    """Exact top examples by postings of rare terms, and blocks of examples by the largest weight of each frequent term.
+
+    Postings give the cosine over the rare terms. A block's bound adds the largest that its frequent terms can,
+    and only blocks whose bound reaches a text's k-th best are looked up for it. The best are weighed again in double precision.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        self.block, self.size = block, len(vectors)
-        blocks = -(-max(self.size, 1) // block)
-        example = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)]).astype(np.int64)
-        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        order = np.lexsort((example, term))
-        self.example, self.weight, term = example[order], weight[order], term[order]
-        cell = term * blocks + self.example // block
-        self.start = np.searchsorted(cell, np.arange(n_terms * blocks + 1)).astype(np.int64)
-        self.max = np.zeros(n_terms * blocks)
-        np.maximum.at(self.max, cell, self.weight)
-        self.max, self.blocks = self.max.reshape(n_terms, blocks), blocks
+        self.block, self.size, self.n_terms = block, len(vectors), n_terms
+        self.term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int32)
+        self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)]).astype(float)
+        self.first = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64)
+        example = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.first))
+        seen = np.bincount(self.term, minlength=n_terms)
+        frequent = np.flatnonzero(seen > max(1, self.size // _RARE))
+        self.place = np.full(n_terms, -1, np.int32)
+        self.place[frequent] = np.arange(len(frequent))
+        often = self.place[self.term] >= 0
+        self.dense = np.zeros((len(frequent), self.size), np.float32)
+        self.dense[self.place[self.term[often]], example[often]] = self.weight[often]
+        blocks = np.arange(0, self.size, block)
+        self.max = np.maximum.reduceat(self.dense, blocks, axis=1) if self.size else np.zeros((len(frequent), 0), np.float32)
+        self.blocks = blocks
+        rare = np.flatnonzero(~often)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        self.example, self.part = example[rare], self.weight[rare].astype(np.float32)
+        self.start = np.concatenate([[0], np.cumsum(np.where(self.place < 0, seen, 0))]).astype(np.int64)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k examples of highest positive cosine, as (-cosine, example) in order."""
-        bound = weights @ self.max[terms]
-        best, at = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-9:
-                break
-            score = np.zeros(self.block)
-            for t, w in zip(terms, weights):
-                s, e = self.start[t * self.blocks + b:t * self.blocks + b + 2]
-                score[self.example[s:e] - b * self.block] += w * self.weight[s:e]
-            hit = np.flatnonzero(score > (best[-1] - 1e-12 if len(best) == k else 0))
-            best, at = np.append(best, score[hit]), np.append(at, hit + b * self.block)
-            order = np.lexsort((at, -best))[:k]
-            best, at = best[order], at[order]
-        return [(-float(c), int(i)) for c, i in zip(best, at)]
+        return self.tops([(terms, weights)], k)[0]
+
+    def tops(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        if not self.size:
+            return [[] for _ in vectors]
+        score = np.zeros((len(vectors), self.size), np.float32)
+        often = np.zeros((len(vectors), len(self.dense)), np.float32)
+        for i, (terms, weights) in enumerate(vectors):
+            at = self.place[terms]
+            often[i, at[at >= 0]] = weights[at >= 0]
+            start, many = self.start[terms], self.start[terms + 1] - self.start[terms]
+            posting = np.arange(many.sum()) + np.repeat(start - np.cumsum(many) + many, many)
+            score[i] = np.bincount(self.example[posting], self.part[posting] * np.repeat(weights, many), self.size)
+        bound = np.maximum.reduceat(score, self.blocks, axis=1) + often @ self.max
+        kth = max(self.size - k, 0)
+        # the blocks of the highest bounds first, which raise the least cosine; then the others that still reach it
+        early = bound >= np.partition(bound, -min(2, bound.shape[1]), axis=1)[:, [-min(2, bound.shape[1])]]
+        self._add(score, often, early)
+        least = np.partition(score, kth, axis=1)[:, kth]  # some are yet without their frequent terms: it can only rise
+        self._add(score, often, ~early & (bound >= least[:, None] - _SLACK))
+        return [self._best(*v, row, k) for v, row in zip(vectors, score)]
+
+    def _add(self, score: np.ndarray, often: np.ndarray, wanted: np.ndarray) -> None:
+        """The frequent terms' part of the wanted blocks."""
+        for b, first in enumerate(self.blocks):
+            rows = np.flatnonzero(wanted[:, b])
+            if len(rows):
+                score[rows, first:first + self.block] += often[rows] @ self.dense[:, first:first + self.block]
+
+    def _best(self, terms: np.ndarray, weights: np.ndarray, score: np.ndarray, k: int) -> list[tuple[float, int]]:
+        kth = max(self.size - k, 0)
+        at = np.flatnonzero((score >= np.partition(score, kth)[kth] - _SLACK) & (score > 0))
+        if not len(at):
+            return []
+        many = self.first[at + 1] - self.first[at]
+        own = np.arange(many.sum()) + np.repeat(self.first[at] - np.cumsum(many) + many, many)
+        asked = np.zeros(self.n_terms)
+        asked[terms] = weights
+        cosine = np.bincount(np.repeat(np.arange(len(at)), many), asked[self.term[own]] * self.weight[own], len(at))
+        order = np.lexsort((at, -cosine))[:k]
+        return [(-float(min(cosine[i], 1.0)), int(at[i])) for i in order]
+
+
+class _Examples:
+    """Rows of an Arrow table as (doc_id, label, count of each word), made one at a time to spare the driver's memory."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return self.rows.num_rows
+
+    def __iter__(self) -> Iterator[tuple[int, int, dict[str, int]]]:
+        for doc, label, words, counts in zip(*self.rows.columns):
+            yield doc.as_py(), label.as_py(), dict(zip(words.as_py(), counts.as_py()))
 
 
 class ToxicityModel:
-    """Terms with their inverse document frequency, the index of examples and their votes."""
-
-    def __init__(self, terms: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, list, list, int]], prior: float,
-                 neighbours: int = NEIGHBOURS, other_word: float = OTHER_WORD):
-        """examples: (doc_id, label, term numbers, counts, number of other words)."""
-        self.terms, self.idf, self.k, self.other_word = terms, idf, neighbours, other_word
+    """Words with their inverse document frequency, telling terms, the index of examples and their votes."""
+
+    def __init__(self, telling: dict[str, float], examples: Collection[tuple[int, int, dict[str, int]]], prior: float, neighbours: int = NEIGHBOURS):
+        """telling: weights of words and stems over ``BOOST``; examples: (doc_id, label, count of each word)."""
+        self.k = neighbours
+        seen = Counter(w for _, _, words in examples for w in words)
+        self.terms = {w: i for i, w in enumerate(sorted(seen))}
+        self.telling = {t: len(self.terms) + i for i, t in enumerate(telling)}
+        self.idf = np.array([math.log((1 + len(examples)) / (1 + seen[w])) + 1e-6 for w in self.terms] + [BOOST * v for v in telling.values()])
+        self._starts = {t.rstrip("*")[:4] for t in telling}
         groups: dict[tuple, list] = {}
-        for doc, label, ids, counts, other in examples:
-            g = groups.setdefault((tuple(ids), tuple(counts), other if ids else 0), [doc, 0, 0])
+        for doc, label, words in examples:
+            ids, counts = self.features(words)
+            g = groups.setdefault((ids.tobytes(), counts.tobytes()), [doc, 0, 0])
             g[0], g[1], g[2] = min(g[0], doc), g[1] + label, g[2] + 1
-        _, pos, n = groups.pop(((), (), 0), [0, 0, 0])
+        _, pos, n = groups.pop((b"", b""), [0, 0, 0])
         self.none = (pos + prior) / (n + 1)
-        vectors = [(self.vector(key), g) for key, g in groups.items()]
-        # examples led by the same term share blocks, so that most blocks are ruled out by their bound
-        vectors.sort(key=lambda x: (int(x[0][0][np.argmax(x[0][1][:-1])]), x[0][0].tolist(), x[0][1].tolist()))
+        vectors = [(self.vector(np.frombuffer(i, np.int64), np.frombuffer(c, np.int64)), g) for (i, c), g in groups.items()]
+        # examples led by the same term share blocks, so that more blocks are ruled out by their bound
+        vectors.sort(key=lambda x: (int(x[0][0][np.argmax(x[0][1])]), x[1][0]))
         self.doc = np.array([g[0] for _, g in vectors], np.int64)
         self.pos = np.array([g[1] for _, g in vectors], float)
         self.n = np.array([g[2] for _, g in vectors], float)
-        self.index = BlockMaxIndex([v for v, _ in vectors], len(terms) + 1)
-        self._starts = {t.rstrip("*")[:4] for t in terms}
-
-    def vector(self, key: tuple[tuple, tuple, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and weights of the known terms, the other words last, at length one."""
-        terms, counts, other = key
-        w = np.append(np.array(counts, float) * self.idf[list(terms)], self.other_word * other)
-        return np.append(np.array(terms, np.int64), len(self.terms)), w / math.sqrt(float(w @ w))
-
-    def features(self, text: str | None) -> tuple[tuple, tuple, int]:
-        """Numbers and counts of the known terms in a whole text, and how many other words it has."""
-        words = words_of(text)
+        self.index = BlockMaxIndex([v for v, _ in vectors], len(self.idf))
+
+    def features(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of the terms of a text, in order."""
         found: Counter = Counter()
-        known = 0
-        for word in words:
+        for word, n in words.items():
+            if (at := self.terms.get(word)) is not None:
+                found[at] += n
             if word[:4] in self._starts:
-                ids = [self.terms[t] for t in terms_of(word) if t in self.terms]
-                known += bool(ids)
-                found.update(ids)
-        ids = sorted(found)
-        return tuple(ids), tuple(found[i] for i in ids), len(words) - known
-
-    def judge(self, key: tuple[tuple, tuple, int]) -> tuple[float, float, list[int]]:
-        """Score, best cosine, and the examples that speak for it."""
-        if not key[0]:
-            return self.none, 0.0, []
-        best = self.index.top(*self.vector(key), self.k)
-        at = np.array([i for _, i in best], np.int64)
-        vote = np.array([1 / (1.02 + c) for c, _ in best])  # by distance: the cosine is -c
-        score = (float(vote @ self.pos[at]) + self.none) / (float(vote @ self.n[at]) + 1)
-        return score, -best[0][0] if best else 0.0, self.doc[at[:3]].tolist()
+                for term in terms_of(word):
+                    if (at := self.telling.get(term)) is not None:
+                        found[at] += n
+        ids, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+        order = np.argsort(ids)
+        return ids[order], counts[order]
+
+    def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the terms, at length one."""
+        w = counts * self.idf[ids]
+        return ids, w / math.sqrt(float(w @ w))
+
+    def judge(self, texts: list[str | None]) -> Iterator[tuple[float, float, list[int]]]:
+        """Score, best cosine, and the examples that speak for it, for each text."""
+        for at in range(0, len(texts), _TOGETHER):
+            found = [self.features(Counter(words_of(t))) for t in texts[at:at + _TOGETHER]]
+            tops = iter(self.index.tops([self.vector(*f) for f in found if len(f[0])], self.k))
+            for f in found:
+                best = next(tops) if len(f[0]) else []
+                if not best:
+                    yield self.none, 0.0, []
+                    continue
+                at_ = np.array([i for _, i in best], np.int64)
+                vote = np.array([1 / (1.02 + c) - 1 / 1.02 for c, _ in best])  # by distance, none at cosine 0: the cosine is -c
+                score = (float(vote @ self.pos[at_]) + self.none) / (float(vote @ self.n[at_]) + 1)
+                yield score, -best[0][0], self.doc[at_[:3]].tolist()
 
 
 def _sketch(text: str | None) -> int:
@@ -194,7 +258,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_E
     pos = pos or 0
     prior = pos / n if n else 0.5
     if not 0 < pos < n:
-        return ToxicityModel({}, np.zeros(1), [], prior, neighbours)
+        return ToxicityModel({}, [], prior, neighbours)
     counted = map_arrow(sample, _term_counts, "term string, pos long, n long").groupBy("term").agg(
         F.sum("pos").alias("pos"), F.sum("n").alias("n")).where(F.col("n") >= MIN_EXAMPLES)
     counted = spool(counted, "terms")
@@ -209,21 +273,21 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_E
                  + part(pos - toxic, (n - with_) * prior) + part((n - pos) - (with_ - toxic), (n - with_) * (1 - prior)))
     kept = (counted.withColumn("ratio", ratio).where((F.col("ratio") >= 2 * math.log(max(tested, 1) / CHANCE_TERMS)) & (toxic >= LEAST_LIFT * prior * with_))
             .orderBy(F.desc("ratio"), "term").limit(max_terms).collect())
-    terms = {r["term"]: i for i, r in enumerate(kept)}
-    idf = np.array([math.log((1 + n) / (1 + r["n"])) + 1e-6 for r in kept] or [0.0])
-    model = ToxicityModel(terms, idf, [], prior, neighbours)
+    # a term that may tell by chance only gets less than the one that tells most
+    telling = {r["term"]: (math.log((1 + n) / (1 + r["n"])) + 1e-6) * math.sqrt(r["ratio"] / kept[0]["ratio"]) for r in kept}
 
-    shape = "doc_id long, label int, terms array<int>, counts array<int>, other long"
+    shape = "doc_id long, label int, words array<string>, counts array<int>"
     out = arrow_type(shape)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [model.features(t) for t in batch.column("text").to_pylist()]
+            found = [Counter(words_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()),
-                                              *(pa.array([k[i] for k in keys], out.field(i + 2).type) for i in (0, 1, 2))], schema=out)
+                                              pa.array([list(f) for f in found], out.field(2).type),
+                                              pa.array([list(f.values()) for f in found], out.field(3).type)], schema=out)
 
-    rows = map_arrow(sample, vectors, shape).collect()
-    return ToxicityModel(terms, idf, sorted((r[0], r[1], list(r[2]), list(r[3]), r[4]) for r in rows), prior, neighbours)
+    rows = map_arrow(sample, words, shape).toArrow()  # max_examples rows
+    return ToxicityModel(telling, _Examples(rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])), prior, neighbours)
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +322,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, into: tuple[str, str,
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            found = [model.judge(model.features(t)) for t in batch.column("text").to_pylist()]
+            found = list(model.judge(batch.column("text").to_pylist()))
             extra = [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()),
                      pa.array([f[2] for f in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names)
