@@ -1,0 +1,178 @@
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from llm_helpers import awkward, frame
+from tidemark.llm import pii
+from tidemark.llm.pii import KINDS, base_spans, decode, fit_field, fit_weights, personal_data, segments_of, token_places
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+            "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    total = 0
+    for place, d in enumerate(reversed(digits)):
+        d = int(d) * (1 + place % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def plain(text):
+    """The patterns as they are written, each over the whole text."""
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "email" or (kind == "ip" and all(int(p[-4000:]) <= 255 for p in m.group().split("."))) \
+                    or (kind == "card" and 12 <= len(digits) <= 19 and luhn(digits)) or (kind == "phone" and 9 <= len(digits) <= 15):
+                out.append((kind, *m.span()))
+    return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.sampled_from(["1", "0", "25", "4111 1111 1111 1111", "5500005555555559", "+1 (361) 555-8283", "10.0.0.1", "@", ".", "-", " ", "+", "(", ")", "a", "é",
+                                 "x.y@z.com", "%", "\n", "256", "..", "@b.c"]), max_size=14).map("".join))
+def test_base_spans_are_those_of_the_patterns(text):
+    assert base_spans(text)[0] == plain(text)
+
+
+def card(rng, n=16):
+    body = str(rng.randrange(1, 10)) + "".join(str(rng.randrange(10)) for _ in range(n - 2))
+    return next(body + str(d) for d in range(10) if luhn(body + str(d)))
+
+
+def phone(rng):
+    return f"+1 ({rng.randrange(1000):03}) 555-{rng.randrange(10000):04}"
+
+
+def corpus(rng, n=400):
+    word = lambda: rng.choice(["the", "of", "Ein", "été", "que.", "x9", "a, b", "no", "on"] * 3 + ["12th", "3,5", "of 2019"])
+    make = [lambda: card(rng), lambda: phone(rng), lambda: f"{word()}.{rng.randrange(100)}@mail{rng.randrange(9)}.example.com".replace(",", ""),
+            lambda: ".".join(str(rng.randrange(256)) for _ in range(4)), lambda: str(rng.randrange(10 ** 15, 10 ** 16)), word]
+    return [" ".join(rng.choice(make)() if rng.random() < 0.15 else word() for _ in range(40)) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    return fit_field(frame(spark, [(i, t, "en", "a") for i, t in enumerate(corpus(random.Random(1)))]))
+
+
+def test_the_field_separates_what_the_patterns_run_together(weights):
+    rng, found, wrong = random.Random(2), 0, 0
+    finder = pii.Finder(weights)
+    for _ in range(200):
+        kinds = rng.choice([("card", "card"), ("phone", "card"), ("phone", "ip"), ("card", "card", "card")])
+        things = [{"card": card(rng), "phone": phone(rng), "ip": "10.20.30." + str(rng.randrange(1, 256))}[k] for k in kinds]
+        text = "so " + " ".join(things) + " it"
+        at, planted = 3, []
+        for kind, thing in zip(kinds, things):
+            planted.append((kind, at, at + len(thing)))
+            at += len(thing) + 1
+        base, added = finder.find(text)
+        assert base == plain(text) and not {s for s in added if any(s[1] < b and a < s[2] for _, a, b in base)}
+        found += len(set(planted) & set(base + added))
+        wrong += len(set(base + added) - set(planted))
+    assert found >= 0.97 * 440 and wrong <= 10
+
+
+def test_clean_numbers_are_left_alone(weights):
+    rng, finder = random.Random(3), pii.Finder(weights)
+    for _ in range(300):
+        number = "".join(str(rng.randrange(10)) for _ in range(16))
+        for text in (f"no {rng.randrange(10 ** 8)} of 2019-04-01 10:20:30 at 3.14", f"x {number} y", f"{rng.randrange(1000, 10 ** 5)} 300.1.2.3 a@b"):
+            assert finder.find(text)[1] == [] and finder.find(text)[0] == plain(text)
+
+
+def segmentations(n, segments):
+    by_start = {}
+    for s, (i, j, *_) in enumerate(segments):
+        by_start.setdefault(i, []).append((s, j))
+
+    def walk(at):
+        if at == n:
+            yield ()
+        for s, j in by_start.get(at, []):
+            for rest in walk(j):
+                yield (s, *rest)
+
+    return list(walk(0))
+
+
+def score_of(path, segments, weights):
+    total, before = 0.0, 4
+    for s in path:
+        *_, kind, features = segments[s]
+        total += sum(weights.get(f, 0.0) for f in features) + weights.get(f"then {before} {kind % 5}", 0.0)
+        before = kind % 5
+    return total
+
+
+@pytest.mark.parametrize("text", ["a@b.co 1", "+1 (361) 555-8283", "4111111111111111 10.0.0.1", "x"])
+def test_the_dynamic_program_finds_the_best_segmentation(text):
+    rng = np.random.default_rng(len(text))
+    places = token_places(text, 0, len(text))
+    segments = list(segments_of(text, places))
+    names = {f for *_, features in segments for f in features} | {f"then {a} {b}" for a, b in itertools.product(range(5), repeat=2)}
+    for _ in range(20):
+        weights = {f: float(rng.normal()) for f in sorted(names)}
+        paths = segmentations(len(places) - 1, segments)
+        best = max(score_of(p, segments, weights) for p in paths)
+        spans = decode(len(places) - 1, segments, weights)
+        mine = next(p for p in paths if [segments[s][:3] for s in p if segments[s][2] >= 0] == spans and abs(score_of(p, segments, weights) - best) < 1e-9)
+        assert mine is not None
+
+
+def test_chances_are_those_of_all_segmentations():
+    text = "+1 (361) 555-8283 4111111111111111"
+    places = token_places(text, 0, len(text))
+    segments = list(segments_of(text, places))
+    rng = np.random.default_rng(0)
+    names = {f for *_, features in segments for f in features}
+    weights = {f: float(rng.normal()) for f in sorted(names)} | {f"then {a} {b}": float(rng.normal()) for a in range(5) for b in range(5)}
+    score = np.array([sum(weights[f] for f in features) for *_, features in segments])
+    total, chance, steps = pii._expected(len(places) - 1, [(i, j, k % 5) for i, j, k, _ in segments], score, pii._transitions(weights))
+    paths = segmentations(len(places) - 1, segments)
+    odds = np.exp([score_of(p, segments, weights) for p in paths])
+    assert total == pytest.approx(np.log(odds.sum()))
+    for s in range(len(segments)):
+        assert chance[s] == pytest.approx(sum(o for p, o in zip(paths, odds) if s in p) / odds.sum())
+    assert steps.sum() == pytest.approx(sum(len(p) * o for p, o in zip(paths, odds)) / odds.sum())
+
+
+def test_learning_raises_the_chance_of_the_right_segmentation():
+    text = "4111111111111111 5500005555555559"
+    example = pii._example("x 4111111111111111, y", 1, 19)
+    assert example is not None and pii._example(text, 0, len(text)) is None
+    weights = fit_weights([(*example, 5)])
+    places = token_places(text, 0, len(text))
+    assert [k for *_, k in decode(len(places) - 1, list(segments_of(text, places)), weights)] == [2, 2]
+
+
+def test_awkward_rows(spark, weights):
+    rng = random.Random(7)
+    more = ["4111 1111 1111 1111" * 200, "1." * 3000, "@" * 2000, "a@" * 2000 + "b.c", "+" * 3000 + "1", "0" * 9000, "0" * 5000 + "1.2.3.4 " + "7" * 5000 + ".1.1.1", "1 " * 4000,
+            "é +1 (361) 555-8283 🙂 x@y.zz", "9" * 19 + "-" + "1.2.3.4"]
+    rows = awkward(rng) + [(50 + i, t, None, None) for i, t in enumerate(more)]
+    got = sorted(personal_data(frame(spark, rows), weights).collect(), key=str)
+    want = []
+    for i, text, *_ in rows:
+        base = plain(text or "")
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        want.append((i, [sum(s[0] == k for s in base) for k in KINDS], hashlib.sha256(joined.encode()).hexdigest(), set(joined.split(",")) - {""}))
+    assert len(got) == len(want)
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    mine = sorted(((r.doc_id, [r.n_email, r.n_ip, r.n_card, r.n_phone], r.base_sha256, set(r.spans.split(",")) - {""}, r.n_added) for r in got), key=key)
+    for g, w in zip(mine, sorted(want, key=key)):
+        assert g[:3] == w[:3] and w[3] <= g[3] and len(g[3]) == len(w[3]) + g[4]
+
+
+def test_empty_table(spark):
+    none = frame(spark, [])
+    assert fit_field(none) is None and personal_data(none, None).collect() == []
+    assert personal_data(frame(spark, [(1, "a@b.cc", None, None)]), None).first().spans == "email:0:6"

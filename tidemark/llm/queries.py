@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.llm.common import fresh_path, table
 from tidemark.llm.embeddings import near_duplicate_vectors
 from tidemark.llm.fingerprint import fingerprints
+from tidemark.llm.importance import importance_resample
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.mixing import mix
+from tidemark.llm.negatives import hard_negatives
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import fit_field, personal_data
 from tidemark.llm.quality import fit_quality, score_quality
 from tidemark.llm.token_counts import token_counts
 from tidemark.llm.toxicity import fit_toxicity, score_toxicity
@@ -84,7 +87,43 @@ def op10_quality(spark, sf):
     return _predicted(score_quality(docs.select("doc_id", "text"), net), fold(5) == 0)
 
 
+def op11_pii(spark, sf):
+    docs = table(spark, sf, "documents")
+    return personal_data(docs, fit_field(docs))
+
+
+def op12_importance_resampling(spark, sf):
+    drawn = importance_resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_hard_negatives(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", moved))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_token_counts, op3_url_filter, op4_packing, op5_mixing, op6_fingerprint, op7_warc, op8_jaccard_join,
-    op9_embedding_near_dedup, op10_quality)}
-ORACLES: dict[str, str] = {}
+    op9_embedding_near_dedup, op10_quality, op11_pii, op12_importance_resampling, op13_hard_negatives)}
+
+#: DuckDB SQL of the operators that it can express in full.
+ORACLES: dict[str, str] = {
+    "op13_hard_negatives": """
+        with r as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   list_transform(embedding, x -> floor(256 * x::double)) as q
+            from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        s as (
+            select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as score
+            from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+        p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+        select p.anchor_id, p.vec_id as positive_id,
+               (row_number() over (partition by p.anchor_id, p.vec_id order by s.score desc, s.vec_id))::integer as rank,
+               s.vec_id as negative_id, p.score as positive_score, s.score as negative_score
+        from p join s on s.anchor_id = p.anchor_id and not s.same
+                     and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score
+        qualify rank <= 10""",
+}
