@@ -112,10 +112,10 @@ ORACLES: dict[str, str] = {
     "op13_hard_negatives": """
         with r as (
             select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-                   list_transform(embedding, x -> floor(256 * x::double)) as q
+                   [floor(256 * x::double) for x in embedding] as q
             from embeddings
             where vec_id is not null and label is not null and embedding is not null
-              and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+              and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
         s as (
             select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as score
             from r a join r b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
