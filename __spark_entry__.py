@@ -11,7 +11,8 @@ import tidemark as tm
 from oracle_queries import ORACLES
 from tidemark import fixtures as fx
 from tidemark.functions import format_2dp
-from tidemark.plans import key_metrics, stored_system_equity
+from tidemark.plans import (key_metrics, portfolio_report, prepare, publish_episodes, risk_report, stored_system_equity,
+                            system_report)
 from tidemark.sources import fresh_path
 
 try:
@@ -300,6 +301,157 @@ def table_roundtrip(spark, sf):
     return tm.read_table(spark, path)
 
 
+def load_trades_accepted(spark, sf):
+    return _spoilt_trades(spark, sf).accepted
+
+
+def load_trades_rejected(spark, sf):
+    cell = lambda name: F.element_at("cells", name)
+    return _spoilt_trades(spark, sf).rejected.select(
+        cell("trade_id").cast("bigint").alias("trade_id"), F.concat_ws(",", "bad").alias("bad"), cell("exit_date").alias("exit_date"), cell("pl").alias("pl"))
+
+
+def load_trades_counts(spark, sf):
+    counts = _spoilt_trades(spark, sf).counts
+    return spark.range(1).select(*[F.lit(counts[n]).cast("bigint").alias(n) for n in ("rows", "rejected", "bad_exit_date", "bad_pl", "bad_entry_date")])
+
+
+def _spoilt_trades(spark, sf):
+    path = fresh_path(spark, "spoilt-trades")
+    fx.write_trades_csv(fx.trades(spark, sf), path, spoilt=True)
+    return tm.load_trades_checked(spark, path)
+
+
+def load_backtest_rejected(spark, sf):
+    path = fresh_path(spark, "spoilt-backtest")
+    fx.write_backtest_csv(fx.backtest(spark, sf), path, spoilt=True)
+    found = tm.load_backtest_checked(spark, path)
+    kept = found.accepted.groupBy("system").agg(F.count(F.lit(1)).alias("accepted"))
+    bad = found.rejected.groupBy(F.element_at("cells", "system").alias("system")).agg(F.count(F.lit(1)).alias("rejected"))
+    total = F.lit(found.counts["bad_equity"]).cast("bigint").alias("rejected_in_all")
+    return kept.join(bad, "system", "left").select("system", "accepted", "rejected", total)
+
+
+def backtest_mixed_headers(spark, sf):
+    path, rows = fresh_path(spark, "mixed-backtest"), fx.backtest(spark, sf)
+    early = F.col("date") <= F.lit(dt.date(1996, 12, 31))
+    fx.write_backtest_csv(rows.where(early), f"{path}/early")
+    fx.write_backtest_csv(rows.where(~early), f"{path}/late", fx.SYSTEMS[::-1][:3])
+    return tm.load_backtest(spark, [f"{path}/early", f"{path}/late"])
+
+
+def load_bars_with_blanks(spark, sf):
+    path = fresh_path(spark, "blank-bars")
+    fx.write_bars_csv(fx.bars(spark, sf), path, blanks=True)
+    return tm.load_bars(spark, path)
+
+
+# Stored tables: refreshed in part, laid out by month
+
+def episodes_refreshed_system(spark, sf):
+    path, backtest = fresh_path(spark, "episodes"), fx.backtest(spark, sf)
+    publish_episodes(backtest, path, RUNS, SEED)
+    publish_episodes(backtest, path, RUNS, SEED + 1, systems=["2-HIGH"])
+    return _rounded(tm.read_published(spark, path, "system"), "pct").select("system", "run", "equity_high", "pct", "days")
+
+
+def episodes_replaced_folder(spark, sf):
+    path, backtest = fresh_path(spark, "episode-folders"), fx.backtest(spark, sf)
+    tm.write_table(tm.resampled_episodes(backtest, RUNS, SEED), path, partition_by=["system"])
+    again = tm.resampled_episodes(tm.of_systems(backtest, ["2-HIGH"]), RUNS, SEED + 1)
+    tm.write_table(again, path, "replace_parts", partition_by=["system"])
+    return _rounded(tm.read_table(spark, path), "pct").select("system", "run", "equity_high", "pct", "days")
+
+
+def table_rebuilt(spark, sf):
+    path, totals = fresh_path(spark, "rebuilt"), daily_closed_pl(spark, sf)
+    tm.write_table(totals.where("date <= date'1996-12-31'"), path)
+    tm.write_table(totals, path, "replace")
+    return tm.read_table(spark, path)
+
+
+def _trades_by_month(spark, sf):
+    path = fresh_path(spark, "trades-by-month")
+    tm.write_by_month(fx.trades(spark, sf), path, "exit_date")
+    return path
+
+
+def closed_pl_of_stored_range(spark, sf):
+    rows = tm.read_by_month(spark, _trades_by_month(spark, sf), "exit_date", dt.date(1996, 2, 14), dt.date(1997, 8, 20))
+    return tm.closed_pl_by_date(rows)
+
+
+def closed_pl_of_stored_days(spark, sf):
+    rows = tm.read_by_month(spark, _trades_by_month(spark, sf))
+    marches = business_calendar(spark, sf).where("month = 3")
+    return tm.closed_pl_by_date(tm.on_days(rows, "exit_date", marches))
+
+
+def read_query_text_dates(spark, sf):
+    text = "select distinct date_format(exit_date, 'd.M.yy') as day from {trades} where exit_date >= :since"
+    return tm.read_query(spark, text, {"since": dt.date(2000, 1, 1)}, date_cols=["day"], trades=fx.trades(spark, sf))
+
+
+# The whole flow
+
+def prepare_counts(spark, sf):
+    base, inputs = fresh_path(spark, "prepare"), {}
+    writers = {"trades": (fx.write_trades_csv, fx.trades), "bars": (fx.write_bars_csv, fx.bars), "backtest": (fx.write_backtest_csv, fx.backtest),
+               "open_pl": (fx.write_open_pl_wide, fx.open_positions_with_id)}
+    for name, (write, rows) in writers.items():
+        inputs[name] = f"{base}/in/{name}"
+        write(rows(spark, sf), inputs[name])
+    for _ in range(2):
+        stored = prepare(spark, inputs, f"{base}/out", FLOOR, runs=10, seed=SEED)
+    return tm.table_counts(**{n: stored[n] for n in ("bars", "open_pl", "trades", "backtest", "curves", "calendar")})
+
+
+def report_portfolio_ytd(spark, sf):
+    page = portfolio_report(*_inputs(spark, sf), CAPITAL, "ytd", AS_OF, bars=fx.bars(spark, sf))
+    return _rounded(page["equity"], "p_ret_pct", "bench_ret_pct")
+
+
+def report_system_selected(spark, sf):
+    page = system_report(fx.trades(spark, sf), fx.open_pl(spark, sf), _alloc(spark), CAPITAL, "all", AS_OF, SELECTED, all_floor=ALL_FROM)
+    return _rounded(page["equity_pct"], "ret_pct")
+
+
+def _risk_page(spark, sf, **more):
+    return risk_report(fx.trades(spark, sf), fx.open_pl(spark, sf), _episodes(spark, sf), _alloc(spark), CAPITAL, "all", AS_OF, "days", WORST,
+                       LOOKBACK, all_floor=ALL_FROM, **more)
+
+
+def report_risk_points(spark, sf):
+    return _rounded(_risk_page(spark, sf, chosen="3-MEDIUM")["points"], "pct")
+
+
+def report_risk_underwater(spark, sf):
+    return _rounded(_risk_page(spark, sf, systems=SELECTED)["underwater"], "dd_pct")
+
+
+def report_risk_distribution(spark, sf):
+    return _rounded(_risk_page(spark, sf, chosen="3-MEDIUM")["distribution"], "current", "worst_n", "worst_1")
+
+
+# Curves and matrices in parts
+
+def drawdown_episodes_segmented(spark, sf):
+    curves = tm.permutation_resample(fx.backtest(spark, sf), RUNS, SEED)
+    return _rounded(tm.drawdown_episodes_by_segments(curves, 400), "pct")
+
+
+def underwater_segmented(spark, sf):
+    return _rounded(tm.underwater_by_segments(_equity(spark, sf), 365), "dd_pct")
+
+
+def system_correlation_appended(spark, sf):
+    path, equity = fresh_path(spark, "correlation-state"), _equity(spark, sf)
+    parts = ("date <= date'1997-03-31'", "date > date'1997-03-31' and date <= date'1999-12-31'", "date > date'1999-12-31'")
+    for where in parts:
+        tm.write_table(tm.correlation_state(equity.where(where)), path, "append")
+    return _rounded(tm.correlation_of(tm.merge_states(tm.read_table(spark, path))), "corr", places=6)
+
+
 def sql_with_parameters(spark, sf):
     text = """select system, date_format(exit_date, 'dd/MM/yyyy') as exit_date, sum(pl) as pl
               from {trades} where exit_date > :date_from and exit_date <= :date_to group by system, exit_date"""
@@ -318,7 +470,11 @@ _QUERIES = (
     rolling_dd_correlation_active, backtest_systems, permutation_resample, drawdown_episodes,
     drawdown_episodes_merged, drawdown_episodes_by_depth, worst_drawdowns_pct, worst_drawdowns_days,
     drawdown_vs_resample, drawdown_vs_resample_days, load_trades, load_bars, backtest_unpivot,
-    open_pl_from_wide, csv_export_roundtrip, table_roundtrip, sql_with_parameters,
+    open_pl_from_wide, csv_export_roundtrip, table_roundtrip, sql_with_parameters, load_trades_accepted, load_trades_rejected,
+    load_trades_counts, load_backtest_rejected, backtest_mixed_headers, load_bars_with_blanks, episodes_refreshed_system,
+    episodes_replaced_folder, table_rebuilt, closed_pl_of_stored_range, closed_pl_of_stored_days, read_query_text_dates,
+    prepare_counts, report_portfolio_ytd, report_system_selected, report_risk_points, report_risk_underwater, report_risk_distribution,
+    drawdown_episodes_segmented, underwater_segmented, system_correlation_appended,
 )
 
 

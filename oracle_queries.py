@@ -200,6 +200,14 @@ def _distribution(metric: str) -> str:
 from worst left join current using (system)""")
 
 
+def _seeded(seed: int) -> str:
+    return (_with(_TRADES, _BACKTEST, _CURVES.replace("'42|'", f"'{seed}|'"), _EPISODES)
+            + "select system, run, equity_high, round(pct, 8) as pct, days from episodes")
+
+
+_REFRESHED = (f"select * from ({_seeded(42)}) where system <> '2-HIGH' union all "
+              f"select * from ({_seeded(43)}) where system = '2-HIGH'")
+
 _WIDE = ", ".join(f"""round(max(equity) filter (system = '{s}'), 8) as "{s}\""""
                   for s in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
 
@@ -360,4 +368,90 @@ select date, system, action, ticker, 0.0::double as entry_price, qty, 0.0::doubl
     "sql_with_parameters": _with(_TRADES) + """
 select system, exit_date, cast(sum(pl) as decimal(28,4)) as pl from trades
 where exit_date > date '1999-12-31' and exit_date <= date '2000-12-31' group by 1, 2""",
+
+    "load_trades_accepted": _with(_TRADES) + """
+select trade_id, system, action, ticker, entry_date, entry_price, quantity, commission, exit_date,
+       cast(null as double) as exit_price, pl from trades where trade_id % 13 <> 0 and trade_id % 17 <> 0""",
+
+    "load_trades_rejected": _with(_TRADES) + """
+select trade_id, concat_ws(',', case when trade_id % 13 = 0 then 'exit_date' end, case when trade_id % 17 = 0 then 'pl' end) as bad,
+       case when trade_id % 13 = 0 then 'someday' else strftime(exit_date, '%-d/%-m/%Y') end as exit_date,
+       cast(pl as varchar) || case when trade_id % 17 = 0 then ',0 USD' else '' end as pl
+from trades where trade_id % 13 = 0 or trade_id % 17 = 0""",
+
+    "load_trades_counts": _with(_TRADES) + """
+select count(*) as rows, count(*) filter (trade_id % 13 = 0 or trade_id % 17 = 0) as rejected,
+       count(*) filter (trade_id % 13 = 0) as bad_exit_date, count(*) filter (trade_id % 17 = 0) as bad_pl, 0::bigint as bad_entry_date
+from trades""",
+
+    "load_backtest_rejected": _with(_TRADES, _BACKTEST) + """,
+cells as (
+  select s.system, d.date, day(d.date) = 13 and b.equity is not null as bad
+  from (select distinct date from backtest) d cross join (select distinct system from backtest) s
+       left join backtest b on b.date = d.date and b.system = s.system)
+select system, count(*) filter (not bad) as accepted, nullif(count(*) filter (bad), 0) as rejected,
+       (select count(*) from cells where bad) as rejected_in_all
+from cells group by system""",
+
+    "backtest_mixed_headers": _with(_TRADES, _BACKTEST) + """,
+wanted as (
+  select distinct date, s.system
+  from backtest, (values ('1-URGENT', false), ('2-HIGH', false), ('3-MEDIUM', true), ('4-NOT SPECIFIED', true), ('5-LOW', true)) s(system, late)
+  where date <= date '1996-12-31' or late)
+select w.date, w.system, equity from wanted w left join backtest b on b.date = w.date and b.system = w.system""",
+
+    "load_bars_with_blanks": _with(_BARS) + """
+select date, cast(open as double) as open, cast(high as double) as high, cast(low as double) as low,
+       cast(close as double) as close, cast(month(date) as int) as month, cast(year(date) as int) as year
+from bars where day(date) % 10 <> 0""",
+
+    "episodes_refreshed_system": _REFRESHED,
+
+    "episodes_replaced_folder": _REFRESHED,
+
+    "table_rebuilt": _with(_TRADES) + "select exit_date as date, cast(sum(pl) as decimal(28,4)) as pl_closed from trades group by 1",
+
+    "closed_pl_of_stored_range": _with(_TRADES) + """
+select exit_date as date, cast(sum(pl) as decimal(28,4)) as pl_closed from trades
+where exit_date > date '1996-02-14' and exit_date <= date '1997-08-20' group by 1""",
+
+    "closed_pl_of_stored_days": _with(_TRADES, _BARS, _CALENDAR) + """
+select exit_date as date, cast(sum(pl) as decimal(28,4)) as pl_closed from trades
+where exit_date in (select date from calendar where month(date) = 3) group by 1""",
+
+    "read_query_text_dates": _with(_TRADES) + "select distinct exit_date as day from trades where exit_date >= date '2000-01-01'",
+
+    "prepare_counts": _with(_TRADES, _OPEN, _BARS, _BACKTEST) + """,
+cells as (select (select count(distinct date) from backtest) * (select count(distinct system) from backtest) as n)
+select 'trades' as table_name, count(*) as row_count from trades
+union all select 'open_pl', count(*) from open_pl
+union all select 'bars', count(*) from bars
+union all select 'backtest', n from cells
+union all select 'curves', n * 11 from cells
+union all select 'calendar', count(*) from bars where date >= date '1995-01-01'""",
+
+    "report_portfolio_ytd": _with(*_PORTFOLIO, _days("1999-12-31"), _base("1999-12-31"))
+    + f"select date, {_p_ret('order by date')}, {_BENCH} as bench_ret_pct from days, base",
+
+    "report_system_selected": _with(_TRADES, _OPEN, _system_pl(_SELECTED), _EQUITY) + """
+select date, system,
+       round((equity / first_value(equity) over (partition by system order by date) - 1) * 100, 8) as ret_pct
+from equity""",
+
+    "report_risk_points": _with(*_RESAMPLED, _EPISODES)
+    + "select system, run, equity_high, round(pct, 8) as pct, days from episodes where system = '3-MEDIUM' order by days desc",
+
+    "report_risk_underwater": _with(*_SYSTEMS, _DD)
+    + f"select date, system, round(dd_pct, 8) as dd_pct from dd where system in ({_SELECTED})",
+
+    "report_risk_distribution": f"select * from ({_distribution('days')}) where system = '3-MEDIUM'",
+
+    "drawdown_episodes_segmented": _with(*_RESAMPLED, _EPISODES)
+    + "select system, run, equity_high, round(pct, 8) as pct, days from episodes",
+
+    "underwater_segmented": _with(*_SYSTEMS, _DD) + "select date, system, round(dd_pct, 8) as dd_pct from dd",
+
+    "system_correlation_appended": _with(*_SYSTEMS) + """
+select a.system as system_a, b.system as system_b, round(corr(a.equity, b.equity), 6) as corr
+from equity a join equity b using (date) group by 1, 2""",
 }

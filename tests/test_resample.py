@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import tidemark as tm
+import tidemark.operators.resample as R
 from helpers import plan_of, series
 
 VALUES = {"A": [100.0, 110.0, 99.0, 120.0, 118.0, 90.0, 130.0], "B": [50.0, 55.0, 40.0]}
@@ -67,7 +68,30 @@ def test_episodes_against_brute_force(spark):
 
 def test_curves_are_shuffled_once(spark):
     plan = plan_of(tm.resampled_episodes(backtest(spark), 100))
-    # One exchange brings each system together, one spreads blocks of runs; nothing after that.
-    assert plan.count("Exchange hashpartitioning") == 2
-    assert plan.index("REPARTITION_BY_NUM") < plan.index("ENSURE_REQUIREMENTS")
+    # The stored returns are spread by blocks of runs; nothing after that.
+    assert plan.count("Exchange") == 1 and plan.count("REPARTITION_BY_NUM") == 1
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.parametrize("rows, systems, runs, cores", [(5 * 2500, 5, 100, 8), (1500 * 2500, 1500, 100, 8), (1500 * 2500, 1500, 100, 4000), (1, 1, 0, 8),
+                                                        (0, 0, 10, 8), (10 ** 9, 3, 100, 200), (10 ** 7, 10 ** 6, 100, 64)])
+def test_blocks_and_partitions_follow_from_the_rows(rows, systems, runs, cores):
+    per_block, partitions = R.block_plan(rows, systems, runs, cores)
+    groups = max(systems, 1) * -(-(runs + 1) // per_block)
+    assert 1 <= per_block <= runs + 1 and 1 <= partitions <= groups
+    assert groups >= R.GROUPS_PER_CORE * cores or per_block == 1  # all cores have work
+    assert per_block == 1 or per_block * rows / systems <= R.ROWS_PER_TASK
+    assert rows * (runs + 1) / partitions <= R.ROWS_PER_TASK or partitions == groups
+
+
+def test_the_setting_for_shuffles_does_not_matter(spark):
+    setting = "spark.sql.shuffle.partitions"
+    before, curves = spark.conf.get(setting), []
+    for n in ("1", "3"):
+        spark.conf.set(setting, n)
+        try:
+            df = tm.permutation_resample(backtest(spark), 40, 3)
+            curves.append((df.rdd.getNumPartitions(), curves_of(df)))
+        finally:
+            spark.conf.set(setting, before)
+    assert curves[0] == curves[1] and curves[0][0] >= 8

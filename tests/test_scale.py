@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tidemark as tm
-from helpers import as_map, day, money, open_pl, plan_of, trades
+from helpers import as_map, bars, day, money, open_pl, plan_of, trades
 from tidemark import schemas
 
 FROM, TO = day("2021-12-31"), day("2022-12-31")
@@ -40,7 +40,21 @@ def test_daily_equity_reads_two_columns_of_the_range(stored):
         pushed = found[frozenset(columns)]
         assert f"GreaterThan({date},2021-12-31)" in pushed and f"LessThanOrEqual({date},2022-12-31)" in pushed
     # Summed within each task before the rows are exchanged.
-    assert plan.count("partial_sum(pl") == 2
+    assert plan.count("partial_sum(pl#") == 2
+    # No task holds the whole calendar.
+    for df in (tm.daily_equity(cal, t, o, 100, FROM, TO), tm.monthly_returns(cal, t, o, 100, FROM, TO)):
+        assert "SinglePartition" not in plan_of(df) and plan_of(df).count("FileScan") == 3
+
+
+def test_the_benchmark_reads_bars_once(spark, stored, tmp_path):
+    t, o = stored
+    bars(spark, ("2021-12-31", 1.0), ("2022-01-03", 2.0)).write.parquet(str(tmp_path / "bars"))
+    b = spark.read.parquet(str(tmp_path / "bars"))
+    cal = spark.createDataFrame([(day("2022-01-03"),)], "date date")
+    for df in (tm.daily_equity_vs_benchmark(cal, t, o, b, 100, FROM, TO), tm.monthly_returns_vs_benchmark(cal, t, o, b, 100, FROM, TO),
+               tm.daily_equity_vs_benchmark_all_periods(cal, t, o, b, 100, TO), tm.monthly_returns_vs_benchmark_all_periods(cal, t, o, b, 100, TO)):
+        assert plan_of(df).count("FileScan") == 3
+        assert [r[-1] for r in df.collect() if str(r[-3]).startswith("2022-01")] in ([100.0], [100.0] * 2)
 
 
 def test_chosen_systems_reach_the_scan(stored):

@@ -67,13 +67,56 @@ def test_trades_with_quotes_and_date_forms(spark, tmp_path):
         tm.load_trades(spark, write(tmp_path / "pl.csv", HEAD.replace("PL", "P/L") + "A,1/2/2021,,5\n"))
 
 
-def test_files_of_a_folder_need_the_same_header(spark, tmp_path):
+def test_files_of_a_folder_are_read_by_their_own_headers(spark, tmp_path):
     write(tmp_path / "a.csv", "Date,AAA,BBB\n1/1/2022,1,2\n")
-    write(tmp_path / "b.csv", "Date,BBB,AAA\n2/1/2022,2,1\n")
-    with pytest.raises(Exception, match="(?i)header"):
+    write(tmp_path / "b.csv", "\ufeff bbb , Date,aaa\r\n2,2/1/2022,1\r\n\r\n4,3/1/2022\r\n")
+    write(tmp_path / "c.csv", 'Date,"C, 1"\n1/1/2022,"1000"\n')
+    got = as_map(tm.load_backtest(spark, str(tmp_path)), "date", "system")
+    assert got == {("2022-01-01", "AAA"): 1, ("2022-01-01", "BBB"): 2, ("2022-01-02", "AAA"): 1, ("2022-01-02", "BBB"): 2,
+                   ("2022-01-03", "AAA"): None, ("2022-01-03", "BBB"): 4, ("2022-01-01", "C, 1"): 1000}
+    write(tmp_path / "d.csv", "Day,AAA\n1/1/2022,1\n")
+    with pytest.raises(Exception, match="no column DATE"):
         tm.load_backtest(spark, str(tmp_path)).collect()
 
 
+def test_trades_files_need_the_same_header(spark, tmp_path):
+    write(tmp_path / "a.csv", HEAD + "A,1/1/2022,,2\n")
+    write(tmp_path / "b.csv", "Entry date,System,Exit date,PL\n1/1/2022,A,,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tm.load_trades(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("line, match", [("someday,1", "not a date: someday"), ("1/1/2022,\"1,234.50\"", "not a double: 1,234.50")])
+def test_backtest_cells_that_do_not_parse(spark, tmp_path, line, match):
+    p = write(tmp_path / "bt.csv", f"Date,A\n2/1/2022,5\n{line}\n")
+    with pytest.raises(Exception, match=match):
+        tm.load_backtest(spark, p).collect()
+    assert tm.load_backtest(spark, p, on_bad="null").count() == 2
+    found = tm.load_backtest_checked(spark, p)
+    assert [(str(r.date), r.system, r.equity) for r in found.accepted.collect()] == [("2022-01-02", "A", 5.0)]
+    (bad,) = found.rejected.collect()
+    assert bad.file.endswith("bt.csv") and bad.bad == ["date" if "someday" in line else "equity"] and bad.cells["system"] == "A"
+    assert (found.counts["rows"], found.counts["rejected"], found.counts[f"bad_{bad.bad[0]}"]) == (2, 1, 1)
+
+
+def test_trades_with_rejects_in_one_scan(spark, tmp_path, monkeypatch):
+    p = write(tmp_path / "t.csv", HEAD + "A,1/2/2021,2/2/2021,5\nB,soon,later,x\nC,1/2/2021,,\n,,,\n")
+    plans = []
+    kind = type(spark.range(1))
+    kept = kind.observe
+    monkeypatch.setattr(kind, "observe", lambda df, *a: plans.append(plan_of(df)) or kept(df, *a))
+    found = tm.load_trades_checked(spark, p)
+    assert len(plans) == 1 and plans[0].count("FileScan csv") == 1 and "Exchange" not in plans[0]
+    assert found.accepted.schema.names == schemas.TRADES.names and {r.system for r in found.accepted.collect()} == {"A", "C", None}
+    (bad,) = found.rejected.collect()
+    assert bad.bad == ["entry_date", "exit_date", "pl"] and bad.cells["exit_date"] == "later" and bad.cells["ticker"] is None
+    assert {k: v for k, v in found.counts.items() if v} == {"rows": 4, "rejected": 1, "bad_entry_date": 1, "bad_exit_date": 1, "bad_pl": 1}
+    good = tm.load_trades_checked(spark, write(tmp_path / "g.csv", HEAD + "A,1/2/2021,,5\n"))
+    assert good.rejected.count() == 0 and good.accepted.count() == 1
+    none = tm.load_trades_checked(spark, write(tmp_path / "n.csv", HEAD))
+    assert none.rejected.count() == none.accepted.count() == none.counts["rows"] == 0
+
+
 def test_backtest(spark, tmp_path):
     p = write(tmp_path / "bt.csv", "Date,abc,x.y\n31/12/2021,100,5\n3/1/2022,101.5,\n")
     got = tm.load_backtest(spark, p)
@@ -153,6 +196,9 @@ def test_read_query_binds_parameters(spark):
     got = tm.read_query(spark, "select d, x, timestamp'2022-05-06 10:00:00' as t from {rows} where x > :least",
                         {"least": 1}, date_cols=["d", "t"], rows=df)
     assert got.first() == (dt.date(2022, 2, 3), 2, dt.date(2022, 5, 6))
+    with pytest.raises(Exception, match="not a date: then"):
+        tm.read_query(spark, "select 'then' as d", date_cols=["d"]).collect()
+    assert tm.read_query(spark, "select 'then' as d", date_cols=["d"], on_bad="null").first() == (None,)
     evil = tm.read_query(spark, "select * from {rows} where d = :d", {"d": "' or 1=1 --"}, rows=df)
     assert evil.count() == 0
 

@@ -79,30 +79,37 @@ def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Files in the layouts that the loaders read.
 
-def write_trades_csv(rows: DataFrame, path: str) -> None:
-    """Trade log file with day-first dates."""
+def write_trades_csv(rows: DataFrame, path: str, spoilt: bool = False) -> None:
+    """Trade log file with day-first dates; ``spoilt`` files have some exit dates and profits that do not parse."""
     def day(c: str):
         return F.date_format(c, "d/M/yyyy")
 
+    if spoilt:
+        rows = rows.withColumns({"exit_date": F.when(F.col("trade_id") % 13 == 0, "someday").otherwise(day("exit_date")),
+                                 "pl": F.when(F.col("trade_id") % 17 == 0, F.concat(F.col("pl").cast("string"), F.lit(",0 USD"))).otherwise(F.col("pl").cast("string"))})
     rows.select(F.col("trade_id").alias("Trade ID"), F.col("system").alias("System"), F.col("action").alias("Action"),
                 F.col("ticker").alias("Ticker"), day("entry_date").alias("Entry date"),
                 F.col("entry_price").alias("Entry price"), F.col("quantity").alias("Quantity"),
-                F.col("commission").alias("Commission"), day("exit_date").alias(" Exit date "),
+                F.col("commission").alias("Commission"), (F.col("exit_date") if spoilt else day("exit_date")).alias(" Exit date "),
                 F.lit(None).cast("string").alias("Exit price"), F.col("pl").alias("PL"),
                 ).write.option("header", True).csv(path)
 
 
-def write_backtest_csv(rows: DataFrame, path: str) -> None:
-    """Backtest file: one column per system."""
-    wide = rows.groupBy("date").pivot("system", list(SYSTEMS)).agg(F.max("equity"))
-    wide.select(F.date_format("date", "dd/MM/yyyy").alias("Date"), *[F.col(f"`{s}`") for s in SYSTEMS]
-                ).write.option("header", True).csv(path)
+def write_backtest_csv(rows: DataFrame, path: str, systems: tuple[str, ...] = SYSTEMS, spoilt: bool = False) -> None:
+    """Backtest file: one column per system, in the given order; ``spoilt`` files spell some numbers in a way that does not parse."""
+    wide = rows.groupBy("date").pivot("system", list(systems)).agg(F.max("equity"))
+    cells = [F.col(f"`{s}`") for s in systems]
+    if spoilt:
+        cells = [F.when(F.dayofmonth("date") == 13, F.concat(F.format_number(c, 1), F.lit("?"))).otherwise(c.cast("string")).alias(s) for c, s in zip(cells, systems)]
+    wide.select(F.date_format("date", "dd/MM/yyyy").alias("Date"), *cells).write.option("header", True).csv(path)
 
 
-def write_bars_csv(rows: DataFrame, path: str) -> None:
-    """Price file."""
-    rows.select(*[F.col(c).alias(c.upper()) for c in ("date", "open", "high", "low", "close")]
-                ).write.option("header", True).csv(path)
+def write_bars_csv(rows: DataFrame, path: str, blanks: bool = False) -> None:
+    """Price file; with ``blanks`` the bars of every tenth day of a month lack a cell."""
+    cells = {c: F.col(c) for c in ("date", "open", "high", "low", "close")}
+    if blanks:
+        cells["high"] = F.when(F.dayofmonth("date") % 10 != 0, F.col("high"))
+    rows.select(*[v.alias(c.upper()) for c, v in cells.items()]).write.option("header", True).csv(path)
 
 
 def write_open_pl_wide(rows: DataFrame, path: str, rows_per_file: int = 100_000) -> None:

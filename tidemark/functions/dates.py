@@ -35,6 +35,11 @@ def period_start(as_of: Column, period: str, all_floor: dt.date = ALL_FLOOR) ->
     raise ValueError(f"unknown period {period!r}; choose one of {PERIODS}")
 
 
+def range_start(date_from: dt.date | str, date_to: dt.date, all_floor: dt.date = ALL_FLOOR) -> dt.date | Column:
+    """Exclusive lower bound of a range that starts on a date or is a named period ending on ``date_to``."""
+    return period_start(F.lit(date_to), date_from, all_floor) if isinstance(date_from, str) else date_from
+
+
 def periods_array(as_of: Column, all_floor: dt.date = ALL_FLOOR) -> Column:
     """All named periods as an array of ``(period, date_from)``."""
     return F.array(*[

@@ -7,21 +7,25 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..sources.shared import spool
 
 SYSTEMS_PER_BLOCK = 256
+#: Rows of a curve in a chunk of the rolling correlation, and parts into which the systems of a chunk are dealt.
+ROWS_PER_CHUNK, PARTS = 256, 32
 
 
-def _centred_vectors(series: DataFrame, value: str) -> DataFrame:
-    """One row per system: the days on which it has a value, and the values less their mean."""
+def centred_vectors(series: DataFrame, value: str) -> DataFrame:
+    """One row per system: the days on which it has a value, the values less their mean, and the mean."""
     x = F.col(value).cast("double")
     known = series.where(x.isNotNull() & ~F.isnan(x))
-    centred = known.select("system", F.unix_date("date").alias("day"), (x - F.avg(x).over(W.partitionBy("system"))).alias("x"))
-    points = centred.groupBy("system").agg(F.array_sort(F.collect_list(F.struct("day", "x"))).alias("points"))
+    mean = F.avg(x).over(W.partitionBy("system"))
+    centred = known.select("system", F.unix_date("date").alias("day"), (x - mean).alias("x"), mean.alias("mean"))
+    points = centred.groupBy("system").agg(F.array_sort(F.collect_list(F.struct("day", "x"))).alias("points"), F.max("mean").alias("mean"))
     every = series.select("system").distinct().join(points, "system", "left")
-    return every.select("system", F.col("points.day").alias("day"), F.col("points.x").alias("x"))
+    return every.select("system", F.col("points.day").alias("day"), F.col("points.x").alias("x"), "mean")
 
 
 def _block_correlation():
@@ -75,7 +79,7 @@ def system_correlation(equity_abs: DataFrame, value: str = "equity") -> DataFram
     only pairs that are ever produced are the result rows. The centred curves are stored
     first: their number sets the number of blocks, and they are needed once per block.
     """
-    vectors = spool(_centred_vectors(equity_abs, value), "centred-curves")
+    vectors = spool(centred_vectors(equity_abs, value), "centred-curves")
     blocks = max(1, math.ceil(vectors.count() / SYSTEMS_PER_BLOCK))
     block = F.pmod(F.xxhash64("system"), F.lit(blocks)).cast("int").alias("block")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
@@ -86,6 +90,76 @@ def system_correlation(equity_abs: DataFrame, value: str = "equity") -> DataFram
     return out.withColumn("corr", F.nanvl("corr", F.lit(None).cast("double")))
 
 
+def _rolling_sums(lookback: int):
+    """The function that streams sorted rows of (chunk, part, system, row_no, day, x); it carries all it needs, as above.
+
+    For each chunk and part it sums over systems the values of every window, standardised inside the window. It holds one
+    curve's rows of a chunk and one sum per date and place in the window, however many systems there are.
+    """
+
+    def standardised(x: np.ndarray) -> np.ndarray:
+        """One row per window that ends on a row of x; windows that are short, flat or have a gap count as 0."""
+        out = np.zeros((len(x), lookback))
+        if len(x) >= lookback:
+            w = np.lib.stride_tricks.sliding_window_view(x, lookback)
+            with np.errstate(all="ignore"):
+                z = (w - w.mean(axis=1)[:, None]) / w.std(axis=1)[:, None]
+            usable = (w.max(axis=1) > w.min(axis=1)) & np.isfinite(z).all(axis=1)
+            out[lookback - 1:][usable] = z[usable]
+        return out
+
+    def roll(batches):
+        days, systems, table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, lookback))
+        at = curve = None
+        rows: list[tuple] = []
+
+        def close_curve():
+            nonlocal days, systems, table
+            if not rows:
+                return
+            day, x, own = (np.concatenate(c) for c in zip(*rows))
+            rows.clear()
+            z, day = standardised(x)[own], day[own]
+            if len(new := np.setdiff1d(day, days)):
+                every = np.union1d(days, new)
+                place, wider = np.searchsorted(every, days), (np.zeros(len(every), np.int64), np.zeros((len(every), lookback)))
+                wider[0][place], wider[1][place] = systems, table
+                days, (systems, table) = every, wider
+            place = np.searchsorted(days, day)
+            np.add.at(systems, place, 1)
+            np.add.at(table, place, z)
+
+        def close_chunk():
+            nonlocal days, systems, table
+            out = pa.RecordBatch.from_pydict({"day": pa.array(days, pa.int32()), "systems": pa.array(systems, pa.int64()),
+                                              "z": pa.array(list(table), pa.list_(pa.float64()))})
+            days, systems, table = days[:0], systems[:0], table[:0]
+            return out
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            chunk, part, day = (batch.column(c).to_numpy().astype(np.int64) for c in ("chunk", "part", "day"))
+            x, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("x", "own"))
+            system = batch.column("system")
+            name = system.dictionary_encode().indices.fill_null(-1).to_numpy()
+            # a curve ends where its chunk, part or name changes
+            cuts = np.flatnonzero((np.diff(chunk) != 0) | (np.diff(part) != 0) | (np.diff(name) != 0)) + 1
+            for i, j in zip([0, *cuts], [*cuts, batch.num_rows]):
+                here, who = (chunk[i], part[i]), system[int(i)].as_py()
+                if here != at or who != curve:
+                    close_curve()
+                    if here != at and len(days):
+                        yield close_chunk()
+                    at, curve = here, who
+                rows.append((day[i:j], x[i:j].astype(float), own[i:j].astype(bool)))
+        close_curve()
+        if len(days):
+            yield close_chunk()
+
+    return roll
+
+
 def rolling_dd_correlation(dd: DataFrame, lookback: int = 60, inactive: Iterable[str] = (),
                            value: str = "dd_pct") -> DataFrame:
     """Combined rolling correlation of all drawdown curves: date, combined_corr.
@@ -95,29 +169,30 @@ def rolling_dd_correlation(dd: DataFrame, lookback: int = 60, inactive: Iterable
     A system that is flat inside the window adds nothing, but still counts in ``n``. The first
     ``lookback`` dates are left out.
 
-    The matrix itself is never built: with every curve standardised inside its window, the sum over
-    all pairs equals the mean over the window of the squared sum over systems. That makes the work
-    grow with the number of systems rather than its square, and the sum over systems is combined
-    before the shuffle.
+    The matrix itself is never built: with every curve standardised inside its window, the sum over all pairs equals the mean
+    over the window of the squared sum over systems, so the work grows with the number of systems, not its square.
+    Curves are cut into chunks of ``ROWS_PER_CHUNK`` rows that overlap by the lookback, so every window lies whole in
+    one chunk; the systems of a chunk are dealt to ``PARTS`` parts, each read as a sorted stream. Ahead of the second shuffle
+    a part is one row per date, whatever its systems.
     """
     whole = W.partitionBy("system")
-    window = whole.orderBy("date").rowsBetween(1 - lookback, 0)
-    x = F.col(value)
+    row_no = F.row_number().over(whole.orderBy("date")) - 1
     active = (dd.where(~F.col("system").isin(list(inactive)))
-              .withColumn("total", F.sum(x).over(whole)).where("total != 0"))
-    windows = active.select(
-        "date", F.collect_list(x).over(window).alias("xs"), F.avg(x).over(window).alias("mean"),
-        F.stddev_pop(x).over(window).alias("sd"),
-        (F.max(x).over(window) > F.min(x).over(window)).alias("varies"))
-    usable = F.col("varies") & (F.size("xs") == lookback)
-    standard = F.when(usable, F.transform("xs", lambda v: F.try_divide(v - F.col("mean"), F.col("sd"))))
-    # The outer form keeps one row, without a slot, for a system that is not usable on a date.
-    slots = (windows.select("date", F.posexplode_outer(standard).alias("slot", "z"))
-             .groupBy("date", "slot").agg(F.sum("z").alias("z"), F.count(F.lit(1)).alias("systems")))
-    per_date = slots.groupBy("date").agg(
-        F.coalesce(F.sum(F.col("z") * F.col("z")), F.lit(0.0)).alias("squares"),
-        F.sum(F.when(F.coalesce("slot", F.lit(0)) == 0, F.col("systems"))).alias("n"))
+              .select("system", F.unix_date("date").alias("day"), F.col(value).cast("double").alias("x"), row_no.alias("row_no"),
+                      F.sum(value).over(whole).alias("total")).where("total != 0"))
+    home = F.floor(F.col("row_no") / ROWS_PER_CHUNK).cast("int")
+    # a row is needed by its own chunk and, near its end, by those whose windows reach back to it
+    reached = F.floor((F.col("row_no") + lookback - 1) / ROWS_PER_CHUNK).cast("int")
+    rows = active.select("system", "day", "x", "row_no", home.alias("home"), F.explode(F.sequence(home, reached)).alias("chunk"),
+                         F.pmod(F.xxhash64("system"), F.lit(PARTS)).cast("int").alias("part"))
+    keys = ["chunk", "part", "system", "row_no"]
+    sums = (rows.select(*keys, "day", "x", (F.col("home") == F.col("chunk")).alias("own"))
+            .repartition("chunk", "part").sortWithinPartitions(*keys)
+            .mapInArrow(_rolling_sums(lookback), "day int, systems long, z array<double>"))
+    slots = [F.sum(F.get("z", F.lit(i))) for i in range(lookback)]
+    per_date = sums.groupBy("day").agg(F.sum("systems").alias("n"), F.array(*slots).alias("z"))
+    squares = F.aggregate("z", F.lit(0.0), lambda total, z: total + z * z)
     n = F.col("n")
-    return (per_date.select("date", ((F.col("squares") / lookback - n) / (2 * n)).alias("combined_corr"),
-                            F.row_number().over(W.orderBy("date")).alias("row_no"))
+    return (per_date.select(F.date_from_unix_date("day").alias("date"), ((squares / lookback - n) / (2 * n)).alias("combined_corr"),
+                            F.row_number().over(W.orderBy("day")).alias("row_no"))
             .where(F.col("row_no") > lookback).drop("row_no"))

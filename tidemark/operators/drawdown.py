@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.stats import by_date, rate_of, running
+from .prefix import running_peak
 
 METRICS = ("pct", "days")
 SALTS = 64
@@ -16,6 +17,13 @@ def underwater(equity_abs: DataFrame) -> DataFrame:
     return equity_abs.select("date", "system", rate_of(F.col("equity"), peak).alias("dd_pct"))
 
 
+def underwater_by_segments(equity_abs: DataFrame, days_per_segment: int = 365) -> DataFrame:
+    """``underwater`` of curves too long for one task: each is cut into segments of so many days, which carry their peak on."""
+    segment = F.floor(F.unix_date("date") / days_per_segment)
+    peaks = running_peak(equity_abs.select("date", "system", "equity"), "equity", ["system"], "date", segment, "peak")
+    return peaks.select("date", "system", rate_of(F.col("equity"), F.col("peak")).alias("dd_pct"))
+
+
 def current_drawdown(dd: DataFrame) -> DataFrame:
     """Latest drawdown of each system: system, dd_days, dd_pct, is_underwater.
 
@@ -38,10 +46,12 @@ def episodes_over(curves: DataFrame, curve_keys: list[str], order: list[Column])
     The episodes are grouped by the same keys as the window, so they stay where the curves are.
     """
     so_far = running(W.partitionBy(*curve_keys).orderBy(*order))
+    return _episodes(curves.withColumn("equity_high", F.max("equity").over(so_far)), curve_keys)
+
+
+def _episodes(peaks: DataFrame, curve_keys: list[str]) -> DataFrame:
     depth = F.abs(rate_of(F.col("equity"), F.col("equity_high")))
-    return (curves.withColumn("equity_high", F.max("equity").over(so_far))
-            .where("equity < equity_high")
-            .groupBy(*curve_keys, "equity_high")
+    return (peaks.where("equity < equity_high").groupBy(*curve_keys, "equity_high")
             .agg(F.max(depth).alias("pct"), F.count(F.lit(1)).alias("days"))
             .select("system", "run", "equity_high", "pct", "days"))
 
@@ -69,6 +79,18 @@ def drawdown_episodes(curves: DataFrame, merge_equal_peaks: bool = False) -> Dat
 _merge = merge_equal_peaks
 
 
+def drawdown_episodes_by_segments(curves: DataFrame, steps_per_segment: int = 100_000, merge_equal_peaks: bool = False) -> DataFrame:
+    """``drawdown_episodes`` of curves too long for one task, cut into segments of so many steps.
+
+    A segment gives its peak to the segments after it, and the part of each drawdown that lies in it: the greatest depth and
+    the number of its days, which are joined across segments by the peak.
+    """
+    segment = F.floor(F.col("step") / steps_per_segment)
+    keys = ["system", "run"]
+    episodes = _episodes(running_peak(curves.select(*keys, "step", "equity"), "equity", keys, "step", segment, "equity_high"), keys)
+    return _merge(episodes) if merge_equal_peaks else episodes
+
+
 def sorted_episodes(episodes: DataFrame, metric: str = "pct") -> DataFrame:
     """Episodes, worst first by the chosen metric."""
     _check(metric)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.stats import compound_from, round_to
+from ..sources.shared import spool
 from .drawdown import episodes_over, merge_equal_peaks
 
-RUNS_PER_BLOCK = 10
+#: Unfolded rows that a task should have at most, and groups that a core should have at least.
+ROWS_PER_TASK, GROUPS_PER_CORE = 1_000_000, 4
 EQUITY_PLACES = 4
 
 # Run first: a number decides most comparisons of the sort before the name has to be looked at.
@@ -24,27 +26,41 @@ def _daily_returns(backtest: DataFrame) -> DataFrame:
     return known.select("system", "step", change.alias("change"), "base")
 
 
+def block_plan(rows: int, systems: int, runs: int, cores: int) -> tuple[int, int]:
+    """(runs per block, partitions) for ``rows`` backtest rows of ``systems`` curves.
+
+    A block of runs is the unit that is shuffled once and unfolded in one task. It is as large as it may be, which saves
+    copies, while its rows stay below ``ROWS_PER_TASK`` and there are ``GROUPS_PER_CORE`` units for each core.
+    """
+    rows, systems = max(rows, 1), max(systems, 1)
+    fitting = ROWS_PER_TASK * systems // rows
+    spread = systems * (runs + 1) // (GROUPS_PER_CORE * cores)
+    per_block = max(1, min(fitting, spread, runs + 1))
+    groups = systems * -(-(runs + 1) // per_block)
+    return per_block, min(groups, max(cores * GROUPS_PER_CORE, -(-rows * (runs + 1) // ROWS_PER_TASK)))
+
+
 def _laid_out(backtest: DataFrame, runs: int, seed: int) -> DataFrame:
     """Every run of every system: system, run_block, run, original step and its place in the run.
 
     Only one copy per block of runs goes through the shuffle; the runs of a block are unfolded on
-    the receiving side, next to the windows that use them. With few systems the blocks give the
-    parallelism, with many systems the systems do. An explicit number of partitions keeps small
-    inputs from being merged into one task ahead of the unfolding.
+    the receiving side, next to the windows that use them. The daily returns are stored and counted first; blocks and
+    partitions follow from the count, not from a setting, and a fixed number keeps small inputs from being merged into one task
+    ahead of the unfolding.
     """
     spark = backtest.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    last_block = runs // RUNS_PER_BLOCK
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(last_block))).alias("run_block")
-    first_run = F.col("run_block") * RUNS_PER_BLOCK
-    members = F.sequence(first_run, F.least(first_run + (RUNS_PER_BLOCK - 1), F.lit(runs)))
-    rows = (_daily_returns(backtest).select("*", blocks)
-            .repartition(partitions, "system", "run_block")
-            .select("*", F.explode(members).alias("run")))
+    returns = spool(_daily_returns(backtest), "daily-returns")
+    rows, systems = returns.agg(F.count(F.lit(1)), F.count_if(F.col("step") == 0)).first()
+    per_block, partitions = block_plan(rows, systems, runs, spark.sparkContext.defaultParallelism)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(runs // per_block))).alias("run_block")
+    first_run = F.col("run_block") * per_block
+    members = F.sequence(first_run, F.least(first_run + (per_block - 1), F.lit(runs)))
+    dealt = (returns.select("*", blocks).repartition(partitions, "system", "run_block")
+             .select("*", F.explode(members).alias("run")))
     shuffled = F.md5(F.concat(F.lit(f"{seed}|"), F.col("run").cast("string"), F.lit("|"), F.col("system"),
                               F.lit("|"), F.col("step").cast("string")))
     in_order = F.lpad(F.col("step").cast("string"), 32, "0")
-    return rows.withColumn("place", F.when(F.col("run") == 0, in_order).otherwise(shuffled))
+    return dealt.withColumn("place", F.when(F.col("run") == 0, in_order).otherwise(shuffled))
 
 
 def _curves(backtest: DataFrame, runs: int, seed: int) -> DataFrame:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import business_calendar, permutation_resample, resampled_episodes
-from ..sinks import write_table
+from ..operators import business_calendar, of_systems, permutation_resample, resampled_episodes
+from ..sinks import publish, write_table
 from ..sources import load_backtest, load_bars, load_open_pl, load_trades, read_table
 
 TABLES = ("bars", "open_pl", "trades", "backtest", "curves", "episodes", "calendar")
@@ -41,3 +42,13 @@ def prepare(spark: SparkSession, inputs: dict[str, str], out_dir: str, calendar_
     stored["episodes"] = store("episodes", resampled_episodes(backtest, runs, seed, merge_equal_peaks), layout)
     stored["calendar"] = store("calendar", business_calendar(stored["bars"], calendar_floor))
     return stored
+
+
+def publish_episodes(backtest: DataFrame, path: str, runs: int = 100, seed: int = 42, merge_equal_peaks: bool = False,
+                     systems: Sequence[str] | None = None) -> str:
+    """Store the episodes of all systems, or replace those of some; readers see each system as it was or as it is.
+
+    Only the chosen systems' backtest rows are resampled. Read with ``read_published(spark, path, "system")``.
+    """
+    rows = backtest if systems is None else of_systems(backtest, systems)
+    return publish(resampled_episodes(rows, runs, seed, merge_equal_peaks).hint("rebalance", "system"), path, "system", systems)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F, types as T
 
 from .. import schemas
 from ..functions.dates import parse_day_first
 from ..functions.text import clean_name
-from .shared import spool
+from .shared import fresh_path, spool
 
 # Field names of the input files, trimmed and upper-cased -> column.
 _TRADE_FIELDS = {
@@ -34,7 +36,7 @@ def _read_text_columns(spark: SparkSession, path: str) -> DataFrame:
     return raw.toDF(*[clean_name(c) for c in raw.columns])
 
 
-def _typed(text: Column, wanted: T.DataType, on_bad: str = "null") -> Column:
+def typed(text: Column, wanted: T.DataType, on_bad: str = "null") -> Column:
     """Text as a wanted type. Blank text is NULL; other text that does not parse is NULL or an error."""
     if on_bad not in ("raise", "null"):
         raise ValueError(f"on_bad must be 'raise' or 'null', not {on_bad!r}")
@@ -81,22 +83,106 @@ def load_trades(spark: SparkSession, path: str, on_bad: str = "raise") -> DataFr
     not parse are an error, or NULL with ``on_bad="null"``.
     """
     raw = _read_text_columns(spark, path)
+    source = _trade_columns(raw, path)
+    return raw.select(*[typed(source[f.name], f.dataType, on_bad).alias(f.name) for f in schemas.TRADES])
+
+
+def _trade_columns(raw: DataFrame, path: str) -> dict[str, Column]:
+    """The text of each column of the trades table; NULL for an optional field that the file lacks."""
     missing = [f for f in _TRADE_FIELDS if f not in raw.columns and f not in OPTIONAL_TRADE_FIELDS]
     if missing:
         raise ValueError(f"no column {', '.join(missing)} in {path}")
-    present = {c: _TRADE_FIELDS[c] for c in raw.columns if c in _TRADE_FIELDS}
-    source = {name: F.col(f"`{field}`") for field, name in present.items()}
-    return raw.select(*[_typed(source.get(f.name, F.lit(None).cast("string")), f.dataType, on_bad).alias(f.name)
-                        for f in schemas.TRADES])
+    return {name: F.col(f"`{field}`") if field in raw.columns else F.lit(None).cast("string") for field, name in _TRADE_FIELDS.items()}
+
+
+def stored_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The lines of text files, stored once: value, file, block_start, place.
+
+    ``place`` numbers the lines in the order of their split and is unique. It is written along with the line by the one scan that
+    reads the files, so all later jobs see the same places, however they are cut into tasks.
+    """
+    return spool(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                              F.col("_metadata.file_block_start").alias("block_start"),
+                                              F.monotonically_increasing_id().alias("place")), "text-lines")
+
+
+def _with_header(lines: DataFrame) -> DataFrame:
+    """Each data line's cells next to the names in its own file's header: file, names, cells. Blank lines are left out.
+
+    The header is the first line of a file that is not blank; each task offers one line per file ahead of the shuffle.
+    """
+    filled = lines.where(F.trim("value") != "")
+    heads = filled.groupBy("file").agg(F.min(F.struct("block_start", "place", "value")).alias("head"))
+    names = F.transform(_cells(F.col("head.value")), lambda c: F.upper(F.regexp_replace(c, r"^[\s\ufeff]+|[\s\ufeff]+$", "")))
+    heads = heads.select("file", F.col("head.place").alias("header_place"), names.alias("names"))
+    return filled.join(heads, "file").where("place <> header_place").select("file", "names", _cells(F.col("value")).alias("cells"))
+
 
+def _backtest_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per line and system of the line's file, as text: file, date, system, equity."""
+    rows = _with_header(stored_lines(spark, path))
+    at = F.array_position("names", "DATE").cast("int")
+    missing = F.raise_error(F.concat(F.lit("no column DATE in "), F.col("file"))).cast("string")
+    date = F.when(at == 0, missing).otherwise(F.get("cells", at - 1))
+    systems = F.filter(F.arrays_zip("names", "cells"), lambda c: c["names"] != "DATE")
+    return (rows.select("file", date.alias("date"), F.inline(systems))
+            .select("file", "date", F.col("names").alias("system"), F.trim("cells").alias("equity")))
 
-def load_backtest(spark: SparkSession, path: str) -> DataFrame:
-    """Backtest equity, one column per system in the file, as rows: date, system, equity."""
+
+def load_backtest(spark: SparkSession, path: str | list[str], on_bad: str = "raise") -> DataFrame:
+    """Backtest equity, one column per system in the file, as rows: date, system, equity.
+
+    Each file is read by its own header, so files of one load may hold other systems, or the same in another order. A blank
+    cell is NULL; a date or number that does not parse is an error, or NULL with ``on_bad="null"``.
+    """
+    cells = _backtest_cells(spark, path)
+    return cells.select(typed(F.col("date"), T.DateType(), on_bad).alias("date"), "system",
+                        typed(F.col("equity"), T.DoubleType(), on_bad).alias("equity"))
+
+
+class Checked(NamedTuple):
+    """A load that sets bad rows aside: the good rows, the bad ones, and the counts seen by the scan that parted them.
+
+    ``rejected`` has file, bad (names of the columns that do not parse) and cells (column -> text). ``counts`` has rows,
+    rejected, and bad_<column> for each column.
+    """
+    accepted: DataFrame
+    rejected: DataFrame
+    counts: dict[str, int]
+
+
+def _check(texts: DataFrame, wanted: T.StructType, label: str) -> Checked:
+    """Part rows of text cells (and ``file``) into those whose cells all parse and the others, in one pass.
+
+    Both go into one stored table with a folder for each, and the counts are observed while it is written. Blank cells
+    are NULL and not bad.
+    """
+    parsed = {f.name: _parsed(F.col(f.name), f.dataType) for f in wanted}
+    wrong = {n: F.coalesce(c.isNull() & (F.trim(n) != ""), F.lit(False)) for n, c in parsed.items()}
+    cells = F.create_map(*[x for n in parsed for x in (F.lit(n), F.col(n))])
+    rows = texts.select("file", F.array_compact(F.array(*[F.when(w, F.lit(n)) for n, w in wrong.items()])).alias("bad"),
+                        cells.alias("cells"), F.struct(*[c.alias(n) for n, c in parsed.items()]).alias("row"))
+    rows = rows.withColumn("is_rejected", F.size("bad") > 0)
+    rows = rows.withColumns({"cells": F.when(F.col("is_rejected"), F.col("cells")), "row": F.when(~F.col("is_rejected"), F.col("row"))})
+    seen = Observation(label)
+    counted = [F.count_if(F.array_contains("bad", n)).alias(f"bad_{n}") for n in parsed]
+    path = fresh_path(texts.sparkSession, label)
+    (rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("is_rejected").alias("rejected"), *counted)
+     .write.partitionBy("is_rejected").parquet(path))
+    stored = texts.sparkSession.read.schema(rows.schema).parquet(path)
+    return Checked(stored.where("not is_rejected").select("row.*"), stored.where("is_rejected").select("file", "bad", "cells"), seen.get)
+
+
+def load_backtest_checked(spark: SparkSession, path: str | list[str]) -> Checked:
+    """``load_backtest`` with the cells that do not parse set aside and counted, one row per cell."""
+    return _check(_backtest_cells(spark, path), schemas.BACKTEST, "backtest-checked")
+
+
+def load_trades_checked(spark: SparkSession, path: str) -> Checked:
+    """``load_trades`` with the lines that do not parse set aside and counted."""
     raw = _read_text_columns(spark, path)
-    systems = [c for c in raw.columns if c != "DATE"]
-    wide = raw.select(parse_day_first(F.col("DATE")).alias("date"),
-                      *[F.trim(f"`{s}`").try_cast("double").alias(s) for s in systems])
-    return wide.unpivot("date", [F.col(f"`{s}`") for s in systems], "system", "equity")
+    source = _trade_columns(raw, path)
+    return _check(raw.select(F.input_file_name().alias("file"), *[c.alias(n) for n, c in source.items()]), schemas.TRADES, "trades-checked")
 
 
 def backtest_systems(backtest: DataFrame) -> DataFrame:
@@ -142,7 +228,7 @@ def _blocks(heads: DataFrame) -> DataFrame:
     field = F.upper(F.trim("head.field"))
     titled = columns.select("file", "places", "cell", field.alias("field"), F.col("head.day").alias("day")).where(
         F.col("field").isin(list(_OPEN_FIELDS)) | F.col("field").isNull())
-    titled = titled.withColumn("date", _typed(F.col("day"), T.DateType(), "raise"))
+    titled = titled.withColumn("date", typed(F.col("day"), T.DateType(), "raise"))
     placed = [F.min(F.when(F.col("field") == f, F.col("cell"))).alias(f"at_{n}") for f, n in _OPEN_FIELDS.items()]
     dated = titled.groupBy("file", "places", "date").agg(*placed)
     for f, n in _OPEN_FIELDS.items():
@@ -160,14 +246,12 @@ def load_open_pl(spark: SparkSession, path: str | list[str], on_bad: str = "rais
 
     Works on any number of files, each with its own three header lines and date blocks. A file is one small row
     with an array of blocks, joined to its lines, which takes the place of a loop over files and dates; blank
-    blocks of a line are dropped before the others become rows. The header lines are left out by their place.
+    blocks of a line are dropped before the others become rows. The header lines are left out by their stored place.
     Blank numbers become 0 and a blank action becomes long; blank text stays NULL. Numbers that do not parse are an
     error, or count as blank with ``on_bad="null"``.
     """
     names = list(_OPEN_FIELDS.values())
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
-                                         F.col("_metadata.file_block_start").alias("block_start"),
-                                         F.monotonically_increasing_id().alias("place"))
+    lines = stored_lines(spark, path)
     parsed = lines.select("file", "place", _cells(F.col("value")).alias("cells"))
     blocks = spool(_blocks(_heads(lines)), "open-pl-blocks")
     positions = F.transform("blocks", lambda b: F.struct(
@@ -178,6 +262,6 @@ def load_open_pl(spark: SparkSession, path: str | list[str], on_bad: str = "rais
     raw = raw.select("date", *[text.get(n, F.col(n)).alias(n) for n in names])
     defaults = {"action": F.lit(_DEFAULT_ACTION), "entry_price": F.lit(0.0), "qty": F.lit(0),
                 "closing_price": F.lit(0.0), "pl": F.lit(0).cast(schemas.MONEY)}
-    typed = {f.name: _typed(F.col(f.name), f.dataType, on_bad) for f in schemas.OPEN_PL if f.name != "date"}
+    columns = {f.name: typed(F.col(f.name), f.dataType, on_bad) for f in schemas.OPEN_PL if f.name != "date"}
     return raw.select("date", *[(F.coalesce(c, defaults[n]) if n in defaults else c).alias(n)
-                                for n, c in typed.items()])
+                                for n, c in columns.items()])
