@@ -70,8 +70,8 @@ def test_chunks_meet_pairwise(spark, monkeypatch):
 
 def test_groups_of_a_hot_label_are_bounded(spark, monkeypatch):
     """One label whose cells hold nearly all of it: no group has more than two chunks, and small labels are not cut."""
-    def limited(similarity, blocks, compare=E._compare):
-        own = compare(similarity, blocks)
+    def limited(similarity, blocks, narrow, compare=E._compare):
+        own = compare(similarity, blocks, narrow)
 
         def limit(key, rows):
             assert rows.num_rows <= 2 * 50 * 1.5, rows.num_rows  # classes are dealt to chunks by hash
@@ -87,6 +87,25 @@ def test_groups_of_a_hot_label_are_bounded(spark, monkeypatch):
     check(spark, rows + [(i + 10_000, v, 2) for i, v, _ in rows[:40]])
 
 
+@pytest.mark.parametrize("element", ["double", "float"])
+def test_pairs_on_the_threshold(spark, element):
+    """Cosines of exactly 0.93 link, the next smaller ones do not."""
+    rng, rows = random.Random(6), []
+    for k in range(200):
+        v, places = [0.0] * 32, rng.sample(range(32), 6)
+        for place, x in zip(places, (93, 36, 7, 2, 1, 1)):
+            v[place] = float(x)
+        axis = [0.0] * 32
+        axis[places[0]] = rng.choice([1.0, 2.0, 0.5])
+        below = v.copy()
+        below[places[1]] += 1e-4  # in double precision as in single: a cosine just below
+        rows += [(3 * k, v, k), (3 * k + 1, axis, k), (3 * k + 2, below, k + 1000), (1000 + 3 * k, axis, k + 1000)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{element}>, label int")
+    got = {r.vec_id: r.n_links for r in near_duplicate_vectors(df).collect()}
+    assert [got[3 * k] for k in range(200)] == [got[3 * k + 1] for k in range(200)] == [1] * 200
+    assert [got[3 * k + 2] for k in range(200)] == [0] * 200
+
+
 def test_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     v = [0.6, 0.8, 0.0]

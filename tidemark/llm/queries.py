@@ -109,6 +109,18 @@ QUERIES = {f.__name__: f for f in (
 
 #: DuckDB SQL of the operators that it can express in full.
 ORACLES: dict[str, str] = {
+    "op9_embedding_near_dedup": """
+        with recursive r as (
+            select vec_id, label, [x::double for x in embedding] as v from embeddings
+            where vec_id is not null and label is not null and embedding is not null
+              and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0),
+        links as (
+            select a.vec_id as a, b.vec_id as b from r a join r b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+            where list_cosine_similarity(a.v, b.v) >= 0.93),
+        reach(a, b) as (select vec_id, vec_id from r union select reach.a, links.b from reach join links on reach.b = links.a)
+        select e.vec_id, coalesce(n, 0) as n_links, coalesce(c, e.vec_id) as component_id, coalesce(c, e.vec_id) = e.vec_id as kept
+        from embeddings e left join (select a, count(*) as n from links group by a) k on k.a = e.vec_id
+             left join (select a, min(b) as c from reach group by a) m on m.a = e.vec_id""",
     "op13_hard_negatives": """
         with r as (
             select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
