@@ -115,3 +115,10 @@ def test_correlation_of_parts(spark, monkeypatch, gaps, block):
         assert got[pair] is None if c is None else got[pair] == pytest.approx(c, abs=1e-9), pair
     again = {(r.system_a, r.system_b): r.corr for r in tm.correlation_of(tm.merge_states(tm.merge_states(*states[:2]), *states[2:])).collect()}
     assert again.keys() == got.keys() and all(again[p] == pytest.approx(c, abs=1e-9) if c is not None else again[p] is None for p, c in got.items())
+
+
+def test_two_values_on_one_date_are_an_error(spark):
+    series = frame(spark, 7, days=5, systems=2)
+    for f in (tm.system_correlation, tm.correlation_state):
+        with pytest.raises(Exception, match="two values on one date of system S1"):
+            f(series.unionByName(series.where("system = 'S1'"))).collect()

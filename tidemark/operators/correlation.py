@@ -23,7 +23,11 @@ def centred_vectors(series: DataFrame, value: str) -> DataFrame:
     known = series.where(x.isNotNull() & ~F.isnan(x))
     mean = F.avg(x).over(W.partitionBy("system"))
     centred = known.select("system", F.unix_date("date").alias("day"), (x - mean).alias("x"), mean.alias("mean"))
-    points = centred.groupBy("system").agg(F.array_sort(F.collect_list(F.struct("day", "x"))).alias("points"), F.max("mean").alias("mean"))
+    sorted_points = F.array_sort(F.collect_list(F.struct("day", "x")))
+    twice = F.raise_error(F.concat(F.lit("two values on one date of system "), F.col("system"))).cast("array<struct<day:int,x:double>>")
+    points = centred.groupBy("system").agg(sorted_points.alias("points"), F.max("mean").alias("mean"))
+    once = F.size(F.array_distinct("points.day")) == F.size("points")
+    points = points.withColumn("points", F.when(once, F.col("points")).otherwise(twice))
     every = series.select("system").distinct().join(points, "system", "left")
     return every.select("system", F.col("points.day").alias("day"), F.col("points.x").alias("x"), "mean")
 
@@ -71,8 +75,8 @@ def system_correlation(equity_abs: DataFrame, value: str = "equity") -> DataFram
     """Pearson correlation of every two systems: system_a, system_b, corr.
 
     Both orders and the diagonal are returned, as in a matrix. A constant series gives NULL
-    throughout, its diagonal included. Two systems are compared on the dates on which both have a value; a
-    date may occur once per system.
+    throughout, its diagonal included. Two systems are compared on the dates on which both have a value; two
+    values of a system on one date are an error.
 
     Systems are hashed into blocks of about ``SYSTEMS_PER_BLOCK``; each pair of blocks is one
     group whose size is bounded by block size x dates, and one matrix product computes it. The
@@ -160,6 +164,20 @@ def _rolling_sums(lookback: int):
     return roll
 
 
+def _squares_of_sums(lookback: int):
+    """The function that adds the parts of each date of a stretch: one row per date and part comes in, whatever the systems."""
+
+    def total(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("day")
+        day, first = np.unique(rows.column("day").to_numpy(), return_index=True)
+        z = rows.column("z").combine_chunks().flatten().to_numpy().reshape(-1, lookback)
+        sums = np.add.reduceat(z, first, axis=0)
+        return pa.table({"day": pa.array(day, pa.int32()), "n": np.add.reduceat(rows.column("systems").to_numpy(), first),
+                         "squares": (sums * sums).sum(axis=1)})
+
+    return total
+
+
 def rolling_dd_correlation(dd: DataFrame, lookback: int = 60, inactive: Iterable[str] = (),
                            value: str = "dd_pct") -> DataFrame:
     """Combined rolling correlation of all drawdown curves: date, combined_corr.
@@ -173,7 +191,7 @@ def rolling_dd_correlation(dd: DataFrame, lookback: int = 60, inactive: Iterable
     over the window of the squared sum over systems, so the work grows with the number of systems, not its square.
     Curves are cut into chunks of ``ROWS_PER_CHUNK`` rows that overlap by the lookback, so every window lies whole in
     one chunk; the systems of a chunk are dealt to ``PARTS`` parts, each read as a sorted stream. Ahead of the second shuffle
-    a part is one row per date, whatever its systems.
+    a part is one row per date, whatever its systems; there the parts of a date are added.
     """
     whole = W.partitionBy("system")
     row_no = F.row_number().over(whole.orderBy("date")) - 1
@@ -189,10 +207,9 @@ def rolling_dd_correlation(dd: DataFrame, lookback: int = 60, inactive: Iterable
     sums = (rows.select(*keys, "day", "x", (F.col("home") == F.col("chunk")).alias("own"))
             .repartition("chunk", "part").sortWithinPartitions(*keys)
             .mapInArrow(_rolling_sums(lookback), "day int, systems long, z array<double>"))
-    slots = [F.sum(F.get("z", F.lit(i))) for i in range(lookback)]
-    per_date = sums.groupBy("day").agg(F.sum("systems").alias("n"), F.array(*slots).alias("z"))
-    squares = F.aggregate("z", F.lit(0.0), lambda total, z: total + z * z)
+    per_date = (sums.groupBy(F.floor(F.col("day") / ROWS_PER_CHUNK).alias("days"))
+                .applyInArrow(_squares_of_sums(lookback), "day int, n long, squares double"))
     n = F.col("n")
-    return (per_date.select(F.date_from_unix_date("day").alias("date"), ((squares / lookback - n) / (2 * n)).alias("combined_corr"),
+    return (per_date.select(F.date_from_unix_date("day").alias("date"), ((F.col("squares") / lookback - n) / (2 * n)).alias("combined_corr"),
                             F.row_number().over(W.orderBy("day")).alias("row_no"))
             .where(F.col("row_no") > lookback).drop("row_no"))
