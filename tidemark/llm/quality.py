@@ -6,23 +6,27 @@ text and combined into one probability. Besides the byte itself, a position tell
 bytes occurred in the chunk before, which no filter of fixed weights could compare.
 
 Defined results: null and empty texts are one chunk of padding. Without labels of both kinds every score
-is the share of good labels, 0.5 without any. Equal texts get equal scores. Other columns are kept.
+is the share of good labels, 0.5 without any, and an empty table gives no rows. Texts of any length are read whole, in
+training as in scoring. Equal texts get equal scores. Other columns are kept.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import PIECE_BYTES, map_arrow, pieces_of, text_bytes
+from tidemark.llm.common import PIECE_BYTES, map_arrow, pieces_of, ship, text_bytes
 
 #: Bytes of a chunk, bytes from one chunk to the next, filters, filter width, bytes between filter places.
 CHUNK, STEP, FILTERS, WIDTH, STRIDE = 512, 448, 12, 7, 2
-#: Bounds of the fit: labelled rows, and chunks kept of each (evenly spaced over the whole text).
-MAX_EXAMPLES, MAX_CHUNKS = 4_000, 4
+#: Bound of the fit: labelled rows, each read whole.
+MAX_EXAMPLES = 4_000
+#: Chunks that go through the filters at a time.
+_TOGETHER = 512
 #: The same work whatever the sample: steps of gradient descent, and rows of each.
 STEPS, BATCH, EMBED, SEED = 500, 48, 6, 7
 PAD, RECUR = 256, 8
@@ -106,7 +110,8 @@ class ByteNet:
             own = np.concatenate([np.arange(first[r], first[r + 1]) for r in rows])
             group = np.repeat(np.arange(BATCH), count[rows])
             c, a = chunks[own], again[own]
-            pooled, at = self.respond(c, a)
+            answers = [self.respond(c[i:i + _TOGETHER], a[i:i + _TOGETHER]) for i in range(0, len(c), _TOGETHER)]
+            pooled, at = (np.concatenate(x) for x in zip(*answers))
             share = (1 / count[rows])[group][:, None]
             mean = np.zeros((BATCH, FILTERS))
             np.add.at(mean, group, pooled * share)
@@ -131,32 +136,31 @@ class ByteNet:
 
 
 def fit_quality(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_EXAMPLES, steps: int = STEPS) -> ByteNet:
-    """Learn from documents (doc_id, text) and labels (doc_id, label 0/1).
+    """Learn from documents (doc_id, text) and labels (doc_id, label 0/1), at most ``max_examples`` of them, each whole.
 
-    The driver gets at most ``max_examples`` rows of ``MAX_CHUNKS`` chunks (8 MB) and trains on them.
+    One task gets the sample and trains; the driver gets the few kilobytes of the network.
     """
     ids = (labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples))
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most max_examples small rows
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces_of(batch):
-                chunks, first = chunks_of(*text_bytes(piece.column("text")))
-                rows = []
-                for s, e in zip(first[:-1], first[1:]):
-                    at = np.unique(np.linspace(s, e - 1, min(MAX_CHUNKS, e - s)).round().astype(int))
-                    rows.append(chunks[at].astype("<i2").tobytes())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), piece.column("label").cast(pa.int32()),
-                                                  pa.array(rows, pa.binary())], ["doc_id", "label", "chunks"])
-
-    rows = sorted(tuple(r) for r in map_arrow(sample, cut, "doc_id long, label int, chunks binary").collect())
-    net, good = ByteNet(), sum(r[1] for r in rows)
-    if not 0 < good < len(rows):
-        net.constant = good / len(rows) if rows else 0.5
-        return net
-    parts = [np.frombuffer(r[2], "<i2").reshape(-1, CHUNK) for r in rows]
-    net.fit(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), np.array([r[1] for r in rows], float), steps)
+    sample = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")  # max_examples small rows
+
+    def train(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
+        labels, net = rows.column("label").to_numpy().astype(float), ByteNet()
+        if 0 < labels.sum() < len(labels):
+            parts = [chunks_of(*text_bytes(piece.column("text"))) for batch in rows.to_batches() for piece in pieces_of(batch)]
+            count = np.concatenate([np.diff(first) for _, first in parts])
+            net.fit(np.concatenate([chunks for chunks, _ in parts]), np.concatenate([[0], np.cumsum(count)]), labels, steps)
+        else:
+            net.constant = float(labels.mean())
+        return pa.table({"net": pa.array([pickle.dumps(net)], pa.binary())})
+
+    ship(docs.sparkSession)
+    fitted = sample.groupBy(F.lit(0)).applyInArrow(train, "net binary").first()  # max_examples rows in one group
+    if fitted:
+        return pickle.loads(bytes(fitted["net"]))
+    net = ByteNet()
+    net.constant = 0.5
     return net
 
 

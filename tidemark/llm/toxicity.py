@@ -6,26 +6,30 @@ their TF-IDF: by plain TF-IDF a few toxic words would be lost among the many oth
 
 Defined results: texts without a word of an example have cosine 0 with all; they get the rate of toxic examples
 among examples without a word. Without labels of both kinds every score is the share of toxic
-labels, 0.5 without any. Examples with equal vectors count as one neighbour with the votes of all;
+labels, 0.5 without any, and an empty table gives no rows. Texts of any length are read whole, a few at a time. Examples with equal vectors count as one neighbour with the votes of all;
 equal cosines go to the smaller example number. Repeated rows get equal scores. Other columns are kept.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
 from collections.abc import Collection, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.common import arrow_type, map_arrow, spool
+from tidemark.llm.common import arrow_type, map_arrow, pieces_of, spool
 
-#: Bounds of the fit: labelled rows, which bound the index sent to the tasks, and terms that are boosted.
-MAX_EXAMPLES, MAX_TERMS = 12_000, 1_024
+#: Bound of the fit: labelled rows, which bound the index that the tasks load.
+MAX_EXAMPLES = 12_000
+#: Bytes of a piece of the stored index.
+PIECE = 1 << 24
 #: Terms in at least this many examples are tested against the label by their likelihood ratio; those boosted
 #: would hold this many that have nothing to do with it. They are toxic this many times as often as all.
 MIN_EXAMPLES, CHANCE_TERMS, LEAST_LIFT = 4, 0.5, 2.0
@@ -232,9 +236,9 @@ def _sample(docs: DataFrame, labelled: DataFrame, max_examples: int) -> DataFram
     drawn = drawn.groupBy("text", "label").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text", "label")
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = pa.array([_sketch(t) for t in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "sketch"])
+        for piece in (p for batch in batches for p in pieces_of(batch)):
+            keys = pa.array([_sketch(t) for t in piece.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*piece.columns, keys], [*piece.schema.names, "sketch"])
 
     drawn = spool(map_arrow(drawn, sketches, T.StructType([*drawn.schema, T.StructField("sketch", T.LongType())])), "examples")
     first = drawn.groupBy("sketch", "label").agg(F.min(F.struct("doc_id", "text")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -250,15 +254,28 @@ def _sample(docs: DataFrame, labelled: DataFrame, max_examples: int) -> DataFram
     return spool(map_arrow(pairs, verified, T.StructType(drawn.schema.fields[:3])), "distinct-examples")
 
 
-def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS,
-                 neighbours: int = NEIGHBOURS) -> ToxicityModel:
-    """Learn from documents (doc_id, text) and labels (doc_id, label 0/1), at most ``max_examples`` of them."""
+class FittedToxicity(NamedTuple):
+    """A model as it is sent to the tasks: its bytes, the weights of its telling terms, and whether it knows any term."""
+    data: bytes
+    telling: dict[str, float]
+    terms: bool
+
+
+def _stored(model: ToxicityModel) -> FittedToxicity:
+    return FittedToxicity(pickle.dumps(model), dict.fromkeys(model.telling, 0.0), bool(model.terms))
+
+
+def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS) -> FittedToxicity:
+    """Learn from documents (doc_id, text) and labels (doc_id, label 0/1), at most ``max_examples`` of them.
+
+    The index is built by one task from the sample, whose rows are bounded; the driver only passes its bytes on.
+    """
     sample = _sample(docs, labelled, max_examples)
     n, pos = sample.agg(F.count("*"), F.sum("label")).first()
     pos = pos or 0
     prior = pos / n if n else 0.5
     if not 0 < pos < n:
-        return ToxicityModel({}, [], prior, neighbours)
+        return _stored(ToxicityModel({}, [], prior, neighbours))
     counted = map_arrow(sample, _term_counts, "term string, pos long, n long").groupBy("term").agg(
         F.sum("pos").alias("pos"), F.sum("n").alias("n")).where(F.col("n") >= MIN_EXAMPLES)
     counted = spool(counted, "terms")
@@ -272,7 +289,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_E
     ratio = 2 * (part(toxic, with_ * prior) + part(with_ - toxic, with_ * (1 - prior))
                  + part(pos - toxic, (n - with_) * prior) + part((n - pos) - (with_ - toxic), (n - with_) * (1 - prior)))
     kept = (counted.withColumn("ratio", ratio).where((F.col("ratio") >= 2 * math.log(max(tested, 1) / CHANCE_TERMS)) & (toxic >= LEAST_LIFT * prior * with_))
-            .orderBy(F.desc("ratio"), "term").limit(max_terms).collect())
+            .orderBy(F.desc("ratio"), "term").collect())  # terms of the sample that tell more than chance
     # a term that may tell by chance only gets less than the one that tells most
     telling = {r["term"]: (math.log((1 + n) / (1 + r["n"])) + 1e-6) * math.sqrt(r["ratio"] / kept[0]["ratio"]) for r in kept}
 
@@ -281,13 +298,21 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_E
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Counter(words_of(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int32()),
-                                              pa.array([list(f) for f in found], out.field(2).type),
-                                              pa.array([list(f.values()) for f in found], out.field(3).type)], schema=out)
+            for piece in pieces_of(batch):
+                found = [Counter(words_of(t)) for t in piece.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), piece.column("label").cast(pa.int32()),
+                                                  pa.array([list(f) for f in found], out.field(2).type),
+                                                  pa.array([list(f.values()) for f in found], out.field(3).type)], schema=out)
+
+    def build(rows: pa.Table) -> pa.Table:
+        model = ToxicityModel(telling, _Examples(rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])), prior, neighbours)
+        data = pickle.dumps(model)
+        pieces = [data[i:i + PIECE] for i in range(0, len(data), PIECE)]
+        return pa.table({"piece": pa.array(range(len(pieces)), pa.int32()), "data": pa.array(pieces, pa.binary())})
 
-    rows = map_arrow(sample, words, shape).toArrow()  # max_examples rows
-    return ToxicityModel(telling, _Examples(rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])), prior, neighbours)
+    built = map_arrow(sample, words, shape).groupBy(F.lit(0)).applyInArrow(build, "piece int, data binary")  # max_examples rows
+    pieces = spool(built, "toxicity-index").orderBy("piece").toLocalIterator()
+    return FittedToxicity(b"".join(bytes(r["data"]) for r in pieces), telling, True)
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +323,8 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([pos[t] for t in n], pa.int64()),
                                            pa.array(list(n.values()), pa.int64())], ["term", "pos", "n"])
 
-    for batch in batches:
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
+    for piece in (p for batch in batches for p in pieces_of(batch)):
+        for text, label in zip(piece.column("text").to_pylist(), piece.column("label").to_pylist()):
             found = {t for w in set(words_of(text)) for t in terms_of(w)}
             n.update(found)
             if label:
@@ -310,21 +335,34 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, into: tuple[str, str, str] = ("score", "top_cosine", "evidence")) -> DataFrame:
+#: The last model of this worker process, by the hash of its bytes: further tasks need not load it again.
+_LOADED: dict[int, ToxicityModel] = {}
+
+
+def _loaded(data: bytes) -> ToxicityModel:
+    key = zlib.crc32(data)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = pickle.loads(data)
+    return _LOADED[key]
+
+
+def score_toxicity(docs: DataFrame, model: FittedToxicity, into: tuple[str, str, str] = ("score", "top_cosine", "evidence")) -> DataFrame:
     """The documents with three more columns: a score from 0 to 1, the best cosine, and the nearest examples' doc_ids.
 
     One pass without a shuffle; the model has a bounded size and is sent to the executors once.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model.data)
     names = [*docs.columns, *into]
     schema = T.StructType([*docs.schema, *(T.StructField(n, t) for n, t in zip(into, (T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType()))))])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = _loaded(sent.value)
         for batch in batches:
-            found = list(model.judge(batch.column("text").to_pylist()))
-            extra = [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()),
-                     pa.array([f[2] for f in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names)
+            for piece in pieces_of(batch):
+                found = list(model.judge(piece.column("text").to_pylist()))
+                extra = [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()),
+                         pa.array([f[2] for f in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*piece.columns, *extra], names)
 
     return map_arrow(docs, judge, schema)

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import map_arrow
+from tidemark.llm.common import map_arrow, spool
 
 #: A mined rule needs this share of the listed urls, this share of blocked ones among those it fits, and
-#: at most this many tokens; the best ``MAX_RULES`` are kept, which bounds what is sent to the tasks.
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS, MAX_RULES = 0.005, 0.8, 3, 5_000
+#: at most this many tokens. Support bounds the rules, since each needs so many urls and a url has few sets of its tokens.
+MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 0.8, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,23 +66,26 @@ def tokens(url: Column) -> Column:
 
 
 def mine_rules(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
-               max_tokens: int = MAX_TOKENS, max_rules: int = MAX_RULES) -> list[tuple[tuple[str, ...], float, float]]:
-    """(tokens, confidence, support) of rules for "block" from rows (tokens, verdict), best first."""
+               max_tokens: int = MAX_TOKENS) -> list[tuple[tuple[str, ...], float, float]]:
+    """(tokens, confidence, support) of rules for "block" from rows (tokens, verdict), best first.
+
+    A rule adds nothing to one of part of its tokens with the same or higher confidence; such rules are removed in Spark, and
+    all others are kept.
+    """
     baskets = urls.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = (model.associationRules.where((F.col("consequent") == F.array(F.lit("=block"))) & (F.size("antecedent") <= max_tokens)
-                                          & ~F.array_contains("antecedent", "=allow"))
-             .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-             .orderBy(F.desc("confidence"), F.desc("support"), "tokens").limit(max_rules).collect())
-    found: list[tuple[tuple[str, ...], float, float]] = []
-    sets: set[tuple[str, ...]] = set()
-    for r in sorted(rules, key=lambda r: (-r[1], len(r[0]), -r[2], r[0])):
-        # a rule adds nothing to a shorter one of the same or higher confidence inside it
-        own = tuple(r[0])
-        if not any(tuple(t for t in own if t != x) in sets for x in own if len(own) > 1):
-            found.append((own, r[1], r[2]))
-        sets.add(own)
-    return found
+    rules = spool(model.associationRules.where((F.col("consequent") == F.array(F.lit("=block"))) & (F.size("antecedent") <= max_tokens)
+                                               & ~F.array_contains("antecedent", "=allow"))
+                  .select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
+    size = F.size("tokens")
+    # each part of a rule's tokens, by the bits of a number below 2 ** size - 1
+    numbered = rules.where(size > 1).select("tokens", "confidence", F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), size).cast("int") - 2)).alias("bits"))
+    part = F.filter("tokens", lambda t, i: F.col("bits").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0)
+    parts = numbered.select("tokens", "confidence", part.alias("part"))
+    shorter = rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("least"))
+    redundant = parts.join(shorter, "part").where("least >= confidence").select("tokens").distinct()
+    kept = rules.join(redundant, "tokens", "left_anti").collect()
+    return sorted(((tuple(r["tokens"]), r["confidence"], r["support"]) for r in kept), key=lambda r: (-r[1], len(r[0]), -r[2], r[0]))
 
 
 class RuleIndex:
