@@ -161,3 +161,18 @@ def test_held_out_accuracy(spark):
         for kind in (0, 1):
             own = [r.predicted == kind for r in rows if r.label == kind]
             assert sum(own) >= 0.93 * len(own) and len(own) > 50
+
+
+def test_telling_chunks_anywhere_in_a_long_text_are_learned_from(spark):
+    """Poor texts that differ from good ones only in a few places of many are told apart: training reads whole texts."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(240):
+        parts = [prose(rng, 60) for _ in range(8)]
+        if i % 2:
+            parts[rng.randrange(8)] = "$$ !! " * 60
+        rows.append((i, " ".join(parts), "en", "a"))
+    docs = frame(spark, rows).drop("label", "score")
+    net = fit_quality(docs, labelled(spark, [(i, 1 - i % 2) for i in range(160)]))
+    got = {r.doc_id: r.q for r in score_quality(docs, net, "q").collect()}
+    assert sum((got[i] >= 0.5) == (i % 2 == 0) for i in range(160, 240)) >= 74

@@ -84,3 +84,27 @@ def test_empty_table(spark):
 def test_awkward_rows_in_the_mix(spark):
     docs = frame(spark, awkward(random.Random(9)))
     assert {r.doc_id for r in mixed_documents(docs).collect()} <= {r.doc_id for r in docs.collect()}
+
+
+def test_rows_that_share_a_doc_id_have_their_own_decisions(spark):
+    """Sources of rows without doc_id, or of one doc_id, meet their targets in the mixed documents as others do."""
+    from tidemark.llm.mixing import mix, mixed_documents
+    rng = random.Random(21)
+    rows = [(rng.choice([None, 5]), prose(rng, rng.randrange(5, 40)), "en", s) for s in "ab" for _ in range(120)]
+    docs = frame(spark, rows)
+    targets = {r.source: r.target for r in mix(docs).select("source", "target").distinct().collect()}
+    got = {}
+    for r in mixed_documents(docs).collect():
+        got[r.source] = got.get(r.source, 0) + len(words(r.text))
+    assert got.keys() == targets.keys() and all(abs(got[s] - targets[s]) <= 1 for s in got)
+
+
+def test_the_edge_cell_is_narrow_whatever_the_quality(spark):
+    """A source of digits and signs, whose keys are all large, does not put most of its documents into one cell."""
+    from pyspark.sql import functions as F
+    from tidemark.llm import mixing as M
+    for quality in (M.LEAST_WEIGHT, 0.3, 1.0):
+        keys = spark.range(20_000).select(F.col("id").alias("doc_id"), F.col("id").alias("tie")).withColumn("k", M.sampling_key(11, F.lit(quality)))
+        spread = 2 - F.exp(-F.col("k")) - F.exp(-F.col("k") * M.LEAST_WEIGHT)
+        cell = F.least(F.floor(F.lit(M.KEY_CELLS / 2) * spread), F.lit(M.KEY_CELLS - 1))
+        assert keys.groupBy(cell).count().agg(F.max("count")).first()[0] < 20_000 * 0.005

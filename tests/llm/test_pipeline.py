@@ -57,6 +57,13 @@ def test_near_duplicates_leave_one_row_of_a_group(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(7, base), (0, base), (3, "alone"), (0, "")])
 
 
+def test_rows_that_share_a_doc_id_are_judged_by_their_texts(spark):
+    rng = random.Random(8)
+    a, b = prose(rng, 50), prose(rng, 50)
+    out = C.near_duplicates(spark, frame(spark, [(3, a, "en", "a"), (7, a, "en", "a"), (7, b, "en", "a")]), "")
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(3, a), (7, b)]
+
+
 def test_empty_tables(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")

@@ -156,7 +156,7 @@ def fit_quality(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_EX
         return pa.table({"net": pa.array([pickle.dumps(net)], pa.binary())})
 
     ship(docs.sparkSession)
-    fitted = sample.groupBy(F.lit(0)).applyInArrow(train, "net binary").first()  # max_examples rows in one group
+    fitted = sample.groupBy().applyInArrow(train, "net binary").first()  # max_examples rows in one group
     if fitted:
         return pickle.loads(bytes(fitted["net"]))
     net = ByteNet()

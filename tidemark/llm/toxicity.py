@@ -310,7 +310,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_E
         pieces = [data[i:i + PIECE] for i in range(0, len(data), PIECE)]
         return pa.table({"piece": pa.array(range(len(pieces)), pa.int32()), "data": pa.array(pieces, pa.binary())})
 
-    built = map_arrow(sample, words, shape).groupBy(F.lit(0)).applyInArrow(build, "piece int, data binary")  # max_examples rows
+    built = map_arrow(sample, words, shape).groupBy().applyInArrow(build, "piece int, data binary")  # max_examples rows
     pieces = spool(built, "toxicity-index").orderBy("piece").toLocalIterator()
     return FittedToxicity(b"".join(bytes(r["data"]) for r in pieces), telling, True)
 
