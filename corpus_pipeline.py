@@ -42,12 +42,16 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group of near copies, once.
 
-    Rows without doc_id stay. Of rows that share doc_id and text one stays.
+    A document is a row by its doc_id and text, so rows that share a doc_id and not the text are judged each by its own. Of rows
+    that share both one stays. Rows without doc_id stay.
     """
-    found = spool(jaccard_components(docs).where("doc_id is not null"), "kept")
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("n"))
-    key = F.col("doc_id").cast("long") == F.col("_kept")
-    once = docs.join(kept.select("_kept"), key, "left_semi")
+    known = docs.where("doc_id is not null")
+    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = spool(jaccard_components(known.select(row.alias("doc_id"), "text")), "kept")
+    rows = spool(known.groupBy(row.alias("_row")).agg(F.min(F.col("doc_id").cast("long")).alias("id"), F.count("*").alias("n")), "rows")
+    groups = rows.join(found.select(F.col("doc_id").alias("_row"), "component_id").distinct(), "_row")
+    kept = spool(groups.groupBy("component_id").agg(F.min(F.struct("id", "_row", "n")).alias("first")).select("first.*"), "kept-rows")
+    once = docs.join(kept.select("_row"), row == F.col("_row"), "left_semi").where("doc_id is not null")
     if not kept.where("n > 1").isEmpty():
         once = once.dropDuplicates(["doc_id", "text"])
     return once.union(docs.where("doc_id is null"))
