@@ -158,13 +158,30 @@ class ToxicityModel:
             g[0], g[1], g[2] = min(g[0], doc), g[1] + label, g[2] + 1
         _, pos, n = groups.pop((b"", b""), [0, 0, 0])
         self.none = (pos + prior) / (n + 1)
-        vectors = [(self.vector(np.frombuffer(i, np.int64), np.frombuffer(c, np.int64)), g) for (i, c), g in groups.items()]
+        vectors = [(np.frombuffer(i, np.int64), np.frombuffer(c, np.int64), g) for (i, c), g in groups.items()]
         # examples led by the same term share blocks, so that more blocks are ruled out by their bound
-        vectors.sort(key=lambda x: (int(x[0][0][np.argmax(x[0][1])]), x[1][0]))
-        self.doc = np.array([g[0] for _, g in vectors], np.int64)
-        self.pos = np.array([g[1] for _, g in vectors], float)
-        self.n = np.array([g[2] for _, g in vectors], float)
-        self.index = BlockMaxIndex([v for v, _ in vectors], len(self.idf))
+        vectors.sort(key=lambda x: (int(x[0][np.argmax(self.vector(x[0], x[1])[1])]), x[2][0]))
+        self.doc = np.array([g[0] for *_, g in vectors], np.int64)
+        self.pos = np.array([g[1] for *_, g in vectors], float)
+        self.n = np.array([g[2] for *_, g in vectors], float)
+        self.counted = [(i.astype(np.int32), c.astype(np.int32)) for i, c, _ in vectors]
+        self._index()
+
+    def _index(self) -> None:
+        self.index = BlockMaxIndex([self.vector(i, c) for i, c in self.counted], len(self.idf))
+
+    def __getstate__(self) -> dict:
+        """Terms and counts of the examples; the index is made from them where the model is loaded."""
+        own = {k: v for k, v in self.__dict__.items() if k not in ("index", "terms", "counted")}
+        ids, counts = (np.concatenate([v[side] for v in self.counted] or [np.zeros(0, np.int32)]) for side in (0, 1))
+        return own | {"words": "\n".join(self.terms), "ids": ids, "counts": counts, "ends": np.cumsum([len(i) for i, _ in self.counted])}
+
+    def __setstate__(self, state: dict) -> None:
+        words, ids, counts, ends = (state.pop(k) for k in ("words", "ids", "counts", "ends"))
+        self.__dict__.update(state)
+        self.terms = {w: i for i, w in enumerate(words.split("\n") if words else [])}
+        self.counted = list(zip(np.split(ids, ends[:-1]), np.split(counts, ends[:-1]))) if len(ends) else []
+        self._index()
 
     def features(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of the terms of a text, in order."""
@@ -255,14 +272,18 @@ def _sample(docs: DataFrame, labelled: DataFrame, max_examples: int) -> DataFram
 
 
 class FittedToxicity(NamedTuple):
-    """A model as it is sent to the tasks: its bytes, the weights of its telling terms, and whether it knows any term."""
+    """A model as it is sent to the tasks: its packed bytes, the weights of its telling terms, and whether it knows any term."""
     data: bytes
     telling: dict[str, float]
     terms: bool
 
 
+def _packed(model: ToxicityModel) -> bytes:
+    return zlib.compress(pickle.dumps(model), 3)
+
+
 def _stored(model: ToxicityModel) -> FittedToxicity:
-    return FittedToxicity(pickle.dumps(model), dict.fromkeys(model.telling, 0.0), bool(model.terms))
+    return FittedToxicity(_packed(model), dict.fromkeys(model.telling, 0.0), bool(model.terms))
 
 
 def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_EXAMPLES, neighbours: int = NEIGHBOURS) -> FittedToxicity:
@@ -306,7 +327,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_E
 
     def build(rows: pa.Table) -> pa.Table:
         model = ToxicityModel(telling, _Examples(rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])), prior, neighbours)
-        data = pickle.dumps(model)
+        data = _packed(model)
         pieces = [data[i:i + PIECE] for i in range(0, len(data), PIECE)]
         return pa.table({"piece": pa.array(range(len(pieces)), pa.int32()), "data": pa.array(pieces, pa.binary())})
 
@@ -343,7 +364,7 @@ def _loaded(data: bytes) -> ToxicityModel:
     key = zlib.crc32(data)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = pickle.loads(data)
+        _LOADED[key] = pickle.loads(zlib.decompress(data))
     return _LOADED[key]
 
 
