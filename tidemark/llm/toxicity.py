@@ -364,7 +364,8 @@ def _loaded(data: bytes) -> ToxicityModel:
     key = zlib.crc32(data)
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = pickle.loads(zlib.decompress(data))
+        _LOADED[key] = model = pickle.loads(zlib.decompress(data))
+        model.counted = []  # what the index was made from
     return _LOADED[key]
 
 
