@@ -19,7 +19,7 @@ large the label or the cell is.
 Defined results: rows link only if their labels are equal and not null. Vectors that are null, zero or
 hold null or non-finite components link with nothing, nor do rows without vec_id; vectors of different
 lengths never link. Rows of one vec_id link by their own vectors. Repeated rows are kept and count as
-other vectors. Other columns are not read.
+other vectors. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ class from the start, by a 64-bit hash of the set.
 Defined results: null and empty texts have no shingles and link with nothing; with fewer words than a
 shingle the whole sequence is one shingle. A row without doc_id links with nothing and has a null
 component_id. Rows of one doc_id with different texts link by their own text. Repeated rows are kept.
-Columns other than the id and the text are not read.
+Columns other than the id and the text are not read. An empty table gives no rows. Texts of any length are read whole, a few at a time.
 """
 
 from __future__ import annotations

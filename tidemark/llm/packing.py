@@ -6,7 +6,7 @@ fullest closes. Bins that a task leaves partly filled are packed once more as wh
 by fewer tasks, which brings the waste down to that of a few open bins.
 
 Defined results: null and empty texts are documents of the end id alone. Only documents longer than the
-capacity are cut. Rows of one doc_id are documents of their own. Other columns are not read. Which
+capacity are cut. Rows of one doc_id are documents of their own. An empty table gives no rows. Other columns are not read. Which
 sequence a piece goes to depends on the partitions of the input; the placement is written out once, so a
 lost executor cannot leave two versions of it.
 """

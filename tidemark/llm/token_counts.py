@@ -7,7 +7,8 @@ lets these rows through to the encoder without moving any text, and a join drops
 The new counts are appended to the cache, which is then joined to all rows.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens. Repeated rows are kept; equal texts are
-encoded once. Rows without doc_id are counted too. Other columns are not read. A count that a lost or
+encoded once. Rows without doc_id are counted too. Other columns are not read. An empty table gives no rows, and
+texts of any length are read whole. A count that a lost or
 repeated job has stored twice is read once.
 """
 

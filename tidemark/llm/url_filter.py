@@ -7,7 +7,8 @@ each is filed under its rarest token, so a url looks at the rules of its own tok
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no tokens, and is
 allowed. The longest listed rule wins. Without listed urls of a verdict there are no mined rules, and
-urls that the list leaves open are allowed. Repeated rows are kept. Other columns are not read.
+urls that the list leaves open are allowed. Repeated rows are kept. Other columns are not read. An empty table gives
+no rows, and urls of any length are read whole.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ parts of the runs with a tree of losers, so that the ranges together are one ord
 
 Defined results: null html is an empty payload, a null url an empty target. Pages without page_id are
 revisits if a page with an id has their payload, else responses. Rows of one page_id and payload are
-responses alike. Repeated rows are kept. Other columns are not read. Pages have no capture time, so it is
+responses alike. Repeated rows are kept. Other columns are not read. An empty table
+gives no rows, and a payload of any length is written whole. Pages have no capture time, so it is
 ``EPOCH`` plus page_id seconds.
 """
 
