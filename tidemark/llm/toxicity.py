@@ -12,6 +12,7 @@ equal cosines go to the smaller example number. Repeated rows get equal scores.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
 import re
@@ -38,6 +39,8 @@ NEIGHBOURS, BLOCK, STEMS = 15, 256, (4, 7)
 BOOST = 5.0
 #: Texts searched at a time; terms in more than one of so many examples are held densely; error allowed in single precision.
 _TOGETHER, _RARE, _SLACK = 64, 16, 1e-5
+#: Words whose terms, and texts whose scores, a task remembers.
+_REMEMBERED = 50_000
 #: Examples of a label whose shingles of so many words have this Jaccard similarity are copies.
 SHINGLE, COPY = 5, 0.75
 _WORD = re.compile(r"[^\W\d_]+")
@@ -103,7 +106,7 @@ class BlockMaxIndex:
         self._add(score, often, early)
         least = np.partition(score, kth, axis=1)[:, kth]  # some are yet without their frequent terms: it can only rise
         self._add(score, often, ~early & (bound >= least[:, None] - _SLACK))
-        return [self._best(*v, row, k) for v, row in zip(vectors, score)]
+        return [self._best(*v, row, k, low) for v, row, low in zip(vectors, score, least)]
 
     def _add(self, score: np.ndarray, often: np.ndarray, wanted: np.ndarray) -> None:
         """The frequent terms' part of the wanted blocks."""
@@ -112,9 +115,11 @@ class BlockMaxIndex:
             if len(rows):
                 score[rows, first:first + self.block] += often[rows] @ self.dense[:, first:first + self.block]
 
-    def _best(self, terms: np.ndarray, weights: np.ndarray, score: np.ndarray, k: int) -> list[tuple[float, int]]:
-        kth = max(self.size - k, 0)
-        at = np.flatnonzero((score >= np.partition(score, kth)[kth] - _SLACK) & (score > 0))
+    def _best(self, terms: np.ndarray, weights: np.ndarray, score: np.ndarray, k: int, low: float) -> list[tuple[float, int]]:
+        """``low`` is at most the k-th best score, so the best are among the few that reach it."""
+        at = np.flatnonzero((score >= low - _SLACK) & (score > 0))
+        if len(at) > k:
+            at = at[score[at] >= np.partition(score[at], len(at) - k)[len(at) - k] - _SLACK]
         if not len(at):
             return []
         many = self.first[at + 1] - self.first[at]
@@ -151,6 +156,7 @@ class ToxicityModel:
         self.telling = {t: len(self.terms) + i for i, t in enumerate(telling)}
         self.idf = np.array([math.log((1 + len(examples)) / (1 + seen[w])) + 1e-6 for w in self.terms] + [BOOST * v for v in telling.values()])
         self._starts = {t.rstrip("*")[:4] for t in telling}
+        self._seen: dict[str, tuple[int, ...]] = {}
         groups: dict[tuple, list] = {}
         for doc, label, words in examples:
             ids, counts = self.features(words)
@@ -172,31 +178,39 @@ class ToxicityModel:
 
     def __getstate__(self) -> dict:
         """Terms and counts of the examples; the index is made from them where the model is loaded."""
-        own = {k: v for k, v in self.__dict__.items() if k not in ("index", "terms", "counted")}
+        own = {k: v for k, v in self.__dict__.items() if k not in ("index", "terms", "counted", "_seen")}
         ids, counts = (np.concatenate([v[side] for v in self.counted] or [np.zeros(0, np.int32)]) for side in (0, 1))
         return own | {"words": "\n".join(self.terms), "ids": ids, "counts": counts, "ends": np.cumsum([len(i) for i, _ in self.counted])}
 
     def __setstate__(self, state: dict) -> None:
         words, ids, counts, ends = (state.pop(k) for k in ("words", "ids", "counts", "ends"))
         self.__dict__.update(state)
+        self._seen = {}
         self.terms = {w: i for i, w in enumerate(words.split("\n") if words else [])}
         self.counted = list(zip(np.split(ids, ends[:-1]), np.split(counts, ends[:-1]))) if len(ends) else []
         self._index()
 
     def features(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of the terms of a text, in order."""
-        found: Counter = Counter()
+        found: dict[int, int] = {}
         for word, n in words.items():
-            if (at := self.terms.get(word)) is not None:
-                found[at] += n
-            if word[:4] in self._starts:
-                for term in terms_of(word):
-                    if (at := self.telling.get(term)) is not None:
-                        found[at] += n
+            for at in self._terms(word):
+                found[at] = found.get(at, 0) + n
         ids, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
         order = np.argsort(ids)
         return ids[order], counts[order]
 
+    def _terms(self, word: str) -> tuple[int, ...]:
+        """Numbers of a word's terms, remembered for the words seen last."""
+        own = self._seen.get(word)
+        if own is None:
+            telling = terms_of(word) if word[:4] in self._starts else ()
+            own = tuple(at for at in (self.terms.get(word), *map(self.telling.get, telling)) if at is not None)
+            if len(self._seen) >= _REMEMBERED:
+                self._seen.clear()
+            self._seen[word] = own
+        return own
+
     def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of the terms, at length one."""
         w = counts * self.idf[ids]
@@ -379,10 +393,16 @@ def score_toxicity(docs: DataFrame, model: FittedToxicity, into: tuple[str, str,
     schema = T.StructType([*docs.schema, *(T.StructField(n, t) for n, t in zip(into, (T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType()))))])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _loaded(sent.value)
+        model, scored = _loaded(sent.value), {}  # equal texts have equal scores
         for batch in batches:
             for piece in pieces_of(batch):
-                found = list(model.judge(piece.column("text").to_pylist()))
+                texts = piece.column("text").to_pylist()
+                keys = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
+                if len(scored) > _REMEMBERED:
+                    scored.clear()
+                new = {k: t for k, t in zip(keys, texts) if k not in scored}
+                scored.update(zip(new, model.judge(list(new.values()))))
+                found = [scored[k] for k in keys]
                 extra = [pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.float64()),
                          pa.array([f[2] for f in found], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *extra], names)
