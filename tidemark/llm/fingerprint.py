@@ -30,8 +30,9 @@ from tidemark.llm.common import bucketed as stored_in_buckets, partitions, spool
 
 #: Paragraphs: no line break or sentence end inside, at most 200 characters.
 PARAGRAPH = r"[^\n.!?]{1,200}"
-#: Digests of a page at most on average, cells of each of its tables, rounds of peeling in a try.
-PAGE, CELLS, ROUNDS = 32, 64, 9
+#: Digests of a page at most on average, cells of each of its tables (only those that are not empty are kept), rounds of
+#: peeling in a try. Of the pairs some in ten thousand are tried again: two digests share all of their cells.
+PAGE, CELLS, ROUNDS = 32, 256, 6
 #: Bytes of text in a partition.
 PARTITION_BYTES = 8 << 20
 #: Documents of a bucket, and buckets at most (their bounds go through the driver).
@@ -179,12 +180,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         return df.withColumn("pages", factor * F.greatest(pages_of(F.col("mine")), pages_of(F.col("theirs"))))
 
     solved, tries = spool(_differences(sized(both, 1)), "peeled"), 0
-    while not (failed := solved.where("left > 0").select("bkt", "rid", "pair")).isEmpty():
+    while not (failed := spool(solved.where("left > 0").select("bkt", "rid", "pair"), "unsolved")).isEmpty():
         tries += 1  # other cells each time: two digests that share all of theirs part sooner or later
         again = _differences(sized(both.join(failed, ["bkt", "rid", "pair"], "left_semi"), 4**tries), tries)
         solved = spool(solved.where("left = 0").union(again), "peeled")
     wide = solved.groupBy("bkt", "rid").agg(*(F.max(F.when(F.col("pair") == p, F.struct("gone", "come"))).alias(f"p{p}") for p in (0, 1)))
-    out = stored.select("bkt", "rid", "doc_id", "n_chars", "edited_sha256", "mine", "edited").join(wide, ["bkt", "rid"], "left")
+    out = stored.select("bkt", "rid", "doc_id", "n_chars", "edited_sha256", "mine", "edited").join(wide.hint("merge"), ["bkt", "rid"], "left")
 
     def likeness(p: str) -> Column:
         every = F.size("mine") + F.coalesce(F.col(f"{p}.come"), F.lit(0))
