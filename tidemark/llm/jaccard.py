@@ -7,13 +7,13 @@ shingle pivots: with all shingles in one fixed order, common ones last, two docu
 shingle among the first quarter of each (n - ceil(3n/4) + 1 of n), so the documents that have a shingle
 there form a region, and every link lies inside a region. Each region is joined recursively:
 
-* a region of few documents compares those that are not connected yet;
-* a larger one gets a centre, and the distance of all to it. In each round some pivots of its largest connected part and
-  some outside it are compared with the documents of the other parts, except where the
-  triangle inequality over the centre rules a link out. The documents within r of a pivot are its Voronoi cell and connected
-  through it. The pivots are then settled; of the others only those go on that lie in the
-  triangle-inequality window of a document of another part;
-* a region ends as soon as its documents are connected.
+* each gets a first pivot, and the distance of all to it, which settles that pivot. Regions of the same documents count as one;
+* a region ends as soon as its documents are connected;
+* of a region of few documents, those that are not connected yet are compared;
+* of a larger one, some pivots of its largest connected part and some outside it are compared in each round with the documents
+  of the other parts, except where the triangle inequality over the first pivot rules a link out. The documents within r of a
+  pivot are its Voronoi cell and connected through it. The pivots are then settled; of the others only those go on that lie in
+  the triangle-inequality window of a document of another part.
 
 Before any two sets are compared, their sketches are: counts of shingles by range of hash. Counts that differ
 by k mean k different shingles, a lower bound of the distance that rules out nearly all pairs that do not link, so only
@@ -41,7 +41,7 @@ from tidemark.llm.common import (arrow_type, bloom_filter, bloom_has, bucketed,
 
 #: Shingles known to be common, put last in the order (1.5 MB). Any order is right; a good one is fast.
 COMMON = 1 << 17
-#: Documents of a region that are compared directly: at first, and at most after some rounds.
+#: Documents of a region that are compared directly: in the first round, and at most after some.
 LEAF, LAST_LEAF = 16, 128
 #: Pivots of a larger region: outside its largest connected part (in the first round, then eight times as many in
 #: each) and inside it.
@@ -235,10 +235,12 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
     emit, shared = _entries(words, hashes[order], rank)
     entries = map_arrow(docs.where("doc_id is not null").select("text"), emit, "bucket int, entries binary")
     region = spool(entries.groupBy("bucket").applyInArrow(shared, "h long, cls long").join(classes.select("cls", "n"), "cls"), "regions")
-    region = region.withColumn("comp", F.col("cls"))
-    region = region.join(region.groupBy("h").agg(F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.count("*").alias("size"),
-                                                 F.min_by(F.struct("cls", "n"), F.xxhash64("cls")).alias("c")).where("c0 <> c1"), "h")
-    region = spool(region.select("h", "cls", "n", "comp", "size", F.col("c.cls").alias("centre"), F.col("c.n").alias("nc")).distinct(), "regions")
+    # regions of the same documents are one, known by two hashes of them; pivots are chosen by hash, so that regions of one group mostly share theirs
+    members = region.groupBy("h").agg(F.count("*").alias("size"), *(F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"s{i}") for i in (1, 2)),
+                                      F.min_by(F.struct("cls", "n"), F.xxhash64("cls")).alias("c")).where("size > 1")
+    members = members.groupBy("size", "s1", "s2").agg(F.min("h").alias("h"), F.min("c").alias("c"))
+    region = region.join(members, "h").where("cls <> c.cls").select("h", "cls", "n", F.col("c.cls").alias("centre"), F.col("c.n").alias("nc"))
+    region = spool(region.withColumns({"lo": F.least("n", "nc"), "hi": F.greatest("n", "nc")}), "regions")
     unknown = spark.createDataFrame([], "a long, b long, near double, far double")
 
     def pair(x: str, nx: str, y: str, ny: str):
@@ -256,8 +258,9 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
         return pairs.join(pivots, "p").join(others, "q")
 
     def bounded(pairs: DataFrame) -> DataFrame:
-        """(a, b, p, near) of the distinct pairs, with a lower bound of the distance."""
-        found = joined(pairs.groupBy("a", "b").agg(F.max("p").alias("p")), classes, "sketch", "n")
+        """(a, b, p, near) of the distinct pairs not known yet, with a lower bound of the distance."""
+        fresh = pairs.groupBy("a", "b").agg(F.max("p").alias("p")).join(known.select("a", "b"), ["a", "b"], "left_anti")
+        found = joined(fresh, classes, "sketch", "n")
         return map_arrow(found.select("a", "b", "p", F.col("x_sketch").alias("x"), F.col("y_sketch").alias("y"), F.col("x_n").alias("nx"), F.col("y_n").alias("ny")),
                          _bounds, "a long, b long, p long, near double")
 
@@ -265,31 +268,29 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
         other = leaf.select("h", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "comp")))
         return leaf.join(other, "h").where("cls < cls2 and comp <> comp2").select(*pair("cls", "n", "cls2", "n2")).where("100 * lo >= 75 * hi")
 
-    # what may link at all: small regions pair by pair, large ones by a centre
-    small = spool(bounded(leaf_pairs(region.where(F.col("size") <= LEAF))).where(F.col("near") <= r), "pairs")
-    big = spool(region.where(F.col("size") > LEAF), "regions")
-    around = spool(bounded(big.where("cls <> centre").select(*pair("cls", "n", "centre", "nc"))), "pairs")
-    needed = small.select(F.explode(F.array("a", "b")).alias("cls")).union(big.select("cls")).distinct()
-    texts = spool(classes.select("cls", "doc").join(needed, "cls", "left_semi").select(F.xxhash64("doc").alias("k")), "wanted")
-    wanted = spark.sparkContext.broadcast(bloom_filter(texts, "k", texts.count()))
     hashed = docs.select("text", F.xxhash64("doc_id").alias("k")).select("text", "k", F.xxhash64("k").alias("kk"))
-    stored = map_arrow(hashed, _sets(words, wanted), "cls long, hashes binary").repartition(parts, "cls")
-    stored = bucketed(stored, "cls", parts, "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, near, far): the distance where the lower bound leaves a link open, else the bound."""
-        open_ = F.col("near") <= r
-        found = joined(pairs.where(open_).select("a", "b", "p"), stored, "hashes")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """The sets of the classes of some pairs, and of few others, stored by class."""
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        texts = spool(classes.select("cls", "doc").join(needed, "cls", "left_semi").select(F.xxhash64("doc").alias("k")), "wanted")
+        wanted = spark.sparkContext.broadcast(bloom_filter(texts, "k", texts.count()))
+        stored = bucketed(map_arrow(hashed, _sets(words, wanted), "cls long, hashes binary").repartition(parts, "cls"), "cls", parts, "sets")
+        wanted.destroy()
+        return stored
+
+    def measure(pairs: DataFrame) -> DataFrame:
+        """The known (a, b, near, far) and those of more pairs: the distance where the lower bound leaves a link open, else the bound."""
+        pairs = spool(bounded(pairs), "pairs")
+        open_ = pairs.where(F.col("near") <= r)
+        ruled_out = pairs.where(F.col("near") > r).select("a", "b", "near", F.lit(1.0).alias("far"))
+        found = joined(open_.select("a", "b", "p"), sets_of(open_), "hashes")
         counted = map_arrow(found.select("a", "b", F.col("x_hashes").alias("x"), F.col("y_hashes").alias("y")), _distances, "a long, b long, common int, total int")
         # the threshold is decided in whole numbers
         d = 1 - F.col("common") / F.col("total")
         d = F.when(F.col("common") * 100 >= F.col("total") * 75, F.least(F.lit(r), d)).otherwise(F.greatest(F.lit(r + eps), d))
         exact = counted.distinct().select("a", "b", d.alias("near"), d.alias("far"))
-        return exact.union(pairs.where(~open_).select("a", "b", "near", F.lit(1.0)))
-
-    def measure(pairs: DataFrame) -> DataFrame:
-        fresh = spool(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        return spool(known.union(verified(fresh)), "distances")
+        return spool(known.union(exact).union(ruled_out), "distances")
 
     def connected() -> DataFrame:
         return connected_components(known.where(F.col("far") <= r).select("a", "b"), "joined")
@@ -303,19 +304,14 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
         sizes = sizes.select("h", "size", F.col("top.comp").alias("main"), (F.col("size") - F.col("top.m")).alias("outer"))
         return region.join(sizes.where("outer > 0"), "h")
 
-    # a star around one document of each class's pairs connects most groups; then the pairs that are left, and the centres
+    # every document and the pivot of its regions: this connects most groups of copies, whatever their size
     known = unknown
-    known = measure(small.groupBy("a").agg(F.min("b").alias("b")).select("a", "b", F.col("b").alias("p"), F.lit(0.0).alias("near")))
-    comps = connected()
-    part = comps.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-    apart = small.join(part.toDF("a", "ca"), "a", "left").join(part.toDF("b", "cb"), "b", "left")
-    apart = apart.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "p", "near")
-    known = measure(apart.union(around).groupBy("a", "b").agg(F.max("p").alias("p"), F.max("near").alias("near")))
+    known = measure(region.where("100 * lo >= 75 * hi").select(*pair("cls", "n", "centre", "nc")))
     comps, most, turn = connected(), LEAF, 0
-    region = (big.where("cls <> centre").withColumns({"a": F.least("cls", "centre"), "b": F.greatest("cls", "centre")})
-              .join(known, ["a", "b"], "left").select("h", "cls", "n", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(1.0)).alias("far"), "comp"))
+    region = (region.withColumns({"a": F.least("cls", "centre"), "b": F.greatest("cls", "centre")}).join(known, ["a", "b"], "left")
+              .select("h", "cls", "n", F.coalesce("near", 1 - F.col("lo") / F.col("hi")).alias("near"), F.coalesce("far", F.lit(1.0)).alias("far"), F.col("cls").alias("comp")))
     while True:
-        region, most = spool(grouped(region), "regions"), min(2 * most, LAST_LEAF)
+        region = spool(grouped(region), "regions")
         if region.isEmpty():
             break
         # a document goes on if the triangle inequality over the centre lets it link with one of another part of its region
@@ -332,8 +328,8 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
         star = (big.join(pivots, "h").where("cls <> cls2 and comp <> comp2")
                 .where((F.col("near") <= F.col("far2") + r + eps) & (F.col("near2") <= F.col("far") + r + eps))
                 .select(*pair("cls", "n", "cls2", "n2")).where("100 * lo >= 75 * hi"))
-        known = measure(bounded(leaf_pairs(leaf).union(star)))
-        comps = connected()
+        known = measure(leaf_pairs(leaf).union(star))
+        comps, most = connected(), min(2 * most, LAST_LEAF)
         region = big.join(pivots.select("h", F.col("cls2").alias("cls")), ["h", "cls"], "left_anti").select("h", "cls", "n", "near", "far", "comp")
 
     root = classes.select("cls", "doc").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
