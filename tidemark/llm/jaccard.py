@@ -235,11 +235,11 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
     emit, shared = _entries(words, hashes[order], rank)
     entries = map_arrow(docs.where("doc_id is not null").select("text"), emit, "bucket int, entries binary")
     region = spool(entries.groupBy("bucket").applyInArrow(shared, "h long, cls long").join(classes.select("cls", "n"), "cls"), "regions")
-    # regions of the same documents are one, known by two hashes of them; pivots are chosen by hash, so that regions of one group mostly share theirs
-    members = region.groupBy("h").agg(F.count("*").alias("size"), *(F.bit_xor(F.xxhash64("cls", F.lit(i))).alias(f"s{i}") for i in (1, 2)),
-                                      F.min_by(F.struct("cls", "n"), F.xxhash64("cls")).alias("c")).where("size > 1")
-    members = members.groupBy("size", "s1", "s2").agg(F.min("h").alias("h"), F.min("c").alias("c"))
-    region = region.join(members, "h").where("cls <> c.cls").select("h", "cls", "n", F.col("c.cls").alias("centre"), F.col("c.n").alias("nc"))
+    # regions of the same documents are one, known by a hash of them; classes are hashes, so the least is a pivot that regions of one group mostly share
+    members = region.groupBy("h").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("same"), F.min("cls").alias("centre")).where("size > 1")
+    members = members.groupBy("size", "same", "centre").agg(F.min("h").alias("h"))
+    members = members.join(classes.select(F.col("cls").alias("centre"), F.col("n").alias("nc")), "centre").select("h", "centre", "nc")
+    region = region.join(members, "h").where("cls <> centre")
     region = spool(region.withColumns({"lo": F.least("n", "nc"), "hi": F.greatest("n", "nc")}), "regions")
     unknown = spark.createDataFrame([], "a long, b long, near double, far double")
 
