@@ -2,11 +2,12 @@ import csv
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 import tidemark as tm
 from helpers import as_map, day, money, plan_of
 from tidemark import schemas
-from tidemark.sources import fresh_path, shared_dir, spool
+from tidemark.sources import files, fresh_path, shared_dir, spool
 
 
 def write(path, text):
@@ -239,3 +240,17 @@ def test_spool_cuts_lineage_in_the_shared_folder(spark):
     assert all(shared_dir(spark).removeprefix("file:") in f for f in stored.inputFiles())
     assert "Exchange" not in plan_of(stored)
     assert fresh_path(spark, "a") != fresh_path(spark, "a")
+
+
+def test_only_the_filled_part_of_a_wide_line_is_parted(spark, tmp_path):
+    lines = [("," * 100 + "A,P1,,5" + "," * 130, 100, ["A", "P1", "", "5"]), (" , ,A, b ,", 2, ["A", " b"]), (" , ,", 2, [""]), ("", 0, [""]),
+             ('A,, "x, ""y"" " , ,', 0, ["A", "", 'x, "y" ']), (',"",B', 1, ["", "B"]), ("\t,,C", 0, ["\t", "", "C"]), (",é,,", 1, ["é"])]
+    part, ahead = files._filled_part(F.col("line"))
+    got = spark.createDataFrame([l[:1] for l in lines], "line string").select("line", ahead.alias("ahead"), files._cells(part).alias("cells")).collect()
+    assert sorted((r.line, r.ahead, list(r.cells)) for r in got) == sorted(lines)
+    fields = ("System", "Ticker", "Entry price", "Qty", "Exit price", "P/L", "L/S")
+    heads = [",".join(str(i) for i in range(21)), ",".join(f"{d}/1/2022" for d in (1, 2, 3) for _ in fields), ",".join(fields * 3)]
+    p = write(tmp_path / "w.csv", "\n".join([*heads, "," * 7 + "A,P1, ,5,,1.5,S" + "," * 7, "A,,,,,," + "," * 8 + ' "B, 1",,2.5,,,,', "," * 20, "," * 19 + "7,"]) + "\n")
+    rows = [(r.date.day, r.system, r.action, r.ticker, r.entry_price, r.qty, r.closing_price, r.pl) for r in tm.load_open_pl(spark, p).collect()]
+    assert sorted(rows, key=str) == [(1, "A", "L", None, 0, 0, 0, 0), (2, "A", "S", "P1", 0, 5, 0, money("1.5")),
+                                     (3, "B, 1", "L", None, 2.5, 0, 0, 0), (3, None, "L", None, 0, 0, 0, 7)]

@@ -50,10 +50,11 @@ def typed(text: Column, wanted: T.DataType, on_bad: str = "null") -> Column:
 def _parsed(text: Column, wanted: T.DataType) -> Column:
     if isinstance(wanted, T.DateType):
         return parse_day_first(text)
-    if isinstance(wanted, T.LongType):
-        return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
     if isinstance(wanted, T.StringType):
         return text
+    text = F.when(F.trim(text) != "", text)  # a cast that fails on a blank cell costs more than all else of its row
+    if isinstance(wanted, T.LongType):
+        return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"))
     return text.try_cast(wanted)
 
 
@@ -202,6 +203,14 @@ def _cells(line: Column) -> Column:
     return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",", -1))
 
 
+def _filled_part(line: Column) -> tuple[Column, Column]:
+    """The line without the blank cells at its two ends, and the number of those left out ahead of it."""
+    blanks = "^[ ,]*+"
+    ahead, after = F.regexp_extract(line, blanks, 0), F.regexp_extract(F.reverse(line), blanks, 0)
+    part = F.substring(line, F.length(ahead) + 1, F.length(line) - F.length(ahead) - F.length(after))
+    return part, F.length(F.replace(ahead, F.lit(" "), F.lit("")))
+
+
 def _heads(lines: DataFrame) -> DataFrame:
     """The three header lines of each file, and their places: file, head_1, head_2, head_3, places.
 
@@ -235,7 +244,8 @@ def _blocks(heads: DataFrame) -> DataFrame:
         lacks = F.col("date").isNotNull() & F.col(f"at_{n}").isNull()
         message = F.concat(F.lit(f"no field {f} for "), F.col("date").cast("string"), F.lit(" in "), F.col("file"))
         dated = dated.withColumn(f"at_{n}", F.when(lacks, F.raise_error(message).cast("int")).otherwise(F.col(f"at_{n}")))
-    block = F.struct("date", *[f"at_{n}" for n in _OPEN_FIELDS.values()])
+    ats = [F.col(f"at_{n}") for n in _OPEN_FIELDS.values()]
+    block = F.struct("date", *ats, F.least(*ats).alias("first"), F.greatest(*ats).alias("last"))
     found = dated.groupBy("file", "places").agg(F.collect_list(F.when(F.col("date").isNotNull(), block)).alias("blocks"))
     none = F.raise_error(F.concat(F.lit("no date block in "), F.col("file"))).cast(found.schema["blocks"].dataType)
     return found.withColumn("blocks", F.when(F.size("blocks") == 0, none).otherwise(F.col("blocks")))
@@ -246,16 +256,20 @@ def load_open_pl(spark: SparkSession, path: str | list[str], on_bad: str = "rais
 
     Works on any number of files, each with its own three header lines and date blocks. A file is one small row
     with an array of blocks, joined to its lines, which takes the place of a loop over files and dates; blank
-    blocks of a line are dropped before the others become rows. The header lines are left out by their stored place.
+    blocks of a line are dropped before the others become rows. A line mostly fills few of its blocks: only its cells from the
+    first to the last that is not blank are parted, and only the blocks that lie there are looked up. The header lines are
+    left out by their stored place.
     Blank numbers become 0 and a blank action becomes long; blank text stays NULL. Numbers that do not parse are an
     error, or count as blank with ``on_bad="null"``.
     """
     names = list(_OPEN_FIELDS.values())
     lines = stored_lines(spark, path)
-    parsed = lines.select("file", "place", _cells(F.col("value")).alias("cells"))
+    part, ahead = _filled_part(F.col("value"))
+    parsed = lines.select("file", "place", part.alias("part"), ahead.alias("ahead")).select("file", "place", "ahead", _cells(F.col("part")).alias("cells"))
     blocks = spool(_blocks(_heads(lines)), "open-pl-blocks")
-    positions = F.transform("blocks", lambda b: F.struct(
-        b["date"].alias("date"), *[F.coalesce(F.trim(F.get("cells", b[f"at_{n}"])), F.lit("")).alias(n) for n in names]))
+    met = F.filter("blocks", lambda b: (b["last"] >= F.col("ahead")) & (b["first"] < F.col("ahead") + F.size("cells")))
+    positions = F.transform(met, lambda b: F.struct(
+        b["date"].alias("date"), *[F.coalesce(F.trim(F.get("cells", b[f"at_{n}"] - F.col("ahead"))), F.lit("")).alias(n) for n in names]))
     filled = F.filter(positions, lambda b: F.concat(*[b[n] for n in names]) != "")
     raw = parsed.join(blocks, "file").where(~F.array_contains("places", F.col("place"))).select(F.inline(filled))
     text = {n: F.nullif(F.col(n), F.lit("")) for n in ("system", "action", "ticker")}
