@@ -117,7 +117,8 @@ def write_open_pl_wide(rows: DataFrame, path: str, rows_per_file: int = 100_000)
 
     A line fills the block of its own date and leaves the others blank. A month with many positions is
     spread over as many files as its row count asks for, by the unique ``position_id``, so that neither a
-    busy day nor many copies of a row end up in one task.
+    busy day nor many copies of a row end up in one task. Lines are dealt out and sorted by their filled cells alone, and get
+    their blank ones as they are written.
     """
     # Field names of one block, in file order.
     fields = {"System": "system", "Ticker": "ticker", "Entry price": None, "Qty": "qty", "Exit price": None,
@@ -128,11 +129,9 @@ def write_open_pl_wide(rows: DataFrame, path: str, rows_per_file: int = 100_000)
 
     cells = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
                                for c in fields.values()])
-    before = F.repeat(F.lit(","), (F.dayofmonth("date") - 1) * width)
-    after = F.repeat(F.lit(","), (F.dayofmonth(F.last_day("date")) - F.dayofmonth("date")) * width)
     lines = rows.join(months, "month").select(
         "month", F.pmod(F.xxhash64("position_id"), "parts").alias("part"), F.lit(4).alias("line_no"),
-        F.concat(before, cells, after).alias("value"))
+        F.dayofmonth("date").alias("day"), cells.alias("cells"))
 
     days = F.sequence("month", F.last_day("month"))
     numbers = F.transform(F.sequence(F.lit(1), F.size(days) * width), lambda i: i.cast("string"))
@@ -140,10 +139,13 @@ def write_open_pl_wide(rows: DataFrame, path: str, rows_per_file: int = 100_000)
     names = F.flatten(F.array_repeat(F.array(*[F.lit(f) for f in fields]), F.size(days)))
     heads = (months.select("month", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
              .select("month", "part", F.posexplode(F.array(numbers, dates, names)).alias("line_no", "cells"))
-             .select("month", "part", "line_no", F.concat_ws(",", "cells").alias("value")))
+             .select("month", "part", "line_no", F.lit(0).alias("day"), F.concat_ws(",", "cells").alias("cells")))
+    before = F.repeat(F.lit(","), (F.col("day") - 1) * width)
+    after = F.repeat(F.lit(","), (F.dayofmonth(F.last_day("month")) - F.col("day")) * width)
+    value = F.when(F.col("line_no") < 4, F.col("cells")).otherwise(F.concat(before, "cells", after))
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (lines.unionByName(heads).repartition(partitions, "month", "part")
-     .sortWithinPartitions("month", "part", "line_no").drop("line_no").write.partitionBy("month", "part").text(path))
+    (lines.unionByName(heads).repartition(partitions, "month", "part").sortWithinPartitions("month", "part", "line_no")
+     .select("month", "part", value.alias("value")).write.partitionBy("month", "part").text(path))
 
 
 def open_positions_with_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,8 +43,9 @@ def typed(text: Column, wanted: T.DataType, on_bad: str = "null") -> Column:
     parsed = _parsed(text, wanted)
     if on_bad == "null":
         return parsed
-    bad = parsed.isNull() & (F.trim(text) != "")
-    return F.when(bad, F.raise_error(F.concat(F.lit(f"not a {wanted.simpleString()}: "), text)).cast(wanted)).otherwise(parsed)
+    # only text that did not parse is looked at again: a second parse would cost as much as the first
+    wrong = F.raise_error(F.concat(F.lit(f"not a {wanted.simpleString()}: "), text)).cast(wanted)
+    return F.coalesce(parsed, F.when(F.trim(text) != "", wrong))
 
 
 def _parsed(text: Column, wanted: T.DataType) -> Column:
@@ -204,11 +205,17 @@ def _cells(line: Column) -> Column:
 
 
 def _filled_part(line: Column) -> tuple[Column, Column]:
-    """The line without the blank cells at its two ends, and the number of those left out ahead of it."""
-    blanks = "^[ ,]*+"
-    ahead, after = F.regexp_extract(line, blanks, 0), F.regexp_extract(F.reverse(line), blanks, 0)
-    part = F.substring(line, F.length(ahead) + 1, F.length(line) - F.length(ahead) - F.length(after))
-    return part, F.length(F.replace(ahead, F.lit(" "), F.lit("")))
+    """The line without the blank cells at its two ends, and the number of those left out ahead of it.
+
+    One pattern cuts off both ends: a pass over a wide line costs more than all its filled cells.
+    """
+    part = F.regexp_extract(line, r"(?s)^[ ,]*+(.*[^ ,])?", 1)
+    return part, _cells_ahead(line, part)
+
+
+def _cells_ahead(line: Column, part: Column) -> Column:
+    ahead = F.when(part == "", line).otherwise(F.substring(line, F.lit(1), F.instr(line, part) - 1))
+    return F.length(F.replace(ahead, F.lit(" "), F.lit("")))
 
 
 def _heads(lines: DataFrame) -> DataFrame:
@@ -230,7 +237,8 @@ def _blocks(heads: DataFrame) -> DataFrame:
 
     Line 1 is a plain header, line 2 holds the date of every column, line 3 its field. A date may occur twice; the
     first cell of each (date, field) counts. A date that does not parse, a block that lacks a field and a file
-    without blocks are errors.
+    without blocks are errors. Blocks lie in the order of their first cells; ``from_block`` holds for each cell the first block
+    that ends there or later, ``to_block`` the number of blocks that begin there or earlier.
     """
     columns = heads.select("file", "places", F.posexplode_outer(F.arrays_zip(
         _cells(F.col("head_2")).alias("day"), _cells(F.col("head_3")).alias("field"))).alias("cell", "head"))
@@ -245,10 +253,17 @@ def _blocks(heads: DataFrame) -> DataFrame:
         message = F.concat(F.lit(f"no field {f} for "), F.col("date").cast("string"), F.lit(" in "), F.col("file"))
         dated = dated.withColumn(f"at_{n}", F.when(lacks, F.raise_error(message).cast("int")).otherwise(F.col(f"at_{n}")))
     ats = [F.col(f"at_{n}") for n in _OPEN_FIELDS.values()]
-    block = F.struct("date", *ats, F.least(*ats).alias("first"), F.greatest(*ats).alias("last"))
-    found = dated.groupBy("file", "places").agg(F.collect_list(F.when(F.col("date").isNotNull(), block)).alias("blocks"))
+    dated = dated.withColumn("first", F.when(F.col("date").isNotNull(), F.least(*ats)))
+    dated = dated.withColumn("reach", F.max(F.when(F.col("date").isNotNull(), F.greatest(*ats))).over(W.partitionBy("file").orderBy("first")))
+    block = F.struct("first", "reach", "date", *ats)
+    found = dated.groupBy("file", "places").agg(F.array_sort(F.collect_list(F.when(F.col("date").isNotNull(), block))).alias("blocks"))
     none = F.raise_error(F.concat(F.lit("no date block in "), F.col("file"))).cast(found.schema["blocks"].dataType)
-    return found.withColumn("blocks", F.when(F.size("blocks") == 0, none).otherwise(F.col("blocks")))
+    found = found.withColumn("blocks", F.when(F.size("blocks") == 0, none).otherwise(F.col("blocks")))
+    cells = F.element_at("blocks", -1)["reach"] + 1
+    ends = F.transform("blocks", lambda b, i: F.array_repeat(i, b["reach"] - F.coalesce(F.get("blocks", i - 1)["reach"], F.lit(-1))))
+    begins = F.transform("blocks", lambda b, i: F.array_repeat(i + 1, F.coalesce(F.get("blocks", i + 1)["first"], cells) - b["first"]))
+    return found.select("file", "places", "blocks", F.flatten(ends).alias("from_block"),
+                        F.concat(F.array_repeat(F.lit(0), F.get("blocks", F.lit(0))["first"]), F.flatten(begins)).alias("to_block"))
 
 
 def load_open_pl(spark: SparkSession, path: str | list[str], on_bad: str = "raise") -> DataFrame:
@@ -264,14 +279,16 @@ def load_open_pl(spark: SparkSession, path: str | list[str], on_bad: str = "rais
     """
     names = list(_OPEN_FIELDS.values())
     lines = stored_lines(spark, path)
-    part, ahead = _filled_part(F.col("value"))
-    parsed = lines.select("file", "place", part.alias("part"), ahead.alias("ahead")).select("file", "place", "ahead", _cells(F.col("part")).alias("cells"))
+    parsed = (lines.select("file", "place", "value", _filled_part(F.col("value"))[0].alias("part"))
+              .select("file", "place", _cells_ahead(F.col("value"), F.col("part")).alias("ahead"), _cells(F.col("part")).alias("cells")))
     blocks = spool(_blocks(_heads(lines)), "open-pl-blocks")
-    met = F.filter("blocks", lambda b: (b["last"] >= F.col("ahead")) & (b["first"] < F.col("ahead") + F.size("cells")))
-    positions = F.transform(met, lambda b: F.struct(
-        b["date"].alias("date"), *[F.coalesce(F.trim(F.get("cells", b[f"at_{n}"] - F.col("ahead"))), F.lit("")).alias(n) for n in names]))
-    filled = F.filter(positions, lambda b: F.concat(*[b[n] for n in names]) != "")
-    raw = parsed.join(blocks, "file").where(~F.array_contains("places", F.col("place"))).select(F.inline(filled))
+    first = F.get("from_block", F.col("ahead"))
+    beyond = F.get("to_block", F.least(F.col("ahead") + F.size("cells"), F.size("to_block")) - 1)
+    met = F.slice("blocks", first + 1, F.greatest(beyond - first, F.lit(0)))
+    positions = (parsed.join(blocks, "file").where(~F.array_contains("places", F.col("place")))
+                 .select("ahead", "cells", F.inline(met)))
+    cells = {n: F.coalesce(F.trim(F.get("cells", F.col(f"at_{n}") - F.col("ahead"))), F.lit("")) for n in names}
+    raw = positions.select("date", *[c.alias(n) for n, c in cells.items()]).where(F.concat(*names) != "")
     text = {n: F.nullif(F.col(n), F.lit("")) for n in ("system", "action", "ticker")}
     raw = raw.select("date", *[text.get(n, F.col(n)).alias(n) for n in names])
     defaults = {"action": F.lit(_DEFAULT_ACTION), "entry_price": F.lit(0.0), "qty": F.lit(0),
