@@ -5,7 +5,7 @@ from __future__ import annotations
 import pathlib
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.sources import fresh_path, spool
 
-__all__ = ["arrow_type", "bloom_filter", "bucketed", "connected_components", "free_name", "fresh_path", "hash_words", "map_arrow", "mix64", "partitions", "pieces_of", "ship",
+__all__ = ["arrow_type", "bloom_filter", "bucketed", "connected_components", "free_name", "fresh_path", "hash_words", "held", "map_arrow", "mix64", "partitions", "pieces_of", "ship",
            "spool", "text_bytes", "word_bounds", "words_per_row"]
 
 pa.set_memory_pool(pa.system_memory_pool())  # gives memory back to the system when a batch is done
@@ -176,10 +176,35 @@ def ship(spark: SparkSession) -> None:
     context._tidemark_shipped = True
 
 
-def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` whose function may use this package."""
+#: The model that this worker process holds for further tasks, by its key.
+_HELD: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, load: Callable[[], object]) -> object:
+    """A model loaded once a worker process, until another one or a task without any takes its place."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = load()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    _HELD.clear()
+
+
+def map_arrow(df: DataFrame, function: Callable, schema, holds: bool = False) -> DataFrame:
+    """``mapInArrow`` whose function may use this package.
+
+    Worker processes serve the tasks of one operator after another. A function that ``holds`` no model lets go of the one
+    that an operator before it left, which would else add to the memory of all that follow.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def alone(batches):
+        let_go()
+        yield from function(batches)
+
+    return df.mapInArrow(function if holds else alone, schema)
 
 
 def free_name(df: DataFrame, base: str) -> str:

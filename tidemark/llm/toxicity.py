@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.common import arrow_type, map_arrow, pieces_of, spool
+from tidemark.llm.common import arrow_type, held, map_arrow, pieces_of, spool
 
 #: Bound of the fit: labelled rows, which bound the index that the tasks load.
 MAX_EXAMPLES = 12_000
@@ -356,17 +356,13 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-#: The last model of this worker process, by the hash of its bytes: further tasks need not load it again.
-_LOADED: dict[int, ToxicityModel] = {}
-
-
 def _loaded(data: bytes) -> ToxicityModel:
-    key = zlib.crc32(data)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = model = pickle.loads(zlib.decompress(data))
+    def load() -> ToxicityModel:
+        model = pickle.loads(zlib.decompress(data))
         model.counted = []  # what the index was made from
-    return _LOADED[key]
+        return model
+
+    return held(("toxicity", zlib.crc32(data)), load)
 
 
 def score_toxicity(docs: DataFrame, model: FittedToxicity, into: tuple[str, str, str] = ("score", "top_cosine", "evidence")) -> DataFrame:
@@ -387,4 +383,4 @@ def score_toxicity(docs: DataFrame, model: FittedToxicity, into: tuple[str, str,
                          pa.array([f[2] for f in found], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *extra], names)
 
-    return map_arrow(docs, judge, schema)
+    return map_arrow(docs, judge, schema, holds=True)
