@@ -50,7 +50,7 @@ def words_of(text: str | None) -> list[str]:
 
 def terms_of(word: str) -> list[str]:
     """The word and its stems, since an ending may hide a word."""
-    return [word, *(f"{word[:n]}*" for n in STEMS if len(word) > n)]
+    return [word, *[f"{word[:n]}*" for n in STEMS if len(word) > n]]
 
 
 class BlockMaxIndex:
@@ -66,6 +66,9 @@ class BlockMaxIndex:
         self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)]).astype(float)
         self.first = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64)
         example = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.first))
+        if ((np.diff(self.term) < 0) & (np.diff(example) == 0)).any():  # the terms of an example lie in order
+            order = np.lexsort((self.term, example))
+            self.term, self.weight = self.term[order], self.weight[order]
         seen = np.bincount(self.term, minlength=n_terms)
         frequent = np.flatnonzero(seen > max(1, self.size // _RARE))
         self.place = np.full(n_terms, -1, np.int32)
@@ -117,11 +120,14 @@ class BlockMaxIndex:
         at = np.flatnonzero((score >= np.partition(score, kth)[kth] - _SLACK) & (score > 0))
         if not len(at):
             return []
-        many = self.first[at + 1] - self.first[at]
-        own = np.arange(many.sum()) + np.repeat(self.first[at] - np.cumsum(many) + many, many)
-        asked = np.zeros(self.n_terms)
-        asked[terms] = weights
-        cosine = np.bincount(np.repeat(np.arange(len(at)), many), asked[self.term[own]] * self.weight[own], len(at))
+        order = np.argsort(terms, kind="stable")
+        terms, weights = terms[order].astype(np.int32), weights[order]
+        cosine = np.zeros(len(at))
+        for i, (first, end) in enumerate(zip(self.first[at], self.first[at + 1])):
+            # a text's terms are looked up in the example's, which may be many more
+            place = first + np.minimum(np.searchsorted(self.term[first:end], terms), end - first - 1)
+            both = self.term[place] == terms
+            cosine[i] = np.cumsum(weights[both] * self.weight[place[both]])[-1] if both.any() else 0.0
         order = np.lexsort((at, -cosine))[:k]
         return [(-float(min(cosine[i], 1.0)), int(at[i])) for i in order]
 
@@ -185,15 +191,17 @@ class ToxicityModel:
 
     def features(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of the terms of a text, in order."""
-        found: Counter = Counter()
+        terms, starts, telling = self.terms.get, self._starts, self.telling
+        ids, counts, told = [], [], {}
         for word, n in words.items():
-            if (at := self.terms.get(word)) is not None:
-                found[at] += n
-            if word[:4] in self._starts:
+            if (at := terms(word)) is not None:  # words are distinct, and so are their numbers
+                ids.append(at)
+                counts.append(n)
+            if word[:4] in starts:
                 for term in terms_of(word):
-                    if (at := self.telling.get(term)) is not None:
-                        found[at] += n
-        ids, counts = np.fromiter(found, np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+                    if (at := telling.get(term)) is not None:
+                        told[at] = told.get(at, 0) + n
+        ids, counts = np.array([*ids, *told], np.int64), np.array([*counts, *told.values()], np.int64)
         order = np.argsort(ids)
         return ids[order], counts[order]
 
