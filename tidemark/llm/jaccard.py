@@ -17,7 +17,9 @@ there form a region, and every link lies inside a region. Each region is joined
 
 Before any two sets are compared, their sketches are: counts of shingles by range of hash. Counts that differ
 by k mean k different shingles, a lower bound of the distance that rules out nearly all pairs that do not link, so only
-sets that may link at all are stored.
+sets that may link at all are stored. Before that, a pair is ruled out by two bounds that need no set: its shared shingles lie from that of the
+region on in both, where a pair's first shared one is due, and sets differ in as many shingles at least as the parities of their counts
+in 256 ranges.
 
 No link between different texts is lost and no group is expanded into all pairs. Equal sets are one
 class from the start, by a 64-bit hash of the set.
@@ -36,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import (arrow_type, bloom_filter, bloom_has, bucketed, connected_components, hash_words, map_arrow, mix64,
+from tidemark.llm.common import (arrow_type, bloom_filter, bloom_has, bucketed, connected_components, hash_words, let_go, map_arrow, mix64,
                                  partitions, pieces_of, spool, text_bytes, word_bounds, words_per_row)
 
 #: Shingles known to be common, put last in the order (1.5 MB). Any order is right; a good one is fast.
@@ -48,6 +50,8 @@ LEAF, LAST_LEAF = 16, 128
 OUTER_PIVOTS, INNER_PIVOTS = 32, 4
 #: Hash buckets of the shingle index.
 BUCKETS = 1024
+#: A place in a set's order is kept in so many equal parts of the set; a region's lie in the first quarter of them.
+PLACES = 1024
 #: Shingles a task counts at a time, and common ones it reports of them.
 COUNTED, REPORTED = 2_000_000, 1 << 14
 
@@ -81,7 +85,15 @@ def set_key(hashes: np.ndarray) -> int:
     return int(mix64(np.array([total + np.uint64(len(hashes))], np.uint64)).view(np.int64)[0])
 
 
-_MARKS = "doc_id long, n int, cls long, sketch binary, common boolean"
+#: Words of a set's parities, as columns.
+_PARITIES = ("odd0", "odd1", "odd2", "odd3")
+_MARKS = "doc_id long, n int, cls long, sketch binary, " + "".join(f"{w} long, " for w in _PARITIES) + "common boolean"
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether each of 256 ranges of hashes holds an odd number of shingles; two sets differ in a shingle at least where these do."""
+    odd = np.bincount((hashes & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -113,23 +125,26 @@ def _mark(words: int):
         some = np.flatnonzero(count >= 3)
         some = some[np.argsort(-count[some], kind="stable")[:REPORTED]]
         return pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.array(count[some].astype(np.int32)),
-                                           pa.array(hashes[some].view(np.int64)), pa.nulls(len(some), pa.binary()), pa.array(np.ones(len(some), bool))], schema=out)
+                                           pa.array(hashes[some].view(np.int64)), pa.nulls(len(some), pa.binary()),
+                                           *[pa.nulls(len(some), pa.int64()) for _ in _PARITIES], pa.array(np.ones(len(some), bool))], schema=out)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, seen = [], 0, set()
         for batch in batches:
             for piece in pieces_of(batch):
-                n, cls, sketches = [], [], []
+                n, cls, sketches, odd = [], [], [], [np.zeros((0, len(_PARITIES)), np.int64)]
                 for s in shingles(piece.column("text"), words):
                     n.append(len(s))
                     cls.append(set_key(s))
                     sketches.append(sketch(s))
+                    odd.append(parities(s)[None])
                     if len(s) and cls[-1] not in seen:
                         seen.add(cls[-1])
                         held.append(s)
                         total += len(s)
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(n, pa.int32()),
-                                                  pa.array(cls, pa.int64()), pa.array(sketches, pa.binary()), pa.array(np.zeros(len(n), bool))], schema=out)
+                                                  pa.array(cls, pa.int64()), pa.array(sketches, pa.binary()),
+                                                  *map(pa.array, np.concatenate(odd).T.copy()), pa.array(np.zeros(len(n), bool))], schema=out)
                 if total > COUNTED:
                     yield report(held)
                     held, total = [], 0
@@ -142,22 +157,22 @@ def _mark(words: int):
 def _entries(words: int, common: np.ndarray, rank: np.ndarray):
     """The first shingles of each set in the shared order, packed by hash bucket."""
     out = arrow_type("bucket int, entries binary")
-    kind = np.dtype([("h", "<u8"), ("cls", "<i8")])
+    kind = np.dtype([("h", "<u8"), ("cls", "<i8"), ("at", "u1")])
 
-    def packed(h: list, cls: list, rare: list):
-        h, cls, rare = np.concatenate(h), np.concatenate(cls), np.concatenate(rare)
+    def packed(h: list, cls: list, rare: list, at: list):
+        h, cls, rare, at = np.concatenate(h), np.concatenate(cls), np.concatenate(rare), np.concatenate(at)
         # common shingles are known to be shared: they need no counting and are dealt out evenly by set
         bucket = np.where(rare, h, mix64(cls.view(np.uint64) + h)) >> np.uint64(64 - (BUCKETS.bit_length() - 1))
         bucket = bucket.astype(np.int64) * 2 + ~rare
         order = np.argsort(bucket, kind="stable")
         rows = np.zeros(len(h), kind)
-        rows["h"], rows["cls"], bucket = h[order], cls[order], bucket[order]
+        rows["h"], rows["cls"], rows["at"], bucket = h[order], cls[order], at[order], bucket[order]
         ids, first = np.unique(bucket, return_index=True)
         ends = np.append(first[1:], len(rows))
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], schema=out)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, cls, rare, total, seen = [], [], [], 0, set()
+        h, cls, rare, place, total, seen = [], [], [], [], 0, set()
         for batch in batches:
             for piece in pieces_of(batch):
                 for s in shingles(piece.column("text"), words):
@@ -173,20 +188,26 @@ def _entries(words: int, common: np.ndarray, rank: np.ndarray):
                     h.append(s[order])
                     cls.append(np.full(len(order), key, np.int64))
                     rare.append(~known[order])
+                    # rounded down, which makes a place earlier than it is and so rules out less
+                    place.append(np.minimum(np.arange(len(order)) * PLACES // len(s), 255).astype(np.uint8))
                     total += len(order)
                 if total > COUNTED // 4:
-                    yield packed(h, cls, rare)
-                    h, cls, rare, total = [], [], [], 0
+                    yield packed(h, cls, rare, place)
+                    h, cls, rare, place, total = [], [], [], [], 0
         if h:
-            yield packed(h, cls, rare)
+            yield packed(h, cls, rare, place)
 
     def shared(key: tuple, table: pa.Table) -> pa.Table:
+        let_go()
         rows = np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column("entries")])
-        rows = np.unique(rows)
+        rows = rows[np.lexsort((rows["cls"], rows["h"]))]
+        again = (rows["h"][1:] == rows["h"][:-1]) & (rows["cls"][1:] == rows["cls"][:-1])
+        rows = rows[np.append(True, ~again)] if len(rows) else rows
         if key[0].as_py() % 2 == 0 and len(rows):
             same = rows["h"][1:] == rows["h"][:-1]
             rows = rows[np.append(same, False) | np.append(False, same)]
-        return pa.table({"h": np.ascontiguousarray(rows["h"]).view(np.int64), "cls": np.ascontiguousarray(rows["cls"])})
+        return pa.table({"h": np.ascontiguousarray(rows["h"]).view(np.int64), "cls": np.ascontiguousarray(rows["cls"]),
+                         "at": rows["at"].astype(np.int32)})
 
     return emit, shared
 
@@ -225,7 +246,7 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
     sets = marks.where("not common").select("doc_id", "n", "cls")
     parts = partitions(spark)
     classes = (marks.where("not common and doc_id is not null and n > 0").groupBy("cls")
-               .agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).repartition(parts, "cls"))
+               .agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *(F.min(w).alias(w) for w in _PARITIES)).repartition(parts, "cls"))
     classes = bucketed(classes, "cls", parts, "classes")
 
     common = marks.where("common").groupBy("cls").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cls").limit(COMMON).toPandas()
@@ -234,10 +255,13 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
     rank = np.arange(len(hashes), 0, -1)[order] if len(hashes) else np.zeros(1, np.int64)
     emit, shared = _entries(words, hashes[order], rank)
     entries = map_arrow(docs.where("doc_id is not null").select("text"), emit, "bucket int, entries binary")
-    region = spool(entries.groupBy("bucket").applyInArrow(shared, "h long, cls long").join(classes.select("cls", "n"), "cls"), "regions")
+    region = spool(entries.groupBy("bucket").applyInArrow(shared, "h long, cls long, at int").join(classes.select("cls", "n"), "cls")
+                   .select("h", "cls", "n", "at"), "regions")
     # regions of the same documents are one, known by a hash of them; classes are hashes, so the least is a pivot that regions of one group mostly share
-    members = region.groupBy("h").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("same"), F.min("cls").alias("centre")).where("size > 1")
-    members = members.groupBy("size", "same", "centre").agg(F.min("h").alias("h"))
+    members = region.groupBy("h").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("same"), F.min("cls").alias("centre"),
+                                     F.sum("at").alias("place")).where("size > 1")
+    # of such regions the first one in the order counts, which has the earliest place in each of its documents
+    members = members.groupBy("size", "same", "centre").agg(F.min(F.struct("place", "h")).alias("first")).select("centre", "first.h")
     members = members.join(classes.select(F.col("cls").alias("centre"), F.col("n").alias("nc")), "centre").select("h", "centre", "nc")
     region = region.join(members, "h").where("cls <> centre")
     region = spool(region.withColumns({"lo": F.least("n", "nc"), "hi": F.greatest("n", "nc")}), "regions")
@@ -264,9 +288,14 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
         return map_arrow(found.select("a", "b", "p", F.col("x_sketch").alias("x"), F.col("y_sketch").alias("y"), F.col("x_n").alias("nx"), F.col("y_n").alias("ny")),
                          _bounds, "a long, b long, p long, near double")
 
+    # a pair is due in the region of its first shared shingle: none lies before it, so both sets must have enough left from there on
+    due = F.expr(f"{PLACES} * 75L * (n + n2) <= 175 * least(n * ({PLACES}L - at), n2 * ({PLACES}L - at2))")
+    # and sets that link differ in a seventh of both at most, so their parities do
+    due = due & F.expr("175L * (" + " + ".join(f"bit_count({w} ^ {w}2)" for w in _PARITIES) + ") <= 25L * (n + n2)")
+
     def leaf_pairs(leaf: DataFrame) -> DataFrame:
-        other = leaf.select("h", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "comp")))
-        return leaf.join(other, "h").where("cls < cls2 and comp <> comp2").select(*pair("cls", "n", "cls2", "n2")).where("100 * lo >= 75 * hi")
+        other = leaf.select("h", *(F.col(c).alias(f"{c}2") for c in ("cls", "n", "at", "comp", *_PARITIES)))
+        return leaf.join(other, "h").where("cls < cls2 and comp <> comp2").where(due).select(*pair("cls", "n", "cls2", "n2"))
 
     hashed = docs.select("text", F.xxhash64("doc_id").alias("k")).select("text", "k", F.xxhash64("k").alias("kk"))
 
@@ -309,7 +338,8 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
     known = measure(region.where("100 * lo >= 75 * hi").select(*pair("cls", "n", "centre", "nc")))
     comps, most, turn = connected(), LEAF, 0
     region = (region.withColumns({"a": F.least("cls", "centre"), "b": F.greatest("cls", "centre")}).join(known, ["a", "b"], "left")
-              .select("h", "cls", "n", F.coalesce("near", 1 - F.col("lo") / F.col("hi")).alias("near"), F.coalesce("far", F.lit(1.0)).alias("far"), F.col("cls").alias("comp")))
+              .select("h", "cls", "n", "at", F.coalesce("near", 1 - F.col("lo") / F.col("hi")).alias("near"), F.coalesce("far", F.lit(1.0)).alias("far"), F.col("cls").alias("comp"))
+              .join(classes.select("cls", *_PARITIES), "cls"))
     while True:
         region = spool(grouped(region), "regions")
         if region.isEmpty():
@@ -319,18 +349,19 @@ def jaccard_components(docs: DataFrame, words: int = 5) -> DataFrame:
         window = region.groupBy("h").agg(F.min(F.when(outside, F.col("near"))).alias("lo"), F.max(F.when(outside, F.col("far"))).alias("hi"))
         region = region.join(window, "h").where(outside | ((F.col("far") >= F.col("lo") - r - eps) & (F.col("near") <= F.col("hi") + r + eps))).drop("lo", "hi")
         leaf, big = region.where(F.col("size") <= most), region.where(F.col("size") > most)
-        columns = ("cls", "n", "comp", "near", "far")
-        some = F.pmod(F.xxhash64("cls", F.lit(turn)), F.ceil(F.col("outer") / (OUTER_PIVOTS * 8**turn))) == 0
+        columns = ("cls", "n", "at", "comp", "near", "far", *_PARITIES)
+        # those of the least hashes, so that regions of one group mostly share them
+        some = F.pmod(F.xxhash64("cls", F.lit(turn)), F.lit(1 << 20)) * F.col("outer") < (OUTER_PIVOTS * 8**turn) << 20
         inner = big.where(~outside).groupBy("h").agg(F.array_distinct(F.array(*(F.min_by(F.struct(*columns), F.xxhash64("cls", F.lit(turn * INNER_PIVOTS + i)))
                                                                                 for i in range(INNER_PIVOTS)))).alias("p"))
         pivots = big.where(outside & some).select("h", *columns).union(inner.select("h", F.inline("p")))
         pivots, turn = spool(pivots.toDF("h", *(f"{c}2" for c in columns)), "pivots"), turn + 1
         star = (big.join(pivots, "h").where("cls <> cls2 and comp <> comp2")
                 .where((F.col("near") <= F.col("far2") + r + eps) & (F.col("near2") <= F.col("far") + r + eps))
-                .select(*pair("cls", "n", "cls2", "n2")).where("100 * lo >= 75 * hi"))
+                .where(due).select(*pair("cls", "n", "cls2", "n2")))
         known = measure(leaf_pairs(leaf).union(star))
         comps, most = connected(), min(2 * most, LAST_LEAF)
-        region = big.join(pivots.select("h", F.col("cls2").alias("cls")), ["h", "cls"], "left_anti").select("h", "cls", "n", "near", "far", "comp")
+        region = big.join(pivots.select("h", F.col("cls2").alias("cls")), ["h", "cls"], "left_anti").select("h", *columns)
 
     root = classes.select("cls", "doc").join(comps.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     smallest = root.groupBy("comp").agg(F.min("doc").alias("component_id"))
