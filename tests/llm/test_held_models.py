@@ -1,6 +1,7 @@
+import public_tokenizers
 import pyarrow as pa
 
-from tidemark.llm import common
+from tidemark.llm import common, tokens
 
 
 def test_a_worker_keeps_one_model_and_lets_it_go():
@@ -27,3 +28,15 @@ def test_the_model_of_an_operator_does_not_outlive_its_tasks(spark):
     for _ in range(2):  # workers of the first round serve the second
         assert {r.id for r in common.map_arrow(rows, score, "id long", holds=True).collect()} == {1}
         assert {r.id for r in common.map_arrow(rows, later, "id long").collect()} == {0}
+
+
+def test_tokenizers_are_let_go_too():
+    """A tokenizer with its cache is larger than most models; it must not stay through the stages of other operators."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = tokens.word_ids(path)
+    assert tokens.word_ids(path) is encoder and list(common._HELD) == [("word_ids", path)]
+    common.let_go()
+    assert tokens.word_ids(path) is not encoder
+    common.held("model", list)
+    assert list(common._HELD) == ["model"]
+    common.let_go()

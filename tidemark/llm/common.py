@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.sources import fresh_path, spool
 
-__all__ = ["arrow_type", "bloom_filter", "bucketed", "connected_components", "free_name", "fresh_path", "hash_words", "held", "map_arrow", "mix64", "partitions", "pieces_of", "ship",
+__all__ = ["arrow_type", "bloom_filter", "bucketed", "connected_components", "free_name", "fresh_path", "hash_words", "held", "let_go", "map_arrow", "mix64", "partitions", "pieces_of", "ship",
            "spool", "text_bytes", "word_bounds", "words_per_row"]
 
 pa.set_memory_pool(pa.system_memory_pool())  # gives memory back to the system when a batch is done

@@ -92,7 +92,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
                 columns = zip(*rows) if rows else [[]] * len(out)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out)], schema=out)
 
-    placed = spool(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), place, shape), "pieces")
+    placed = spool(map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), place, shape, holds=True), "pieces")
     fills = placed.groupBy("bin").agg(F.sum("length").alias("fill")).where(F.col("fill") < int(REPACKED * capacity))
     fills = spool(fills, "partly-filled")
 

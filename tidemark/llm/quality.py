@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tidemark.llm.common import PIECE_BYTES, map_arrow, pieces_of, ship, text_bytes
+from tidemark.llm.common import PIECE_BYTES, let_go, map_arrow, pieces_of, ship, text_bytes
 
 #: Bytes of a chunk, bytes from one chunk to the next, filters, filter width, bytes between filter places.
 CHUNK, STEP, FILTERS, WIDTH, STRIDE = 512, 448, 12, 7, 2
@@ -145,6 +145,7 @@ def fit_quality(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_EX
     sample = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")  # max_examples small rows
 
     def train(rows: pa.Table) -> pa.Table:
+        let_go()
         rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending"), ("text", "ascending")])
         labels, net = rows.column("label").to_numpy().astype(float), ByteNet()
         if 0 < labels.sum() < len(labels):

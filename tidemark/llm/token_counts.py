@@ -65,7 +65,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([piece.column("digest"), pa.array(numbers, pa.int64())], ["digest", "n_tokens"])
 
         rows = content.select("text", "digest", "k", F.xxhash64("k").alias("kk"))
-        fresh = map_arrow(rows, encode, "digest string, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+        fresh = map_arrow(rows, encode, "digest string, n_tokens long", holds=True).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
         (fresh.join(missing.select("digest"), "digest", "left_semi").select(F.lit(version).alias("tokenizer"), "digest", "n_tokens")
          .write.mode("append").parquet(cache))
     return known.join(cached_counts(spark, cache, version), "digest").select("doc_id", "n_bytes", "n_tokens")

@@ -10,10 +10,11 @@ from __future__ import annotations
 import os
 import re
 import struct
-from functools import lru_cache
 
 import numpy as np
 
+from tidemark.llm.common import held
+
 #: Words a worker remembers twice over: the newest, and those that were the newest before.
 REMEMBERED = 300_000
 #: Control characters that Python takes for white space and the tokenizers do not, and the other way round.
@@ -128,12 +129,10 @@ class ByteCounts:
         return self._one(first) + sum([get(w) or self._word(w) for w in words])
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    """The worker's encoder for a file; its cache lives as long as the worker."""
-    return WordIds(path)
+    """The worker's encoder for a file, held with its cache until tasks of another operator begin."""
+    return held(("word_ids", path), lambda: WordIds(path))
 
 
-@lru_cache(maxsize=2)
 def byte_counts(path: str) -> ByteCounts:
-    return ByteCounts(path)
+    return held(("byte_counts", path), lambda: ByteCounts(path))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tidemark.llm.common import arrow_type, held, map_arrow, pieces_of, spool
+from tidemark.llm.common import arrow_type, held, let_go, map_arrow, pieces_of, spool
 
 #: Bound of the fit: labelled rows, which bound the index that the tasks load.
 MAX_EXAMPLES = 12_000
@@ -334,6 +334,7 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_E
                                                   pa.array([list(f.values()) for f in found], out.field(3).type)], schema=out)
 
     def build(rows: pa.Table) -> pa.Table:
+        let_go()
         model = ToxicityModel(telling, _Examples(rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])), prior, neighbours)
         data = _packed(model)
         pieces = [data[i:i + PIECE] for i in range(0, len(data), PIECE)]
