@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.sources import fresh_path, spool
 
-__all__ = ["arrow_type", "bloom_filter", "bucketed", "connected_components", "free_name", "fresh_path", "hash_words", "held", "let_go", "map_arrow", "mix64", "partitions", "pieces_of", "ship",
+__all__ = ["arrow_type", "bloom_filter", "bucketed", "connected_components", "free_name", "fresh_path", "give_back", "hash_words", "held", "let_go", "map_arrow", "mix64", "partitions", "pieces_of", "ship",
            "spool", "text_bytes", "word_bounds", "words_per_row"]
 
 pa.set_memory_pool(pa.system_memory_pool())  # gives memory back to the system when a batch is done
@@ -185,24 +185,33 @@ def held(key: Hashable, load: Callable[[], object]) -> object:
     if key not in _HELD:
         let_go()
         _HELD[key] = load()
+        give_back()
     return _HELD[key]
 
 
 def let_go() -> None:
-    _HELD.clear()
+    if _HELD:
+        _HELD.clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Memory that was freed goes back to the system: else a worker keeps as much as its largest task or load ever took."""
+    pa.system_memory_pool().release_unused()
 
 
 def map_arrow(df: DataFrame, function: Callable, schema, holds: bool = False) -> DataFrame:
     """``mapInArrow`` whose function may use this package.
 
     Worker processes serve the tasks of one operator after another. A function that ``holds`` no model lets go of the one
-    that an operator before it left, which would else add to the memory of all that follow.
+    that an operator before it left, and gives back at its end what it took; both would else add to the memory of all that follow.
     """
     ship(df.sparkSession)
 
     def alone(batches):
         let_go()
         yield from function(batches)
+        give_back()
 
     return df.mapInArrow(function if holds else alone, schema)
 

@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Collection, Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -61,27 +62,36 @@ class BlockMaxIndex:
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        self.block, self.size, self.n_terms = block, len(vectors), n_terms
-        self.term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int32)
-        self.weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)]).astype(float)
-        self.first = np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64)
-        example = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(self.first))
-        if ((np.diff(self.term) < 0) & (np.diff(example) == 0)).any():  # the terms of an example lie in order
-            order = np.lexsort((self.term, example))
-            self.term, self.weight = self.term[order], self.weight[order]
-        seen = np.bincount(self.term, minlength=n_terms)
+        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0)]).astype(np.int32)
+        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)]).astype(float)
+        self._fill(term, weight, np.concatenate([[0], np.cumsum([len(t) for t, _ in vectors])]).astype(np.int64), n_terms, block)
+
+    @classmethod
+    def of(cls, term: np.ndarray, weight: np.ndarray, first: np.ndarray, n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
+        """From the vectors one after another, which are kept as they are; first: where each begins, with the end."""
+        index = cls.__new__(cls)
+        index._fill(term, weight, first, n_terms, block)
+        return index
+
+    def _fill(self, term: np.ndarray, weight: np.ndarray, first: np.ndarray, n_terms: int, block: int) -> None:
+        self.block, self.size, self.n_terms, self.first = block, len(first) - 1, n_terms, first
+        example = np.repeat(np.arange(self.size, dtype=np.int32), np.diff(first))
+        if ((term[1:] < term[:-1]) & (example[1:] == example[:-1])).any():  # the terms of an example lie in order
+            order = np.lexsort((term, example))
+            term, weight = term[order], weight[order]
+        self.term, self.weight = term, weight
+        seen = np.bincount(term, minlength=n_terms)
         frequent = np.flatnonzero(seen > max(1, self.size // _RARE))
         self.place = np.full(n_terms, -1, np.int32)
         self.place[frequent] = np.arange(len(frequent))
-        often = self.place[self.term] >= 0
+        often = self.place[term] >= 0
         self.dense = np.zeros((len(frequent), self.size), np.float32)
-        self.dense[self.place[self.term[often]], example[often]] = self.weight[often]
+        self.dense[self.place[term[often]], example[often]] = weight[often]
         blocks = np.arange(0, self.size, block)
         self.max = np.maximum.reduceat(self.dense, blocks, axis=1) if self.size else np.zeros((len(frequent), 0), np.float32)
         self.blocks = blocks
-        rare = np.flatnonzero(~often)
-        rare = rare[np.argsort(self.term[rare], kind="stable")]
-        self.example, self.part = example[rare], self.weight[rare].astype(np.float32)
+        order = np.argsort(term[~often], kind="stable")
+        self.example, self.part = example[~often][order], weight[~often].astype(np.float32)[order]
         self.start = np.concatenate([[0], np.cumsum(np.where(self.place < 0, seen, 0))]).astype(np.int64)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
@@ -160,34 +170,37 @@ class ToxicityModel:
         groups: dict[tuple, list] = {}
         for doc, label, words in examples:
             ids, counts = self.features(words)
-            g = groups.setdefault((ids.tobytes(), counts.tobytes()), [doc, 0, 0])
+            g = groups.setdefault((ids.astype(np.int32).tobytes(), counts.astype(np.int32).tobytes()), [doc, 0, 0])
             g[0], g[1], g[2] = min(g[0], doc), g[1] + label, g[2] + 1
         _, pos, n = groups.pop((b"", b""), [0, 0, 0])
         self.none = (pos + prior) / (n + 1)
-        vectors = [(np.frombuffer(i, np.int64), np.frombuffer(c, np.int64), g) for (i, c), g in groups.items()]
+        vectors = [(np.frombuffer(i, np.int32), np.frombuffer(c, np.int32), g) for (i, c), g in groups.items()]
+        del groups
         # examples led by the same term share blocks, so that more blocks are ruled out by their bound
         vectors.sort(key=lambda x: (int(x[0][np.argmax(self.vector(x[0], x[1])[1])]), x[2][0]))
         self.doc = np.array([g[0] for *_, g in vectors], np.int64)
         self.pos = np.array([g[1] for *_, g in vectors], float)
         self.n = np.array([g[2] for *_, g in vectors], float)
-        self.counted = [(i.astype(np.int32), c.astype(np.int32)) for i, c, _ in vectors]
-        self._index()
+        self.ids, self.counts = (np.concatenate([v[side] for v in vectors] or [np.zeros(0, np.int32)]) for side in (0, 1))
+        self.first = np.concatenate([[0], np.cumsum([len(i) for i, *_ in vectors])]).astype(np.int64)
 
-    def _index(self) -> None:
-        self.index = BlockMaxIndex([self.vector(i, c) for i, c in self.counted], len(self.idf))
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        """Made where texts are judged: the task that learns the model, and what it sends, have no need of it."""
+        weight = np.empty(len(self.ids))
+        for a, b in zip(self.first[:-1], self.first[1:]):
+            weight[a:b] = self.vector(self.ids[a:b], self.counts[a:b])[1]
+        return BlockMaxIndex.of(self.ids, weight, self.first, len(self.idf))
 
     def __getstate__(self) -> dict:
         """Terms and counts of the examples; the index is made from them where the model is loaded."""
-        own = {k: v for k, v in self.__dict__.items() if k not in ("index", "terms", "counted")}
-        ids, counts = (np.concatenate([v[side] for v in self.counted] or [np.zeros(0, np.int32)]) for side in (0, 1))
-        return own | {"words": "\n".join(self.terms), "ids": ids, "counts": counts, "ends": np.cumsum([len(i) for i, _ in self.counted])}
+        own = {k: v for k, v in self.__dict__.items() if k not in ("index", "terms")}
+        return own | {"words": "\n".join(self.terms)}
 
     def __setstate__(self, state: dict) -> None:
-        words, ids, counts, ends = (state.pop(k) for k in ("words", "ids", "counts", "ends"))
+        words = state.pop("words")
         self.__dict__.update(state)
         self.terms = {w: i for i, w in enumerate(words.split("\n") if words else [])}
-        self.counted = list(zip(np.split(ids, ends[:-1]), np.split(counts, ends[:-1]))) if len(ends) else []
-        self._index()
 
     def features(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of the terms of a text, in order."""
@@ -368,7 +381,8 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _loaded(data: bytes) -> ToxicityModel:
     def load() -> ToxicityModel:
         model = pickle.loads(zlib.decompress(data))
-        model.counted = []  # what the index was made from
+        model.index  # noqa: B018  (made before the first text)
+        del model.counts
         return model
 
     return held(("toxicity", zlib.crc32(data)), load)
