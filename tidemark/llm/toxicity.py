@@ -90,8 +90,12 @@ class BlockMaxIndex:
         blocks = np.arange(0, self.size, block)
         self.max = np.maximum.reduceat(self.dense, blocks, axis=1) if self.size else np.zeros((len(frequent), 0), np.float32)
         self.blocks = blocks
-        order = np.argsort(term[~often], kind="stable")
-        self.example, self.part = example[~often][order], weight[~often].astype(np.float32)[order]
+        rare = ~often
+        order = np.argsort(term[rare], kind="stable")
+        order = order.astype(np.int32 if len(order) < 2**31 else np.int64)
+        self.example = example[rare][order]
+        del example, often
+        self.part = weight.astype(np.float32)[rare][order]
         self.start = np.concatenate([[0], np.cumsum(np.where(self.place < 0, seen, 0))]).astype(np.int64)
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
@@ -187,9 +191,15 @@ class ToxicityModel:
     @cached_property
     def index(self) -> BlockMaxIndex:
         """Made where texts are judged: the task that learns the model, and what it sends, have no need of it."""
+        return self._indexed(self._weights())
+
+    def _weights(self) -> np.ndarray:
         weight = np.empty(len(self.ids))
         for a, b in zip(self.first[:-1], self.first[1:]):
             weight[a:b] = self.vector(self.ids[a:b], self.counts[a:b])[1]
+        return weight
+
+    def _indexed(self, weight: np.ndarray) -> BlockMaxIndex:
         return BlockMaxIndex.of(self.ids, weight, self.first, len(self.idf))
 
     def __getstate__(self) -> dict:
@@ -381,8 +391,9 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _loaded(data: bytes) -> ToxicityModel:
     def load() -> ToxicityModel:
         model = pickle.loads(zlib.decompress(data))
-        model.index  # noqa: B018  (made before the first text)
-        del model.counts
+        weight = model._weights()
+        del model.counts  # ahead of the index, which takes most
+        model.index = model._indexed(weight)
         return model
 
     return held(("toxicity", zlib.crc32(data)), load)
